@@ -12,7 +12,7 @@ DEFAULT_SALTS = 16
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_limit(spark) -> int:

@@ -179,7 +179,7 @@ def _line_fields(fmt: Column, section: Column, line: Column, headers: Column) ->
     task = lambda i: F.regexp_extract(
         bare, r"^((?:\S+\s+)*?\S*\.exe\S*)\s+(\S+)\s+(\S+)\s+(\S+)", i
     )
-    wide = F.filter(F.transform(F.split(line, "  "), F.trim), lambda c: c != "")
+    wide = F.filter(F.transform(F.split(line, "  "), lambda c: F.trim(c)), lambda c: c != "")
     mark = F.startswith(bare, F.lit("==="))
     equals = F.contains(line, F.lit("="))
     left_of = F.trim(F.substring_index(line, "=", 1))

@@ -68,14 +68,21 @@ def image_records(
 ) -> DataFrame:
     """A large image as numbered fixed-size records.
 
-    ``binaryRecords`` splits the file between tasks at record borders; the number of a
-    record comes from the partition sizes. The file length must be a multiple of the
-    record size: trim a short tail at ingest, or use :func:`slice_images`.
+    The fixed-length input format splits the file between tasks at record borders and
+    hands out each record's number, so no counting pass is needed. The file length must
+    be a multiple of the record size: trim a short tail at ingest, or use
+    :func:`slice_images`.
     """
-    records = spark.sparkContext.binaryRecords(path, record_bytes).zipWithIndex()
-    rows = spark.createDataFrame(
-        records.map(lambda r: (r[1], bytearray(r[0]))), "record_no long, record binary"
-    ).withColumn("image", F.lit(name))
+    prefix = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(
+        path,
+        prefix,
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={f"{prefix}.recordLength": str(record_bytes)},
+    )
+    rows = spark.createDataFrame(records, "record_no long, record binary")
+    rows = rows.withColumn("image", F.lit(name))
     if max_records is not None:
         rows = rows.filter(F.col("record_no") < max_records)
     return rows
