@@ -15,6 +15,11 @@ def java_regex(regex: str, ignore_case: bool = True, multiline: bool = False) ->
     return f"(?{flags}){regex}"
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def fold(text: Column) -> Column:
     """Lower case, with the non-ASCII letters that fold to ASCII ones replaced.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns
+from evidlake.functions.rows import once
 from evidlake.functions.text import any_contains, item, java_regex, lookup
 
 
@@ -69,129 +70,153 @@ def brute_force(events: DataFrame, config: EventConfig = EventConfig()) -> DataF
     )
 
 
-def suspicious_powershell(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
-    rows = events.filter(F.col("log") == "powershell")
-    rows = rows.withColumn("script", F.lower(script_text(config)))
-    hits = F.array_compact(
-        F.array(
-            *[F.when(F.col("script").rlike(java_regex(p)), F.lit(p)) for p in patterns.POWERSHELL]
-        )
-    )
-    rows = rows.select("ts", "event_id", "script", hits.alias("indicators"))
-    return rows.filter(F.size("indicators") > 0).select(
-        "ts",
-        "event_id",
-        F.substring("script", 1, config.preview_chars).alias("script_preview"),
-        "indicators",
-        F.when(F.size("indicators") > config.high_indicators, "HIGH").otherwise("MEDIUM").alias("severity"),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A detector that looks at one event: when it fires, how bad that is, what it says."""
 
+    condition: Column
+    severity: Column
+    columns: dict[str, Column]
 
-def unusual_logons(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
+
+def _rules(config: EventConfig) -> dict[str, Rule]:
+    log, event_id, strings = F.col("log"), F.col("event_id"), F.col("strings")
+    name = lookup(L.EVENT_NAMES, event_id)
+    medium, high = F.lit("MEDIUM"), F.lit("HIGH")
+    script = F.lower(script_text(config))
+    suspect = F.array_compact(
+        F.array(*[F.when(script.rlike(java_regex(p)), F.lit(p)) for p in patterns.POWERSHELL])
+    )
     hour = F.hour("ts")
-    night = (hour >= config.night_from) | (hour <= config.night_to)
-    return events.filter(
-        (F.col("log") == "security") & (F.col("event_id") == L.LOGON_OK) & night
-    ).select("ts", user_name().alias("username"), hour.alias("hour"), F.lit("MEDIUM").alias("severity"))
+    path = F.lower(item(strings, 1, ""))
+    return {
+        "suspicious_powershell": Rule(
+            (log == "powershell") & (F.size("indicators") > 0),
+            F.when(F.size("indicators") > config.high_indicators, high).otherwise(medium),
+            {
+                "event_id": event_id,
+                "script_preview": F.substring(script, 1, config.preview_chars),
+                "indicators": F.when(log == "powershell", suspect),
+            },
+        ),
+        "unusual_logons": Rule(
+            (log == "security") & (event_id == L.LOGON_OK)
+            & ((hour >= config.night_from) | (hour <= config.night_to)),
+            medium,
+            {"username": user_name(), "hour": hour},
+        ),
+        "suspicious_services": Rule(
+            (log == "system") & (event_id == L.SERVICE_INSTALLED)
+            & any_contains(path, L.SERVICE_LOCATIONS),
+            high,
+            {"service_name": item(strings, 0), "service_path": path},
+        ),
+        "remote_access": Rule(
+            event_id.isin(L.REMOTE_ACCESS_IDS), medium,
+            {"event_type": name, "source_ip": item(strings, 2)},
+        ),
+        "privilege_escalation": Rule(
+            (log == "security") & event_id.isin(L.PRIVILEGE_IDS), high,
+            {"event_type": name, "username": item(strings, 1)},
+        ),
+        "usb_activity": Rule(
+            (log == "system") & event_id.isin(L.USB_IDS), medium,
+            {"event_type": name, "device": item(strings, 0)},
+        ),
+    }
 
 
-def suspicious_services(events: DataFrame) -> DataFrame:
-    path = F.lower(item(F.col("strings"), 1, ""))
-    return events.filter(
-        (F.col("log") == "system")
-        & (F.col("event_id") == L.SERVICE_INSTALLED)
-        & any_contains(path, L.SERVICE_LOCATIONS)
-    ).select(
-        "ts",
-        item(F.col("strings"), 0).alias("service_name"),
-        path.alias("service_path"),
-        F.lit("HIGH").alias("severity"),
-    )
+def _with_indicators(events: DataFrame, config: EventConfig) -> DataFrame:
+    """The indicators of PowerShell events, matched once."""
+    suspect = _rules(config)["suspicious_powershell"].columns["indicators"]
+    return once(events, events.columns, {"indicators": suspect})
 
 
-def _by_id(events: DataFrame, ids: list[int], name: str, position: int, severity: str):
-    return events.filter(F.col("event_id").isin(ids)).select(
-        "ts",
-        lookup(L.EVENT_NAMES, F.col("event_id")).alias("event_type"),
-        item(F.col("strings"), position).alias(name),
-        F.lit(severity).alias("severity"),
+def detect(events: DataFrame, kind: str, config: EventConfig = EventConfig()) -> DataFrame:
+    """Rows of one detector with its own columns."""
+    rule = _rules(config)[kind]
+    columns = dict(rule.columns)
+    if kind == "suspicious_powershell":
+        events = _with_indicators(events.filter(F.col("log") == "powershell"), config)
+        columns["indicators"] = F.col("indicators")
+    return events.filter(rule.condition).select(
+        "ts", *[c.alias(n) for n, c in columns.items()], rule.severity.alias("severity")
     )
 
 
+def suspicious_powershell(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
+    """PowerShell scripts with suspicious commands."""
+    return detect(events, "suspicious_powershell", config)
+
+
+def unusual_logons(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
+    """Log-ons at night."""
+    return detect(events, "unusual_logons", config)
+
+
+def suspicious_services(events: DataFrame) -> DataFrame:
+    """Services installed from places where no service should be."""
+    return detect(events, "suspicious_services")
+
+
 def remote_access(events: DataFrame) -> DataFrame:
     """Remote-desktop events of every log."""
-    return _by_id(events, L.REMOTE_ACCESS_IDS, "source_ip", 2, "MEDIUM")
+    return detect(events, "remote_access")
 
 
 def privilege_escalation(events: DataFrame) -> DataFrame:
-    rows = events.filter(F.col("log") == "security")
-    return _by_id(rows, L.PRIVILEGE_IDS, "username", 1, "HIGH")
+    """Special privileges, new accounts and group members."""
+    return detect(events, "privilege_escalation")
 
 
 def usb_activity(events: DataFrame) -> DataFrame:
-    rows = events.filter(F.col("log") == "system")
-    return _by_id(rows, L.USB_IDS, "device", 0, "MEDIUM")
-
-
-ROW_DETECTORS = {
-    "suspicious_powershell": suspicious_powershell,
-    "unusual_logons": unusual_logons,
-    "suspicious_services": suspicious_services,
-    "remote_access": remote_access,
-    "privilege_escalation": privilege_escalation,
-    "usb_activity": usb_activity,
-}
-
-
-def as_anomaly(rows: DataFrame, kind: str) -> DataFrame:
-    """The common shape: kind, ts, severity and the other columns as text attributes."""
-    attrs = [c for c in rows.columns if c not in ("ts", "severity")]
-    pairs = []
-    for c in attrs:
-        value = F.col(c)
-        if rows.schema[c].dataType.simpleString().startswith("array"):
-            value = F.concat_ws(", ", value)
-        pairs += [F.lit(c), value.cast("string")]
-    return rows.select(
-        F.lit(kind).alias("kind"), "ts", "severity", F.create_map(*pairs).alias("attributes")
+    """Devices attached or removed."""
+    return detect(events, "usb_activity")
+
+
+def row_anomalies(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
+    """All six row detectors in one pass: kind, ts, severity, attributes."""
+    found = []
+    for kind, rule in _rules(config).items():
+        pairs = []
+        for name, column in rule.columns.items():
+            text = F.concat_ws(", ", "indicators") if name == "indicators" else column.cast("string")
+            pairs += [F.lit(name), text]
+        row = F.struct(
+            F.lit(kind).alias("kind"),
+            rule.severity.alias("severity"),
+            F.create_map(*pairs).alias("attributes"),
+        )
+        found.append(F.when(rule.condition, row))
+    rows = _with_indicators(events, config).select(
+        "ts", F.inline_outer(F.array_compact(F.array(*found)))
     )
+    return rows.filter(F.col("kind").isNotNull()).select("kind", "ts", "severity", "attributes")
 
 
 def anomalies(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
-    out = as_anomaly(brute_force(events, config), "brute_force")
-    for kind, detect in ROW_DETECTORS.items():
-        out = out.unionByName(as_anomaly(detect(events), kind))
-    return out
+    """Brute force and the row detectors in the common shape."""
+    attacks = brute_force(events, config)
+    attributes = F.create_map(
+        F.lit("username"), F.col("username"), F.lit("attempts"), F.col("attempts").cast("string")
+    )
+    tall = attacks.select(
+        F.lit("brute_force").alias("kind"), "ts", "severity", attributes.alias("attributes")
+    )
+    return tall.unionByName(row_anomalies(events, config))
 
 
 def anomaly_totals(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
-    """Anomalies per kind and in total. The log is read once: row detectors are counted
-    by condition in one pass, brute force by its own windowed count."""
+    """Anomalies per kind and in total. The log is read twice: once for the windowed
+    count, once for the conditions of all row detectors."""
     failures = brute_force(events, config).agg(F.count("*").alias("n")).select(
         F.lit("brute_force").alias("kind"), "n"
     )
-    hour = F.hour("ts")
-    night = (hour >= config.night_from) | (hour <= config.night_to)
-    log, eid = F.col("log"), F.col("event_id")
-    script = F.lower(script_text(config))
-    any_script = F.lit(False)
-    for p in patterns.POWERSHELL:
-        any_script = any_script | script.rlike(java_regex(p))
-    path = F.lower(item(F.col("strings"), 1, ""))
-    conditions = {
-        "suspicious_powershell": (log == "powershell") & any_script,
-        "unusual_logons": (log == "security") & (eid == L.LOGON_OK) & night,
-        "suspicious_services": (log == "system")
-        & (eid == L.SERVICE_INSTALLED)
-        & any_contains(path, L.SERVICE_LOCATIONS),
-        "remote_access": eid.isin(L.REMOTE_ACCESS_IDS),
-        "privilege_escalation": (log == "security") & eid.isin(L.PRIVILEGE_IDS),
-        "usb_activity": (log == "system") & eid.isin(L.USB_IDS),
-    }
-    counts = events.agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
-    rows = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in conditions]
+    rules = _rules(config)
+    counts = _with_indicators(events, config).agg(
+        *[F.count_if(rule.condition).alias(kind) for kind, rule in rules.items()]
     )
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in rules])
     kinds = failures.unionByName(counts.select(F.inline(rows)))
     return kinds.rollup("kind").agg(F.sum("n").alias("n")).select(
         F.coalesce("kind", F.lit("total")).alias("kind"), "n"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidlake.catalogs import lookups as L
+from evidlake.functions.rows import once
 from evidlake.functions.text import after_colon, any_contains, before_colon, lookup
 
 FIELDS = "array<struct<name:string,value:string>>"
@@ -238,18 +239,20 @@ def _line_fields(fmt: Column, section: Column, line: Column, headers: Column) ->
     for name, (test, fields) in rules.items():
         found = F.when(test, fields.cast(FIELDS))
         out = F.when(fmt == name, found) if out is None else out.when(fmt == name, found)
-    out = out.otherwise(_fields(line=line).cast(FIELDS))
-    return F.when(bare != "", out)
+    return out.otherwise(_fields(line=line).cast(FIELDS))
 
 
 def parse_outputs(outputs: DataFrame) -> DataFrame:
     """Data lines of all outputs: the input columns but the text, format, section,
     section_no, line_no and fields."""
     keep = [c for c in outputs.columns if c != "output"]
-    rows = outputs.withColumn("text", clean_output(F.col("output"))).filter(F.col("text") != "")
-    rows = rows.withColumn("format", output_format(F.col("cmd"), F.col("text")))
-    fmt, lines = F.col("format"), F.col("lines")
-    rows = rows.withColumn("lines", F.split("text", "\n"))
+    fmt, lines, text = F.col("format"), F.col("lines"), F.col("text")
+    rows = outputs.filter(F.col("output").rlike(r"(?U)\S"))
+    rows = once(rows, keep, {"text": clean_output(F.col("output"))})
+    rows = once(
+        rows, [*keep, "text"],
+        {"format": output_format(F.col("cmd"), text), "lines": F.split(text, "\n")},
+    )
     ruler = _first_line(lines, lambda l: F.contains(l, F.lit("---")))
     task_head = _first_line(lines, lambda l: l.rlike("Image Name|PID"))
     start = (
@@ -268,31 +271,40 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
         .when((fmt == "wmic") & (F.size(wmic_header) >= 3), wmic_header)
         .when(fmt == "wmic", F.array(*[F.lit(c) for c in USER_COLUMNS]))
     )
-    rows = rows.withColumns({"start": start, "headers": headers}).filter(F.col("start").isNotNull())
-    body = F.when(F.col("start") == 0, F.col("text")).otherwise(
+    rows = once(rows, [*keep, "text", "format", "lines"], {"start": start, "headers": headers})
+    # A table whose ruler or heading is missing has no data lines.
+    rows = rows.filter(F.col("start").isNotNull())
+    body = F.when(F.col("start") == 0, text).otherwise(
         F.array_join(F.slice(lines, F.col("start") + 1, F.size(lines)), "\n")
     )
     rows = rows.select(
         *keep, "format", "headers",
-        F.posexplode(_sections(fmt, body)).alias("section_no", "section_text"),
+        F.posexplode_outer(_sections(fmt, body)).alias("section_no", "section_text"),
     )
     first = F.substring_index("section_text", "\n", 1)
-    rows = rows.withColumn("has_header", _is_header(fmt, first))
-    section = F.when(F.col("has_header"), _section_name(fmt, first)).otherwise("")
+    headed = _is_header(fmt, first)
     # A routing table ends at its first blank or ruled line.
-    text = F.when(
-        (fmt == "route") & F.col("has_header"),
+    part = F.when(
+        (fmt == "route") & headed,
         F.get(F.split("section_text", r"(?m)^(?:\s*$|.*====.*$)", 2), F.lit(0)),
     ).otherwise(F.col("section_text"))
+    rows = once(
+        rows, [*keep, "format", "headers", "section_no"],
+        {
+            "has_header": headed,
+            "section": F.when(headed, _section_name(fmt, first)).otherwise(""),
+            "section_lines": F.split(part, "\n"),
+        },
+    )
     rows = rows.select(
-        *keep, "format", "headers", "section_no", section.alias("section"), "has_header",
-        F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
+        *keep, "format", "headers", "section_no", "section", "has_header",
+        F.posexplode_outer("section_lines").alias("line_no", "line"),
     )
     rows = rows.filter(~(F.col("has_header") & (F.col("line_no") == 0)))
+    rows = rows.filter(F.trim("line") != "")
     fields = _line_fields(fmt, F.col("section"), F.col("line"), F.col("headers"))
-    return rows.select(
-        *keep, "format", "section_no", "section", "line_no", fields.alias("fields")
-    ).filter(F.col("fields").isNotNull())
+    rows = once(rows, [*keep, "format", "section_no", "section", "line_no"], {"fields": fields})
+    return rows.filter(F.col("fields").isNotNull())
 
 
 def field(name: str) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns, personal_catalog
 from evidlake.functions.paths import base_name, extension, has_dir, unix_path
+from evidlake.functions.rows import once
 from evidlake.functions.text import any_contains, count_contains, java_regex, lookup
-from evidlake.operators.scan import band, categories, count_of, once, scan, total_matches
+from evidlake.operators.scan import band, categories, count_of, scan, total_matches
 
 
 @dataclass(frozen=True)

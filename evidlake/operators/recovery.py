@@ -1,6 +1,6 @@
 """How much of a deleted file is still there: cluster runs against allocation.
 
-Cluster space is cut into blocks of 4096. Allocation becomes one row per block
+Cluster space is cut into blocks of 512. Allocation becomes one row per block
 with its allocated pieces; a run becomes one piece per block it touches. The range
 join is then an equi-join to at most one row per block, no pair of ranges is ever
 emitted, and the overlap is summed inside the row.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidlake.operators.joins import lookup_join
 
-BLOCK = 4096
+BLOCK = 512
 
 
 def _div(value: Column, by: int) -> Column:
@@ -31,10 +31,13 @@ def _pieces(df: DataFrame, start: str, end: str) -> DataFrame:
 
 def allocation_blocks(extents: DataFrame) -> DataFrame:
     """Allocated pieces of each block. Extents are disjoint, as they come from a bit map,
-    so a block holds at most 2048 of them."""
+    so a block holds at most 256 of them."""
     pieces = _pieces(extents.withColumnRenamed("end_excl", "end"), "start", "end")
     piece = F.struct(F.col("piece_start").alias("s"), F.col("piece_end").alias("e"))
-    return pieces.groupBy("volume", "block").agg(F.collect_set(piece).alias("allocated"))
+    return pieces.groupBy("volume", "block").agg(
+        F.collect_set(piece).alias("allocated"),
+        F.sum(F.col("piece_end") - F.col("piece_start")).alias("filled"),
+    )
 
 
 def bitmap_extents(bitmap: DataFrame) -> DataFrame:
@@ -83,9 +86,10 @@ def free_clusters(files: DataFrame, extents: DataFrame) -> DataFrame:
             F.least(a["e"], F.col("piece_end")) - F.greatest(a["s"], F.col("piece_start")),
         ),
     )
+    whole = F.col("piece_end") - F.col("piece_start") == BLOCK
     return joined.groupBy("volume", "file_id").agg(
         F.sum(F.col("piece_end") - F.col("piece_start")).alias("total_clusters"),
-        F.sum(overlap).alias("used_clusters"),
+        F.sum(F.when(whole, F.coalesce("filled", F.lit(0))).otherwise(overlap)).alias("used_clusters"),
     )
 
 

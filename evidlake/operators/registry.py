@@ -52,12 +52,16 @@ def userassist(values: DataFrame) -> DataFrame:
     )
 
 
-def run_keys(values: DataFrame) -> DataFrame:
+def _run_location() -> Column:
     location = F.lit(None).cast("string")
     for (hive, path), label in L.RUN_KEYS.items():
         location = F.when((F.col("hive") == hive) & _key_is(path), label).otherwise(location)
+    return location
+
+
+def run_keys(values: DataFrame) -> DataFrame:
     return (
-        values.withColumn("location", location)
+        values.withColumn("location", _run_location())
         .filter(F.col("location").isNotNull())
         .select(
             "host", "location", F.col("value_name").alias("name"),
@@ -81,10 +85,13 @@ def typed_urls(values: DataFrame) -> DataFrame:
     ).select("host", F.col("value_text").alias("url"), F.col("value_name").alias("position"))
 
 
+def _is_mru() -> Column:
+    return F.lower("key_path").isin([k.lower() for k in L.MRU_KEYS])
+
+
 def mru_lists(values: DataFrame) -> DataFrame:
-    keyed = F.lower("key_path").isin([k.lower() for k in L.MRU_KEYS])
     rows = values.filter(
-        (F.col("hive") == "HKCU") & keyed
+        (F.col("hive") == "HKCU") & _is_mru()
         & (F.col("value_name") != "MRUListEx") & (F.octet_length("value_data") > 0)
     )
     rows = rows.select(
@@ -184,14 +191,50 @@ FAMILIES = {
 
 
 def registry_statistics(values: DataFrame) -> DataFrame:
-    """Artefacts per family and in total."""
-    out = None
-    for family, build in FAMILIES.items():
-        n = build(values).agg(F.count("*").alias("artifacts")).select(
-            F.lit(family).alias("family"), "artifacts"
+    """Artefacts per family and in total, in two passes over the values.
+
+    Families of single values are counted as they stand. Families of keys count the
+    distinct keys that hold the value which makes them an artefact.
+    """
+    data = F.octet_length("value_data") > 0
+    hkcu = F.col("hive") == "HKCU"
+    kind = (
+        F.when(hkcu & _under(L.USERASSIST_KEY) & (_part(L.USERASSIST_KEY, 2) == "Count"), "userassist")
+        .when(_run_location().isNotNull(), "run_keys")
+        .when(
+            hkcu & _key_is(L.RECENT_DOCS_KEY) & (F.col("value_name") != "") & data
+            & (utf16_text(F.col("value_data")) != ""),
+            "recent_docs",
         )
-        out = n if out is None else out.unionByName(n)
-    return out.rollup("family").agg(F.sum("artifacts").alias("artifacts")).select(
+        .when(hkcu & _key_is(L.TYPED_URLS_KEY) & (F.col("value_text") != ""), "typed_urls")
+        .when(
+            hkcu & _is_mru() & (F.col("value_name") != "MRUListEx") & data
+            & (utf16_text(F.col("value_data")) != ""),
+            "mru_lists",
+        )
+    )
+    single = values.select(kind.alias("family")).filter(F.col("family").isNotNull())
+    text = F.coalesce("value_text", F.lit("")) != ""
+    hklm = F.col("hive") == "HKLM"
+    uninstall = F.lit(False)
+    for hive, path in L.UNINSTALL_KEYS:
+        uninstall = uninstall | ((F.col("hive") == hive) & _under(path))
+    named = lambda name: (F.col("value_name") == name) & text
+    keyed = (
+        F.when(hklm & _under(L.USBSTOR_KEY) & (_part(L.USBSTOR_KEY, 2) != ""), "usb_devices")
+        .when(uninstall & named("DisplayName"), "installed_programs")
+        .when(hklm & _under(L.NETWORK_PROFILES_KEY) & named("ProfileName"), "network_profiles")
+        .when(hklm & _under(L.SERVICES_KEY) & named("ImagePath"), "services")
+    )
+    keys = (
+        values.select(keyed.alias("family"), "host", "hive", "key_path")
+        .filter(F.col("family").isNotNull())
+        .distinct()
+        .select("family")
+    )
+    counted = single.unionByName(keys).groupBy("family").agg(F.count("*").alias("n"))
+    every = values.sparkSession.createDataFrame([(f, 0) for f in FAMILIES], "family string, n long")
+    return counted.unionByName(every).rollup("family").agg(F.sum("n").alias("artifacts")).select(
         F.coalesce("family", F.lit("total")).alias("family"), "artifacts"
     )
 

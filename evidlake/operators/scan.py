@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from evidlake.catalogs import Pattern
 from evidlake.catalogs.gates import NEEDLES, SHAPE_OF, SHAPES
-from evidlake.functions.text import any_contains, fold, java_regex
+from evidlake.functions.rows import once
+from evidlake.functions.text import fold, java_regex, sql_text
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
@@ -27,21 +28,31 @@ POSSESSIVE = {
 }
 
 
-def _matches(pattern: Pattern, text: Column) -> Column:
-    regex = java_regex(POSSESSIVE.get(pattern.regex, pattern.regex), True, pattern.multiline)
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
-
-
-def _gate(pattern: Pattern) -> Column | None:
+def _gate(pattern: Pattern) -> str | None:
+    """SQL test on the folded text or a shape column, None when nothing can be skipped."""
     if pattern.catalog == "custom":
         return None
     if pattern.name in SHAPE_OF:
-        return F.col(f"_shape_{SHAPE_OF[pattern.name]}")
+        return f"_shape_{SHAPE_OF[pattern.name]}"
     if pattern.name in NEEDLES:
-        return any_contains(F.col("_folded"), NEEDLES[pattern.name])
+        return " OR ".join(f"contains(_folded, {sql_text(n)})" for n in NEEDLES[pattern.name])
     return None
 
 
+def _finding(pattern: Pattern, text: str, gated: bool) -> str:
+    """One pattern as a SQL struct: its attributes and its distinct matches."""
+    regex = java_regex(POSSESSIVE.get(pattern.regex, pattern.regex), True, pattern.multiline)
+    found = f"array_distinct(regexp_extract_all(`{text}`, {sql_text(regex)}, 0))"
+    gate = _gate(pattern) if gated else None
+    if gate:
+        found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"
+    return (
+        f"named_struct('name', {sql_text(pattern.name)}, 'category', {sql_text(pattern.category)}, "
+        f"'severity', {sql_text(pattern.severity)}, 'weight', {pattern.weight}, "
+        f"'description', {sql_text(pattern.description)}, 'matches', {found})"
+    )
+
+
 def scan(
     df: DataFrame,
     catalog: Sequence[Pattern],
@@ -52,7 +63,6 @@ def scan(
 ) -> DataFrame:
     """Add the findings of every enabled pattern: distinct matches in first-seen order."""
     catalog = [p for p in catalog if p.enabled]
-    none = F.array().cast("array<string>")
     staged = df
     if gated:
         shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
@@ -60,39 +70,15 @@ def scan(
         staged = staged.withColumns(
             {f"_shape_{s}": F.col("_folded").rlike(SHAPES[s]) for s in shapes}
         )
-    parts = []
-    for p in catalog:
-        found = _matches(p, F.col(text))
-        gate = _gate(p) if gated else None
-        if gate is not None:
-            found = F.when(gate, found).otherwise(none)
-        parts.append(
-            F.struct(
-                F.lit(p.name).alias("name"),
-                F.lit(p.category).alias("category"),
-                F.lit(p.severity).alias("severity"),
-                F.lit(p.weight).alias("weight"),
-                F.lit(p.description).alias("description"),
-                found.alias("matches"),
-            )
-        )
-    hits = F.filter(F.array(*parts), lambda f: F.size(f["matches"]) > 0)
+    # The catalogue is one SQL expression: a catalogue of columns takes seconds to build.
+    hits = F.expr(
+        f"filter(array({', '.join(_finding(p, text, gated) for p in catalog)}), "
+        "f -> size(f.matches) > 0)"
+    )
     keep = [c for c in df.columns if keep_text or c != text]
     return once(staged, keep, {as_column: hits})
 
 
-def once(df: DataFrame, keep: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """Compute costly columns exactly once per row.
-
-    The optimizer copies a projected expression into every filter above it, and a
-    generator into the filter it infers below. Rows made by an outer generator are
-    the one place it does neither, so a later ``size(findings) > 0`` reads the array
-    instead of scanning the text a second time.
-    """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*keep, F.inline_outer(F.array(row)))
-
-
 def explode_findings(scanned: DataFrame, findings: str = "findings") -> DataFrame:
     """One row per (text, pattern) with the number of distinct matches."""
     keep = [c for c in scanned.columns if c != findings]

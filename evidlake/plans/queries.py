@@ -1595,10 +1595,10 @@ def case_severity_filter(spark, sf_dir):
     return rows.select("path", "threat_score", "total_iocs", "threat_level")
 
 
-@query(sql("SELECT path, low FROM p WHERE critical > 0 OR medium > 0", "texts", f=IOC, p=PER_FILE))
+@query(sql("SELECT path, low FROM p WHERE medium > 0 OR low > 0", "texts", f=IOC, p=PER_FILE))
 def case_having_severity(spark, sf_dir):
     """Findings that have any of the given severities."""
-    return case.having_severity(_case(spark, sf_dir), ["CRITICAL", "MEDIUM"]).select("path", "low")
+    return case.having_severity(_case(spark, sf_dir), ["MEDIUM", "LOW"]).select("path", "low")
 
 
 @query(
