@@ -25,6 +25,15 @@ SHAPES = {
     "program_suffix": r"\.(?:exe|scr|com|bat|cmd|vb|js|ws|hta|ps1|pif|msi|dll)",
 }
 
+# Most texts hold no digit at all: one cheap test spares them every shape and number
+# that needs one.
+DIGIT = r"\p{Nd}"
+DIGIT_SHAPES = {
+    "digit_dot_digit", "digits_7", "digits_8", "digits_13", "digits_dashed", "letters_digits",
+    "bank_code",
+}
+DIGIT_NEEDLES = {"c2_port", "remote_desktop", "private_ip"}
+
 SHAPE_OF = {
     "ipv4": "digit_dot_digit",
     "ipv4_address": "digit_dot_digit",

@@ -49,6 +49,6 @@ def is_text(data: Column) -> Column:
 def bit_is_set(data: Column, position: Column) -> Column:
     """Bit of a little-endian bit map; a position outside it counts as set."""
     byte = F.conv(F.hex(F.substring(data, (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    bit = F.shiftright(byte.try_cast("int"), F.pmod(position, F.lit(8)).cast("int"))
+    bit = F.call_function("shiftright", byte.try_cast("int"), F.pmod(position, F.lit(8)).cast("int"))
     inside = (position >= 0) & (position < F.octet_length(data) * 8)
     return F.when(inside, bit.bitwiseAND(1) == 1).otherwise(True)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns
 from evidlake.functions.text import any_contains, java_regex
-from evidlake.session import ensure_checkpoint_dir
+from evidlake.session import materialize
 
 MIN_CHARS = 8
 SPAN = 10 * 1024 * 1024
@@ -103,8 +103,7 @@ def carve_strings(chunks: DataFrame) -> DataFrame:
     The pieces are written to the checkpoint folder once, because three branches read
     them and the images themselves should be read a single time.
     """
-    ensure_checkpoint_dir(chunks.sparkSession)
-    pieces = string_pieces(chunks).checkpoint()
+    pieces = materialize(string_pieces(chunks))
     columns = ["image", "encoding", "offset", "value"]
     touching = F.col("at_start") | F.col("at_end")
     inner = pieces.filter(~touching).select(*columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,10 @@ DEFAULT_SALTS = 16
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # an estimate with thousands of digits, after many joins
+        return sys.maxsize
 
 
 def broadcast_limit(spark) -> int:

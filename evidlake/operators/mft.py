@@ -10,7 +10,7 @@ from evidlake.functions.sizes import human_size
 from evidlake.functions.text import any_contains
 from evidlake.functions.times import display
 from evidlake.operators.joins import lookup_join
-from evidlake.session import ensure_checkpoint_dir
+from evidlake.session import materialize
 
 ROOT_ENTRY = 5
 BIG_FILE = 10 * 1024 * 1024
@@ -28,14 +28,13 @@ def directory_paths(records: DataFrame) -> DataFrame:
     unfinished directory to the directory its pointer names and takes over that one's
     pointer, so the distance covered doubles: a tree n levels deep needs log2(n)
     passes. A pass that finishes nothing means the rest hangs on a missing record or
-    a cycle. Each pass is checkpointed to the shared folder, so lineage stays short
-    and a lost executor does not restart the loop.
+    a cycle. Each pass is written to the shared checkpoint folder, so lineage stays
+    short and a lost executor does not restart the loop.
     """
-    ensure_checkpoint_dir(records.sparkSession)
     key = ["volume", "entry_number"]
     parents = records.select("volume", F.col("parent_reference").alias("entry_number")).distinct()
     root = F.col("entry_number") == ROOT_ENTRY
-    state = (
+    state = materialize(
         records.select("volume", "entry_number", "parent_reference", "filename")
         .join(parents, key, "left_semi")
         .select(
@@ -44,7 +43,6 @@ def directory_paths(records: DataFrame) -> DataFrame:
             F.when(root, F.concat("volume", F.lit("\\"))).otherwise(F.col("filename")).alias("path"),
             root.alias("done"),
         )
-        .checkpoint()
     )
     finished = state.filter("done").count()
     while True:
@@ -63,7 +61,7 @@ def directory_paths(records: DataFrame) -> DataFrame:
             _join_path(F.col("target_path"), F.col("path")).alias("path"),
             F.col("target_done").alias("done"),
         )
-        state = state.filter("done").unionByName(moved).checkpoint()
+        state = materialize(state.filter("done").unionByName(moved))
         now = state.filter("done").count()
         if now == finished:
             return state.filter("done").select(*key, "path")

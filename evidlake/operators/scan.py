@@ -14,7 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidlake.catalogs import Pattern
-from evidlake.catalogs.gates import NEEDLES, SHAPE_OF, SHAPES
+from evidlake.catalogs.gates import (
+    DIGIT,
+    DIGIT_NEEDLES,
+    DIGIT_SHAPES,
+    NEEDLES,
+    SHAPE_OF,
+    SHAPES,
+)
 from evidlake.functions.rows import once
 from evidlake.functions.text import fold, java_regex, sql_text
 
@@ -35,7 +42,8 @@ def _gate(pattern: Pattern) -> str | None:
     if pattern.name in SHAPE_OF:
         return f"_shape_{SHAPE_OF[pattern.name]}"
     if pattern.name in NEEDLES:
-        return " OR ".join(f"contains(_folded, {sql_text(n)})" for n in NEEDLES[pattern.name])
+        some = " OR ".join(f"contains(_folded, {sql_text(n)})" for n in NEEDLES[pattern.name])
+        return f"_has_digit AND ({some})" if pattern.name in DIGIT_NEEDLES else some
     return None
 
 
@@ -67,9 +75,12 @@ def scan(
     if gated:
         shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
         staged = staged.withColumn("_folded", fold(F.col(text)))
-        staged = staged.withColumns(
-            {f"_shape_{s}": F.col("_folded").rlike(SHAPES[s]) for s in shapes}
-        )
+        staged = staged.withColumn("_has_digit", F.col(text).rlike(DIGIT))
+        tests = {}
+        for shape in shapes:
+            hit = F.col("_folded").rlike(SHAPES[shape])
+            tests[f"_shape_{shape}"] = F.col("_has_digit") & hit if shape in DIGIT_SHAPES else hit
+        staged = staged.withColumns(tests)
     # The catalogue is one SQL expression: a catalogue of columns takes seconds to build.
     hits = F.expr(
         f"filter(array({', '.join(_finding(p, text, gated) for p in catalog)}), "

@@ -128,7 +128,7 @@ FROM documents"""
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with content: the documents under user folders with many suffixes."""
     doc = F.col("doc_id")
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("source").alias("root"),
         text_of("/home/", F.col("source"), "/", choose(doc, FOLDERS), "/file_", doc, choose(doc, SUFFIXES)).alias("path"),
@@ -176,7 +176,7 @@ def sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(F.pmod(doc, F.lit(17)) == 0, F.lit("/usr/share")).otherwise(
         F.concat(F.lit("/home/"), F.col("source"))
     )
-    rows = load(spark, sf_dir, "documents").select(
+    rows = spread(load(spark, sf_dir, "documents")).select(
         "doc_id",
         text_of(place, "/sealed_", doc, choose(doc, ENCRYPTED_SUFFIXES)).alias("path"),
         F.unhex(F.concat(head, hex_of(F.col("text")))).alias("content"),
@@ -310,7 +310,7 @@ def as_win_events(events: DataFrame) -> DataFrame:
 
 
 def win_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_win_events(load(spark, sf_dir, "events"))
+    return as_win_events(spread(load(spark, sf_dir, "events")))
 
 
 # -- registry ------------------------------------------------------------------------------
@@ -549,7 +549,7 @@ def recovery_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_mft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as 1024-byte blocks, with update sequence and attributes."""
-    rec = mft_records(spark, sf_dir).filter(F.col("entry_number") != 5)
+    rec = spread(mft_records(spark, sf_dir).filter(F.col("entry_number") != 5))
     zero = lambda n: F.lit("00" * n)
     ticks = lambda c: F.when(
         F.col(c).isNull(), zero(8)
@@ -657,7 +657,7 @@ def command_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         out("misc", "blank", "  \n "),
         out("hash_analysis", "HASH_SYSTEM_FILES", "not text ", k),
     ]
-    return load(spark, sf_dir, "customer").select(
+    return spread(load(spark, sf_dir, "customer")).select(
         text_of("host", key).alias("host"), F.inline(F.array(*captured))
     )
 

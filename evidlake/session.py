@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidlake-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared checkpoint folder and read it back.
+
+    Cuts lineage like a checkpoint does, and the table read back has its true size, so
+    later joins broadcast it only when it really is small.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
