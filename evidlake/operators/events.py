@@ -57,8 +57,16 @@ def user_name() -> Column:
     return item(F.col("strings"), 5)
 
 
+def is_failed_logon() -> Column:
+    return (F.col("log") == "security") & (F.col("event_id") == L.LOGON_FAILED)
+
+
 def brute_force(events: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
-    failed = events.filter((F.col("log") == "security") & (F.col("event_id") == L.LOGON_FAILED))
+    """Users with more failed log-ons in a window than allowed."""
+    return count_failures(events.filter(is_failed_logon()), config)
+
+
+def count_failures(failed: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:
     counted = failed.groupBy(
         F.window("ts", config.window).alias("w"), user_name().alias("username")
     ).agg(F.count("*").alias("attempts"))

@@ -740,26 +740,26 @@ def history_totals(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT url, title FROM u WHERE month(last_visit) = 2 AND year(last_visit) = 2024 "
+        "SELECT url, title FROM u WHERE month(last_visit) = 1 AND year(last_visit) = 2024 "
         "AND (contains(lower(url), 'example') OR contains(lower(title), 'example'))",
         "visits", u=UNIFIED,
     )
 )
 def history_filter(spark, sf_dir):
     """History of one month with a search term."""
-    return browser.filter_history(_history(spark, sf_dir), 2, 2024, " Example ").select("url", "title")
+    return browser.filter_history(_history(spark, sf_dir), 1, 2024, " Example ").select("url", "title")
 
 
 @query(
     sql(
         f"SELECT url, {SHOWN.format('last_visit')} AS last_visit FROM u "
-        "WHERE last_visit >= TIMESTAMP '2024-03-01' - INTERVAL 20 DAY",
+        "WHERE last_visit >= TIMESTAMP '2024-01-15' - INTERVAL 10 DAY",
         "visits", u=UNIFIED,
     )
 )
 def history_recent(spark, sf_dir):
     """Visits after a cutoff, relative to a fixed point in time."""
-    rows = browser.recent(_history(spark, sf_dir), F.lit("2024-03-01").cast("timestamp"), 20)
+    rows = browser.recent(_history(spark, sf_dir), F.lit("2024-01-15").cast("timestamp"), 10)
     return rows.select("url", shown("last_visit").alias("last_visit"))
 
 

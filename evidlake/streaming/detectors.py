@@ -27,8 +27,14 @@ def event_stream(spark: SparkSession, path: str, schema: str = WINDOWS_EVENTS, *
 def stream_brute_force(
     events: DataFrame, late: str = "10 minutes", config: E.EventConfig = E.EventConfig()
 ) -> DataFrame:
-    """Append-mode brute force: a window is reported once, when it can get no more rows."""
-    return E.brute_force(events.withWatermark("ts", late), config)
+    """Append-mode brute force: a window is reported once, when it can get no more rows.
+
+    The filter names the event time, so it stays above the watermark: every event moves
+    the watermark on, not only the next failed log-on.
+    """
+    seen = events.withWatermark("ts", late)
+    failed = F.coalesce(E.is_failed_logon() & F.col("ts").isNotNull(), F.lit(False))
+    return E.count_failures(seen.filter(failed), config)
 
 
 def stream_row_anomalies(events: DataFrame) -> DataFrame:
