@@ -11,6 +11,7 @@ from evidlake.catalogs import indicator_catalog
 from evidlake.functions.paths import base_name
 from evidlake.operators.joins import lookup_join
 from evidlake.operators.scan import SEVERITIES, scan, severity_filter, summarize
+from evidlake.session import materialize
 
 
 def case_findings(
@@ -37,7 +38,7 @@ def case_findings(
 def with_notes(findings: DataFrame, notes: DataFrame) -> DataFrame:
     """The newest note of each path."""
     newest = notes.groupBy("path").agg(F.max_by("note", "ts").alias("notes"))
-    return lookup_join(findings, newest, "path", "left").withColumn(
+    return lookup_join(findings, newest, "path", "left", salts=1).withColumn(
         "notes", F.coalesce("notes", F.lit(""))
     )
 
@@ -50,15 +51,20 @@ def having_severity(findings: DataFrame, severities: Sequence[str]) -> DataFrame
 
 
 def case_timeline(findings: DataFrame) -> DataFrame:
-    """Findings by modification time, oldest first (a range-partitioned sort)."""
-    return findings.select(
+    """Findings by modification time, oldest first.
+
+    A range-partitioned sort reads its input twice, first to sample it. The few columns
+    it needs are written once, so the evidence is not scanned a second time.
+    """
+    rows = findings.select(
         F.col("mtime").alias("ts"),
         F.lit("File Modified").alias("event_type"),
         F.col("file_name").alias("file"),
         F.col("label").alias("evidence"),
         "threat_level",
         F.col("total_iocs").alias("iocs"),
-    ).orderBy("ts", "evidence", "file")
+    )
+    return materialize(rows).orderBy("ts", "evidence", "file")
 
 
 def case_totals(scanned_files: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def suspicious_files(hashes: DataFrame) -> DataFrame:
 def classify(hashes: DataFrame, known: DataFrame) -> DataFrame:
     """malware, suspicious or clean for every file."""
     bad = known_bad(hashes, known).groupBy("path").agg(F.min("threat").alias("threat"))
-    marked = lookup_join(hashes, bad, "path", "left")
+    marked = lookup_join(hashes, bad, "path", "left", salts=1)
     risky = F.col("path")
     is_risky = extension(risky).isin(L.RISKY_EXTENSIONS) & in_risky_place(risky, L.RISKY_LOCATIONS)
     return marked.withColumn(
@@ -144,7 +144,7 @@ def hash_search(hashes: DataFrame, term: str) -> DataFrame:
 def verify_integrity(hashes: DataFrame, expected: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """Compare to an expected hash per path, ignoring case."""
     want = expected.groupBy("path").agg(F.max("expected").alias("expected"))
-    joined = lookup_join(hashes, want, "path", "inner")
+    joined = lookup_join(hashes, want, "path", "inner", salts=1)
     return joined.withColumn(
         "verified", F.coalesce(F.lower(algorithm) == F.lower("expected"), F.lit(False))
     )

@@ -31,25 +31,32 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] | None = None,
     salts: int | None = None,
+    may_broadcast: bool = True,
 ) -> DataFrame:
     """Join rows to a side with at most one row per key.
 
-    A right side below the session's broadcast limit is left to the optimizer, which
-    broadcasts it. Above it, each left row goes to one of ``salts`` partitions of its
+    A right side whose estimated size is below the session's broadcast limit is
+    broadcast. The estimate is a bound for what filters and aggregates leave, but not
+    for exploded rows: such a side sets ``may_broadcast=False``. Above the limit, each left row goes to one of ``salts`` partitions of its
     key and the right row is copied to all of them, so the rows of one hot key are
     split over ``salts`` tasks. The salt is a hash of ``spread`` (by default every
     left column that can be hashed), so a task that runs again gives the same rows.
+    Where the left keys are unique as well, ``salts=1`` makes it a plain join.
     """
     on = [on] if isinstance(on, str) else list(on)
     limit = broadcast_limit(left.sparkSession)
-    if limit > 0 and plan_bytes(right) <= limit:
+    if may_broadcast and 0 < limit and plan_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
     if salts is None:
         salts = int(left.sparkSession.conf.get("evidlake.join.salts", str(DEFAULT_SALTS)))
+    if salts == 1:
+        return left.join(right, on, how)
     if spread is None:
         spread = [f.name for f in left.schema.fields if "map" not in f.dataType.simpleString()]
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if not may_broadcast:
+        copies = copies.hint("merge")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

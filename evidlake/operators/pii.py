@@ -75,8 +75,9 @@ def risk_score(findings: str = "findings") -> Column:
     )
 
 
-def investigative_score(text: Column, name: Column, findings: str = "findings") -> Column:
-    """0 to 10: points per value, more for several types, form words and official words."""
+def investigative_score(lowered: Column, name: Column, findings: str = "findings") -> Column:
+    """0 to 10: points per value, more for several types, form words and official words
+    (``lowered`` is the text in lower case)."""
     points = F.aggregate(
         F.col(findings),
         F.lit(0).cast("long"),
@@ -85,7 +86,6 @@ def investigative_score(text: Column, name: Column, findings: str = "findings")
     )
     types = F.size(findings)
     variety = F.when(types >= 3, 2).when(types >= 2, 1).otherwise(0)
-    lowered = F.lower(text)
     words = count_contains(lowered, L.FORM_WORDS)
     form = F.when(words >= 3, 2).when(words >= 2, 1).otherwise(0)
     official = any_contains(lowered, L.OFFICIAL_WORDS) | any_contains(F.lower(name), L.OFFICIAL_WORDS)
@@ -128,6 +128,10 @@ def pii_files(
     if config.skip_low_value:
         rows = rows.filter(~is_low_value(path, F.col("size"), config.min_file_bytes))
     scanned = scan(rows, personal_catalog(), text, keep_text=True)
+    if config.min_findings > 0:
+        # Most texts hold nothing personal; they need no score.
+        scanned = scanned.filter(F.size("findings") > 0)
+    scanned = scanned.withColumn("_lower", F.lower(F.col(text)))
     preview = F.when(
         F.length(text) > config.preview_chars,
         F.concat(F.substring(text, 1, config.preview_chars), F.lit("...")),
@@ -139,7 +143,7 @@ def pii_files(
         {
             "risk_score": risk_score(),
             "items": total_matches(),
-            "investigative_score": investigative_score(F.col(text), base_name(path)),
+            "investigative_score": investigative_score(F.col("_lower"), base_name(path)),
             "categories": categories(),
             "text_preview": preview,
         },

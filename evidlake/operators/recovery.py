@@ -75,7 +75,7 @@ def free_clusters(files: DataFrame, extents: DataFrame) -> DataFrame:
     )
     joined = lookup_join(
         _pieces(runs, "start", "end"), allocation_blocks(extents), ["volume", "block"], "left",
-        spread=["file_id", "run"],
+        spread=["file_id", "run"], may_broadcast=False,
     )
     overlap = F.aggregate(
         F.coalesce("allocated", F.array().cast("array<struct<s:bigint,e:bigint>>")),
@@ -113,7 +113,7 @@ def assess(files: DataFrame, extents: DataFrame | None = None) -> DataFrame:
         percent, status = F.lit(50.0), F.lit("PARTIAL")
     else:
         counted = free_clusters(files.filter(~resident & has_runs), extents)
-        rows = lookup_join(files, counted, ["volume", "file_id"], "left", spread=["file_id"])
+        rows = lookup_join(files, counted, ["volume", "file_id"], "left", salts=1)
         free = F.col("total_clusters") - F.col("used_clusters")
         percent = F.coalesce(free / F.nullif(F.col("total_clusters"), F.lit(0)) * 100.0, F.lit(0.0))
         status = recovery_status(percent)

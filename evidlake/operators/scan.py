@@ -47,11 +47,10 @@ def _gate(pattern: Pattern) -> str | None:
     return None
 
 
-def _finding(pattern: Pattern, text: str, gated: bool) -> str:
+def _finding(pattern: Pattern, text: str, gate: str | None) -> str:
     """One pattern as a SQL struct: its attributes and its distinct matches."""
     regex = java_regex(POSSESSIVE.get(pattern.regex, pattern.regex), True, pattern.multiline)
     found = f"array_distinct(regexp_extract_all(`{text}`, {sql_text(regex)}, 0))"
-    gate = _gate(pattern) if gated else None
     if gate:
         found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"
     return (
@@ -72,6 +71,8 @@ def scan(
     """Add the findings of every enabled pattern: distinct matches in first-seen order."""
     catalog = [p for p in catalog if p.enabled]
     staged = df
+    gates: dict[Pattern, str] = {}
+    opened: dict[str, Column] = {}
     if gated:
         shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
         staged = staged.withColumn("_folded", fold(F.col(text)))
@@ -81,9 +82,17 @@ def scan(
             hit = F.col("_folded").rlike(SHAPES[shape])
             tests[f"_shape_{shape}"] = F.col("_has_digit") & hit if shape in DIGIT_SHAPES else hit
         staged = staged.withColumns(tests)
+        # Gates are columns of their own, so they run in generated code; the array of
+        # findings below is interpreted.
+        for p in catalog:
+            test = _gate(p)
+            if test:
+                gates[p] = f"_gate_{len(gates)}"
+                opened[gates[p]] = F.expr(test)
+        staged = staged.withColumns(opened)
     # The catalogue is one SQL expression: a catalogue of columns takes seconds to build.
     hits = F.expr(
-        f"filter(array({', '.join(_finding(p, text, gated) for p in catalog)}), "
+        f"filter(array({', '.join(_finding(p, text, gates.get(p)) for p in catalog)}), "
         "f -> size(f.matches) > 0)"
     )
     keep = [c for c in df.columns if keep_text or c != text]
