@@ -21,8 +21,8 @@ from evidlake.catalogs import (
 )
 from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns
-from evidlake.functions.binary import looks_like_memory
-from evidlake.functions.paths import base_name
+from evidlake.functions.binary import bit_is_set, hex_dump, is_text, looks_like_memory
+from evidlake.functions.paths import base_name, extension, parent_dir
 from evidlake.functions.sizes import human_size, short_size
 from evidlake.operators import (
     browser,
@@ -31,7 +31,6 @@ from evidlake.operators import (
     hashes,
     image,
     intel,
-    joins,
     memory,
     mft,
     mft_decode,
@@ -1792,3 +1791,184 @@ def size_labels(spark, sf_dir):
         "p_partkey", (F.col("p_size").cast("long") * F.col("p_partkey") * 1000).alias("v")
     )
     return rows.select("p_partkey", human_size(F.col("v")).alias("human"), short_size(F.col("v")).alias("short"))
+
+
+# -- further columns and reports ---------------------------------------------------------
+
+
+@query(
+    sql(
+        "SELECT path, name, CAST(len(m) AS BIGINT) AS count, least(len(m), 5) AS examples FROM f",
+        "texts", f=scan_sql("texts", extract_catalog()),
+    )
+)
+def regex_examples(spark, sf_dir):
+    """Findings with at most five example values; counts stay whole."""
+    rows = scan.explode_findings(scan.scan(S.texts(spark, sf_dir), extract_catalog()))
+    cut = scan.limit_examples(rows, 5)
+    return cut.select("path", "name", "count", F.size("matches").cast("long").alias("examples"))
+
+
+@query(
+    sql(
+        "SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '\\.[a-z0-9]+$') AS ext, "
+        "regexp_replace(path, '/[^/]*$', '') AS directory FROM files",
+        "files",
+    )
+)
+def path_parts(spark, sf_dir):
+    """Base name, extension and directory of each file."""
+    path = F.col("path")
+    return S.files(spark, sf_dir).select(
+        "path", base_name(path).alias("name"), extension(path).alias("ext"),
+        parent_dir(path).alias("directory"),
+    )
+
+
+@query(
+    "SELECT doc_id, trim(regexp_replace(lower(left(hex(encode(text)), 32)), '(..)', '\\1 ', 'g')) AS dump, "
+    "regexp_full_match(left(hex(encode(text)), 200), '(?:0[9AD]|[2-6][0-9A-F]|7[0-9A-E])*') AS is_text "
+    "FROM documents"
+)
+def content_preview(spark, sf_dir):
+    """Hex dump of the first bytes and whether the content is text."""
+    content = F.encode("text", "UTF-8")
+    return S.load(spark, sf_dir, "documents").select(
+        "doc_id", hex_dump(content, 16).alias("dump"), is_text(content).alias("is_text")
+    )
+
+
+@query(
+    sql(
+        f"SELECT url, {SHOWN.format('last_visit')} AS last_visit FROM u "
+        "WHERE last_visit >= TIMESTAMP '2024-01-15' - INTERVAL 365 DAY "
+        "ORDER BY u.last_visit DESC, url LIMIT 50",
+        "visits", u=UNIFIED,
+    )
+)
+def history_newest(spark, sf_dir):
+    """The fifty newest visits of the last year."""
+    rows = browser.recent(_history(spark, sf_dir), F.lit("2024-01-15").cast("timestamp"), 365, 50)
+    return rows.select("url", shown("last_visit").alias("last_visit"))
+
+
+@query(
+    mft_sql(
+        "SELECT entry_number FROM r WHERE is_deleted AND "
+        "epoch_us(TIMESTAMP '2001-06-01 00:00:59') - epoch_us(si_modified) < 60000000"
+    )
+)
+def recently_deleted(spark, sf_dir):
+    """Deleted records changed less than a minute before a point in time."""
+    as_of = F.lit("2001-06-01 00:00:59").cast("timestamp")
+    rows = _with_paths(spark, sf_dir).select("entry_number", mft.anomaly_flags(as_of).alias("flags"))
+    return rows.filter(F.array_contains("flags", "RECENTLY_DELETED")).select("entry_number")
+
+
+@query(
+    "SELECT p_partkey * 16 AS base, count(*) FILTER (b) AS allocated, "
+    "count(*) FILTER (b AND NOT before) AS extents FROM (SELECT p_partkey, (v >> i) & 1 = 1 AS b, "
+    "i > 0 AND (v >> greatest(i - 1, 0)) & 1 = 1 AS before FROM (SELECT p_partkey, "
+    "(p_partkey * 40503 + 1) % 65536 AS v, unnest(range(16)) AS i FROM part)) "
+    "GROUP BY p_partkey HAVING count(*) FILTER (b) > 0"
+)
+def bitmap_extents(spark, sf_dir):
+    """Allocated extents of a cluster bit map, summed per pair of bytes."""
+    pk = F.col("p_partkey")
+    bits = F.unhex(S.hex_le(F.pmod(pk * 40503 + 1, F.lit(65536)), 2))
+    rows = S.load(spark, sf_dir, "part").select(
+        F.lit("C:").alias("volume"), (pk * 2).alias("byte_offset"), bits.alias("bits")
+    )
+    found = recovery.bitmap_extents(rows)
+    base = F.call_function("div", F.col("start"), F.lit(16)) * 16
+    return found.groupBy(base.alias("base")).agg(
+        F.sum(F.col("end_excl") - F.col("start")).alias("allocated"), F.count("*").alias("extents")
+    )
+
+
+@query(
+    "SELECT p_partkey, (((p_partkey * 40503 + 1) % 65536) >> CAST(p_partkey % 20 AS INT)) & 1 = 1 "
+    "OR p_partkey % 20 >= 16 AS allocated FROM part"
+)
+def cluster_allocated(spark, sf_dir):
+    """Single-cluster test; a cluster outside the map counts as allocated."""
+    pk = F.col("p_partkey")
+    bits = F.unhex(S.hex_le(F.pmod(pk * 40503 + 1, F.lit(65536)), 2))
+    return S.load(spark, sf_dir, "part").select(
+        "p_partkey", bit_is_set(bits, F.pmod(pk, F.lit(20))).alias("allocated")
+    )
+
+
+@query(
+    "SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'None' WHEN 1 THEN 'Complete' WHEN 2 THEN 'Kernel' "
+    "WHEN 3 THEN 'Small (Minidump)' WHEN 7 THEN 'Automatic' ELSE 'Unknown' END AS dump_type, "
+    "CASE p_size % 3 WHEN 0 THEN 'Full Memory Dump' WHEN 1 THEN 'Minidump' ELSE '' END AS dump_kind, "
+    "CASE WHEN p_size > 50 THEN 'Normal' WHEN p_size > 20 THEN 'Warning' ELSE 'Critical' END AS pressure "
+    "FROM part"
+)
+def memory_labels(spark, sf_dir):
+    """Crash-dump type and kind, and memory-pressure band."""
+    size = F.col("p_size")
+    path = S.choose(size, ["C:\\Windows\\MEMORY.DMP", "C:\\Windows\\Minidump\\a.dmp", "C:\\x.txt"])
+    return S.load(spark, sf_dir, "part").select(
+        "p_partkey",
+        memory.crash_dump_type(size % 9).alias("dump_type"),
+        F.coalesce(memory.dump_kind(path), F.lit("")).alias("dump_kind"),
+        memory.memory_pressure(size).alias("pressure"),
+    )
+
+
+LOCKDOWN = ["[none] integrity confidentiality", "none [integrity] confidentiality",
+            "none integrity [confidentiality]", "other"]
+
+
+@query(
+    "SELECT c_custkey, ['none', 'integrity', 'confidentiality', 'other'][CAST(c_custkey % 4 AS INT) + 1] AS level, "
+    "CASE WHEN c_custkey % 2 = 0 THEN 'Symbols hidden (non-root or KASLR active)' "
+    "ELSE 'Kernel symbols visible' END AS symbols FROM customer"
+)
+def kernel_notes(spark, sf_dir):
+    """Kernel lockdown level and symbol note from captured text."""
+    key = F.col("c_custkey")
+    first = S.choose(key, ["0000000000000000 T start", "ffffffff81000000 T start"])
+    return S.load(spark, sf_dir, "customer").select(
+        "c_custkey",
+        memory.lockdown_level(S.choose(key, LOCKDOWN)).alias("level"),
+        memory.symbols_note(first).alias("symbols"),
+    )
+
+
+@query("SELECT count(*) FILTER (c_acctbal > 0) AS usable_sources FROM customer")
+def memory_sources(spark, sf_dir):
+    """Memory sources that can be used."""
+    rows = S.load(spark, sf_dir, "customer").select((F.col("c_acctbal") > 0).alias("usable"))
+    return memory.usable_sources(rows)
+
+
+@query(
+    "SELECT 'D:\\page_' || (c_custkey % 500) || '.sys' AS path FROM customer EXCEPT "
+    "SELECT 'D:\\page_' || s_suppkey || '.sys' FROM supplier"
+)
+def new_image_paths(spark, sf_dir):
+    """Configured image locations that are not known yet."""
+    name = lambda key: S.text_of("D:\\page_", key, ".sys").alias("path")
+    configured = S.load(spark, sf_dir, "customer").select(name(F.pmod("c_custkey", F.lit(500))))
+    known = S.load(spark, sf_dir, "supplier").select(name(F.col("s_suppkey")))
+    return image.new_locations(configured, known)
+
+
+@query(
+    sql(
+        "SELECT module, items FROM (SELECT 'registry' AS module, (SELECT count(*) FROM registry_services) AS items "
+        "UNION ALL SELECT 'file records', (SELECT count(*) FROM mft))",
+        "registry_services", "mft",
+    )
+)
+def module_items(spark, sf_dir):
+    """Items of further modules."""
+    count = F.count("*").alias("items")
+    totals = {
+        "registry": registry.services(S.registry_values(spark, sf_dir)).agg(count),
+        "file records": S.mft_records(spark, sf_dir).agg(count),
+    }
+    return case.module_totals(totals).select("module", "items")
