@@ -629,7 +629,7 @@ def encrypted_files(spark, sf_dir):
         "+ CASE WHEN password_protected > 10 THEN 25 ELSE 0 END "
         "+ CASE WHEN encrypted_found > 50 THEN 25 ELSE 0 END AS risk_score FROM (SELECT "
         "count(*) AS total_scanned, count(encryption_class) AS encrypted_found, "
-        "0 AS efs_files, 0 AS filevault_files, "
+        "CAST(0 AS BIGINT) AS efs_files, CAST(0 AS BIGINT) AS filevault_files, "
         "count(*) FILTER (encryption_class = 'password_protected') AS password_protected, "
         "count(*) FILTER (encryption_class = 'container') AS encrypted_containers, "
         "count(*) FILTER (encryption_class = 'encrypted_format') AS encrypted_archives FROM x))",
@@ -1451,7 +1451,7 @@ def output_indicators(spark, sf_dir):
 
 @query(
     "SELECT 'host' || (c_custkey % 40) AS host, (c_custkey + 1) * 1024000 AS total, "
-    "(c_custkey + 1) * 10240 AS available, (c_custkey + 1) * 1013760 AS used, 5120 AS swap_total FROM customer"
+    "(c_custkey + 1) * 10240 AS available, (c_custkey + 1) * 1013760 AS used, CAST(5120 AS BIGINT) AS swap_total FROM customer"
 )
 def memory_summary(spark, sf_dir):
     """Memory totals from captured text."""

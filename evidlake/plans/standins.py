@@ -456,7 +456,7 @@ SELECT 'C:' AS volume, p_partkey + 5 AS entry_number,
        {_sql_list(NAMES)}[CAST(p_partkey % 7 AS INT) + 1] || '_' || p_partkey AS filename,
        p_size % 2 = 0 AS is_deleted, p_size % 5 = 0 AS is_directory, p_size < 10 AS is_resident,
        p_size % 7 <> 0 AS has_runs, CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END AS n_ads,
-       p_size * 1000000 AS logical_size, p_partkey, p_size,
+       CAST(p_size AS BIGINT) * 1000000 AS logical_size, p_partkey, p_size,
        CASE WHEN p_size % 13 = 0 THEN NULL ELSE o_orderdate END AS si_modified,
        o_orderdate AS si_created,
        CASE WHEN p_size % 6 = 0 THEN o_orderdate + INTERVAL 2 SECOND
