@@ -50,8 +50,8 @@ def apply_fixup(record: bytes, offset: int, count: int) -> bytes:
 
 
 def data_runs(data: bytes, pos: int, end: int) -> list[dict]:
-    """Cluster runs; each start is relative to the one before. A run without an offset
-    is a hole and holds no clusters."""
+    """Cluster runs; each start is relative to the one before, and a run without an offset
+    keeps it."""
     runs, start = [], 0
     while pos < end and data[pos]:
         n_len, n_off = data[pos] & 15, data[pos] >> 4

@@ -65,14 +65,16 @@ def bitmap_extents(bitmap: DataFrame) -> DataFrame:
     )
 
 
-def free_clusters(files: DataFrame, extents: DataFrame) -> DataFrame:
-    """Total and allocated clusters of each file (volume, file_id) with data runs."""
-    runs = files.select("volume", "file_id", F.posexplode("data_runs").alias("run", "r"))
-    runs = runs.select(
-        "volume", "file_id", "run",
-        F.col("r.start").alias("start"),
-        (F.col("r.start") + F.col("r.n")).alias("end"),
-    )
+def runs_of(files: DataFrame) -> DataFrame:
+    """One row per cluster run of files that carry their runs as an array."""
+    rows = files.select("volume", "file_id", F.posexplode("data_runs").alias("run", "r"))
+    return rows.select("volume", "file_id", "run", "r.start", "r.n")
+
+
+def free_clusters(runs: DataFrame, extents: DataFrame) -> DataFrame:
+    """Total and allocated clusters of each file from its runs (volume, file_id, run,
+    start, n). A file may have any number of runs: they are never put into one group."""
+    runs = runs.withColumn("end", F.col("start") + F.col("n"))
     joined = lookup_join(
         _pieces(runs, "start", "end"), allocation_blocks(extents), ["volume", "block"], "left",
         spread=["file_id", "run"], may_broadcast=False,
@@ -97,13 +99,21 @@ def recovery_status(percent: Column) -> Column:
     return F.when(percent == 100, "FULL").when(percent > 0, "PARTIAL").otherwise("OVERWRITTEN")
 
 
-def assess(files: DataFrame, extents: DataFrame | None = None) -> DataFrame:
-    """Status and percent of each file (volume, file_id, is_resident, data_runs).
+def assess(
+    files: DataFrame, extents: DataFrame | None = None, runs: DataFrame | None = None
+) -> DataFrame:
+    """Status and percent of each file (volume, file_id, is_resident).
 
     Resident data is whole; a file without runs has only metadata; otherwise the share
-    of free clusters decides. Without an allocation map half is assumed.
+    of free clusters decides. Without an allocation map half is assumed. Runs are the
+    files' ``data_runs`` arrays, or rows of their own given as ``runs``, with a boolean
+    ``has_runs`` in the files.
     """
-    has_runs = F.size(F.coalesce("data_runs", F.array().cast("array<struct<start:bigint,n:bigint>>"))) > 0
+    no_runs = F.array().cast("array<struct<start:bigint,n:bigint>>")
+    if "has_runs" in files.columns:
+        has_runs = F.col("has_runs")
+    else:
+        has_runs = F.size(F.coalesce("data_runs", no_runs)) > 0
     resident = F.col("is_resident")
     if extents is None:
         run_sum = F.aggregate("data_runs", F.lit(0).cast("long"), lambda a, r: a + r["n"])
@@ -112,7 +122,9 @@ def assess(files: DataFrame, extents: DataFrame | None = None) -> DataFrame:
         )
         percent, status = F.lit(50.0), F.lit("PARTIAL")
     else:
-        counted = free_clusters(files.filter(~resident & has_runs), extents)
+        if runs is None:
+            runs = runs_of(files.filter(~resident & has_runs))
+        counted = free_clusters(runs, extents)
         rows = lookup_join(files, counted, ["volume", "file_id"], "left", salts=1)
         free = F.col("total_clusters") - F.col("used_clusters")
         percent = F.coalesce(free / F.nullif(F.col("total_clusters"), F.lit(0)) * 100.0, F.lit(0.0))

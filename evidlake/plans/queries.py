@@ -1253,7 +1253,8 @@ STATUS_SQL = (
 
 
 def _assessed(spark, sf_dir):
-    return recovery.assess(S.recovery_files(spark, sf_dir), S.allocated_extents(spark, sf_dir))
+    files, runs = S.recovery_files(spark, sf_dir)
+    return recovery.assess(files, S.allocated_extents(spark, sf_dir), runs)
 
 
 @query(

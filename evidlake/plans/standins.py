@@ -538,13 +538,22 @@ SELECT l_orderkey AS file_id, list({'s': l_partkey * 10, 'n': l_linenumber}) AS
 FROM lineitem GROUP BY l_orderkey"""
 
 
-def recovery_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted files with the runs of an order's lines (an order has few lines)."""
-    run = F.struct((F.col("l_partkey") * 10).alias("start"), F.col("l_linenumber").cast("bigint").alias("n"))
+def recovery_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Deleted files and their runs from orders and their lines, the runs as rows."""
+    lines = load(spark, sf_dir, "lineitem")
     resident = (F.col("l_linenumber") == 7) & (F.col("l_quantity") < 10)
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(
-        F.collect_list(run).alias("data_runs"), F.bool_or(resident).alias("is_resident")
-    ).select(F.lit("C:").alias("volume"), "file_id", "is_resident", "data_runs")
+    found = lines.groupBy(F.col("l_orderkey").alias("file_id")).agg(
+        F.bool_or(resident).alias("is_resident")
+    )
+    runs = lines.select(
+        F.lit("C:").alias("volume"),
+        F.col("l_orderkey").alias("file_id"),
+        F.xxhash64("l_partkey", "l_suppkey", "l_linenumber").alias("run"),
+        (F.col("l_partkey") * 10).alias("start"),
+        F.col("l_linenumber").cast("bigint").alias("n"),
+    )
+    files = found.select(F.lit("C:").alias("volume"), "file_id", "is_resident", F.lit(True).alias("has_runs"))
+    return files, runs
 
 
 def raw_mft(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,8 @@ def test_recovery_equals_a_bit_by_bit_count(spark):
         taken.update(range(start, end))
         at = end + 1
     files = [("C:", i, False, [(rng.randrange(0, 6500), rng.randrange(1, 1500)) for _ in range(3)]) for i in range(60)]
-    counted = recovery.free_clusters(spark.createDataFrame(files, FILES), spark.createDataFrame(extents, EXTENTS))
+    runs = recovery.runs_of(spark.createDataFrame(files, FILES))
+    counted = recovery.free_clusters(runs, spark.createDataFrame(extents, EXTENTS))
     got = {r.file_id: (r.total_clusters, r.used_clusters) for r in counted.collect()}
     for _, i, _, runs in files:
         used = sum(1 for s, n in runs for c in range(s, s + n) if c in taken)
