@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import keep
+from evidlake.llm.common import hashed_sample, keep
 from evidlake.llm.topk import merge_tree, search_tile, tiles_of, usable
 
 #: Bound of the sample on which graph, partitions and router are fitted.
@@ -113,7 +113,7 @@ def fit(vectors: DataFrame, k: int = 5, parts: int = 64, neighbours: int = 10, s
     the least one with which these rows find ``recall`` of their true nearest rows of the
     whole sample, each row lying in its most probable part.
     """
-    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()
+    rows = hashed_sample(vectors, sample, "id", seed=seed)
     if len(rows):
         size = int(rows["v"].map(len).mode().iloc[0])
         rows = rows[rows["v"].map(len) == size]

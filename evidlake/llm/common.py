@@ -53,6 +53,19 @@ def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def hashed_sample(df: DataFrame, rows: int, *by: str, seed: int = 0) -> pd.DataFrame:
+    """At most ``rows`` rows, those with the least hashes of ``by``, in that order.
+
+    First the hashes alone are ranked, so only the sample's own rows reach the driver.
+    """
+    hashed = df.withColumn("_sample", F.xxhash64(F.lit(seed), *by))
+    edge = hashed.select("_sample").orderBy("_sample").limit(rows).agg(F.max("_sample")).first()[0]
+    if edge is None:
+        return df.limit(0).toPandas()
+    picked = hashed.filter(F.col("_sample") <= edge).orderBy("_sample", *by).limit(rows)
+    return picked.drop("_sample").toPandas()
+
+
 def holds_out(doc_id):
     """True for rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidlake.llm.common import hashed_sample
+
 
 SILENT = frozenset("script style template noscript head title svg canvas iframe object math textarea select".split())
 INLINE = frozenset(
@@ -348,11 +350,9 @@ def train(pages: DataFrame, sample: int = 150, drawn: int = 400, longest: int =
     """
     rng = random.Random(7)
     data = [labelled(drawn_page(rng)) for _ in range(drawn)]
-    rows = (
-        pages.filter(F.length("html") <= longest).select("html").orderBy(F.xxhash64("html")).limit(sample).collect()
-    )
-    for row in rows:
-        blocks = leaf_blocks(row["html"])
+    rows = hashed_sample(pages.filter(F.length("html") <= longest).select("html"), sample, "html")
+    for html in rows["html"]:
+        blocks = leaf_blocks(html)
         labels = landmarks(blocks)
         if labels and len(blocks) <= most_blocks:
             data.append((blocks, labels))

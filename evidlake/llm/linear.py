@@ -19,18 +19,33 @@ class SparseRows:
         self.values = None if values is None else np.concatenate(values)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
+    def _stripes(self):
+        """Ranges of rows with about a million values: large samples need little memory."""
+        row = 0
+        while row < len(self.sizes):
+            end = int(np.searchsorted(self.starts, self.starts[row] + (1 << 20), side="right")) - 1
+            end = min(max(end, row + 1), len(self.sizes))
+            yield row, end, slice(self.starts[row], self.starts[end])
+            row = end
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        got = weights[self.columns]
-        if self.values is not None:
-            got = got * self.values
-        sums = np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        out = np.zeros(len(self.sizes))
+        for a, b, at in self._stripes():
+            got = weights[self.columns[at]]
+            if self.values is not None:
+                got = got * self.values[at]
+            sums = np.concatenate([[0.0], np.cumsum(got)])
+            out[a:b] = sums[self.starts[a + 1 : b + 1] - at.start] - sums[self.starts[a:b] - at.start]
+        return out
 
     def add_up(self, per_row: np.ndarray) -> np.ndarray:
-        spread = np.repeat(per_row, self.sizes)
-        if self.values is not None:
-            spread = spread * self.values
-        return np.bincount(self.columns, spread, self.width)
+        out = np.zeros(self.width)
+        for a, b, at in self._stripes():
+            spread = np.repeat(per_row[a:b], self.sizes[a:b])
+            if self.values is not None:
+                spread = spread * self.values[at]
+            out += np.bincount(self.columns[at], spread, self.width)
+        return out
 
 
 def fit(rows: SparseRows, y, scale=None, steps=80, rate=0.05, penalty=1e-4, weight=None):

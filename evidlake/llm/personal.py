@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidlake.llm.boosting import Trees, boost
+from evidlake.llm.common import hashed_sample
 from evidlake.llm.linear import calibrate, sigmoid
 
 #: Base kinds in the order of the digest, then what the trees add.
@@ -194,10 +195,8 @@ def train(docs: DataFrame, sample: int = 2000, longest: int = 50_000, precision:
     are negative. Every third document is kept aside: on it, scores are calibrated and the
     threshold is set to the least one that reaches ``precision``.
     """
-    texts = (
-        docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
-        .select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).toPandas()
-    )
+    short = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).select("doc_id", "text")
+    texts = hashed_sample(short, sample, "doc_id", "text")
     x: list[list[float]] = []
     y: list[float] = []
     aside: list[bool] = []
