@@ -15,8 +15,6 @@ from evidlake.llm.components import components
 from evidlake.llm.shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
-#: Of two sets with similarity 0.75, 128 registers agree in fewer than this share about once in 10**10.
-LEAST_SHARE = 0.48
 
 
 def super_minhash(sets: list[np.ndarray], registers: int, seed: int = 1) -> np.ndarray:
@@ -59,7 +57,7 @@ def _bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, two set hashes, the bands and a byte of each register."""
+    """``doc_id``, ``n_shingles``, two set hashes and the bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,10 +75,6 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                 if parts:
                     signature = np.concatenate(parts)
                 keys: list = [None] * len(sets)
-                bytes_: list = [None] * len(sets)
-                low = (mix64(signature.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                for row, i in enumerate(full):
-                    bytes_[i] = low[row].tobytes()
                 for i, x in zip(full, _bands(signature, bands, rows)):
                     keys[i] = x
                 yield pd.DataFrame({
@@ -89,12 +83,11 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                     "hash1": [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets],
                     "hash2": [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets],
                     "bands": keys,
-                    "signature": bytes_,
                 })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         run,
-        "doc_id long, n_shingles long, hash1 long, hash2 long, bands array<long>, signature binary",
+        "doc_id long, n_shingles long, hash1 long, hash2 long, bands array<long>",
     )
 
 
@@ -128,53 +121,83 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return with_texts.mapInPandas(run, "a long, b long")
 
 
-def _rest(buckets: DataFrame, reps: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and were not compared yet.
+def linked_pairs(sets: list[np.ndarray], components_: list, percent: int, stripe: int = 4096) -> list[tuple[int, int]]:
+    """Links between different components among some sets, as few as keep what they connect.
+
+    All intersections at once: products of the sets' incidence matrix with itself, over
+    ``stripe`` shingles at a time.
+    """
+    n = len(sets)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    common = times[column] > 1
+    names = np.cumsum(times > 1) - 1
+    row, column = row[common], names[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, stripe):
+        x, y = np.searchsorted(column, [at, at + stripe])
+        part = np.zeros((n, stripe), np.float32)
+        part[row[x:y], column[x:y] - at] = 1
+        both += part @ part.T
+    size = np.array([len(s) for s in sets], np.float64)
+    label = np.unique(np.array(components_), return_inverse=True)[1]
+    link = 100.0 * both >= percent * (size[:, None] + size[None, :] - both)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in np.argwhere(np.triu(link & (label[:, None] != label[None, :]), 1)).tolist():
+        a, b = find(int(label[i])), find(int(label[j]))
+        if a != b:
+            root[b] = a
+            out.append((i, j))
+    return out
+
+
+def _rest(buckets: DataFrame, texts: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """Confirmed links between members of a bucket that lie in different components.
 
     Only buckets whose members are in several components after the first round are left.
-    Their members are dealt into blocks and compared block by block on their registers, so
-    a large bucket is many tasks, and only pairs that may be similar come out.
+    Their members are dealt into blocks, and every two blocks of a bucket meet in a task,
+    which compares full sets and returns at most a tree of links: neither a task's input
+    nor the result grows with the square of the bucket.
     """
     labelled = buckets.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     mixed = labelled.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.min("id").alias("pivot"),
+        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
     ).filter("n > 2 and lo <> hi")
-    members = labelled.join(mixed.select("bucket", "n", "pivot"), "bucket").filter("id <> pivot")
-    members = members.join(reps.select("id", "signature"), "id").withColumns({
-        "of": F.ceil(F.col("n") / block).cast("int"),
-    }).withColumn("at", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    # block i meets every block; (i, j) stands for both orders
+    members = labelled.join(mixed.select("bucket", "n"), "bucket").withColumn(
+        "of", F.ceil(F.col("n") / block).cast("int")
+    ).withColumn("at", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    # two blocks i <= j hold all their members; of one block, i = j
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
-        "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id",
-        "component", "signature",
-    )
+        "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "component"
+    ).join(texts, "id")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame[frame["at"] == key[1]]
-        right = frame[frame["at"] == key[2]]
-        x = np.stack([np.frombuffer(s, np.uint8) for s in left["signature"]]) if len(left) else None
-        y = np.stack([np.frombuffer(s, np.uint8) for s in right["signature"]]) if len(right) else None
-        out_a, out_b = [], []
-        if x is not None and y is not None:
-            ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-            mine, theirs = left["component"].to_numpy(), right["component"].to_numpy()
-            for r in range(len(x)):
-                close = (y == x[r]).mean(axis=1) >= LEAST_SHARE
-                close &= (theirs != mine[r]) & ((others > ids[r]) if key[1] == key[2] else True)
-                out_b.append(others[close])
-                out_a.append(np.full(int(close.sum()), ids[r]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return tiles.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        if frame["component"].nunique() < 2:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        ids = frame["id"].to_numpy()
+        sets = list(shingle_sets(column_of(frame, "text")))
+        pairs = linked_pairs(sets, list(frame["component"]), percent)
+        return pd.DataFrame(
+            {"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype=np.int64
+        )
+
+    return tiles.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 1000
+    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -185,7 +208,7 @@ def near_duplicates(
     Two sets of similarity 0.75 share none of 32 bands of 4 registers with probability
     5e-6. First, every member of a bucket is held against the bucket's least member; then
     members of buckets that still span several components are compared in blocks. Every
-    pair that comes out is confirmed on full sets.
+    link is confirmed on full sets.
 
     Null or wordless texts have an empty set and are linked with nothing. A null
     ``doc_id`` is no node: such a row has a null component and is kept. Rows of one id are
@@ -196,7 +219,7 @@ def near_duplicates(
     keys = ["n_shingles", "hash1", "hash2"]
     classes = nodes.groupBy(*keys).agg(F.min("doc_id").alias("id"))
     reps = keep(
-        nodes.join(classes, keys).filter("doc_id = id").select("id", "bands", "signature")
+        nodes.join(classes, keys).filter("doc_id = id").select("id", "bands")
     )
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n"))
@@ -207,7 +230,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     links = keep(verified(first, texts, percent))
     groups = components(links)
-    more = keep(verified(_rest(buckets, reps, groups, block), texts, percent))
+    more = keep(_rest(buckets, texts, groups, percent, block))
     if not more.isEmpty():
         groups = components(
             groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
