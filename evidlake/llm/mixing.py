@@ -16,7 +16,7 @@ def word_count(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """Between 0.1 and 1: the share of letters, digits and spaces among the characters."""
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", ""))
-    return F.greatest(F.lit(0.1), F.coalesce(plain / F.length(text), F.lit(0.1)))
+    return F.greatest(F.lit(0.1), F.coalesce(F.try_divide(plain, F.length(text)), F.lit(0.1)))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> DataFrame:
