@@ -66,6 +66,14 @@ def personal_catalog() -> list[Pattern]:
     ]
 
 
+def shipped_patterns() -> list[Pattern]:
+    """All patterns that come with the library."""
+    return [
+        *extract_catalog(), *suspicious_catalog(), *indicator_catalog(), *indicator_catalog(True),
+        *personal_catalog(),
+    ]
+
+
 def as_table(spark: SparkSession, catalog: list[Pattern]) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(p).values()) for p in catalog], PATTERN_SCHEMA)
 

@@ -281,23 +281,56 @@ ANALYSIS_CATEGORIES = ["regex_analysis", "hash_analysis"]
 COMMAND_DESCRIPTIONS = {
     "net user": "Display all user accounts on the system",
     "wmic useraccount list": "List detailed user account information",
-    "ipconfig /all": "Display complete network configuration (IP addresses, DNS, MAC addresses)",
+    "Get-LocalUser|Format-List": "Show local user accounts with full details",
+    'ipconfig /all':
+        'Display complete network configuration (IP addresses, DNS, MAC addresses)',
     "netstat -nao": "Show all active network connections with process IDs",
     "netstat -e": "Display network interface statistics (packets sent/received, errors)",
     "netstat -s": "Show detailed protocol statistics (TCP, UDP, ICMP)",
     "arp -a": "Display ARP cache (IP to MAC address mappings)",
     "route print": "Show network routing table",
+    "Get-NetAdapter|Format-List": "List all network adapters with detailed properties",
+    'Get-NetIPAddress|Format-Table -AutoSize':
+        'Display IP address configuration for all interfaces',
+    "Get-NetRoute|Format-Table -AutoSize": "Show routing table entries",
     "netstat -naob": "Show active connections with process names (requires admin)",
+    "$usb=Get-ChildItem HKLM:\\SYSTEM\\CurrentControlSet\\Enum\\USBSTOR -Recurse -ErrorAction SilentlyContinue|Get-ItemProperty -ErrorAction SilentlyContinue|Select-Object FriendlyName,PSChildName,DeviceDesc,Mfg,Service;$events=Get-WinEvent -LogName System|Where-Object {$_.Id -eq 2100 -or $_.Id -eq 2101 -or $_.Message -like '*USB*'}|Select-Object TimeCreated,Id,Message;Write-Output '=== USB DEVICE INFO ===';$usb;Write-Output '=== USB INSERT / REMOVE EVENTS ===';$events":
+        'Retrieve USB device history and connection events',
+    'Get-ChildItem "$env:APPDATA\\Microsoft\\Windows\\Recent" -Filter *.lnk|ForEach-Object {$s=(New-Object -ComObject WScript.Shell).CreateShortcut($_.FullName);$t=$s.TargetPath;if([string]::IsNullOrWhiteSpace($t)){$status=\'No Target / Invalid Link\'}elseif(Test-Path $t){$status=\'Exists\'}else{$status=\'Deleted/Moved\'};Write-Output (\'LinkFile=\'+$_.Name+\' | LastAccess=\'+$_.LastAccessTime+\' | Target=\'+$t+\' | Status=\'+$status)}':
+        'Show recently opened files with access time and target status',
+    'Get-ChildItem C:\\Windows\\Prefetch\\ -Filter *.pf|ForEach-Object {$name=$_.Name;$time=$_.LastWriteTime;$source=$name -replace \'_.*\',\'\';Write-Output ("PrefetchFile=$name | LastModified=$time | SourceEXE=$source.exe")}':
+        'Analyze prefetch files to show executed programs with timestamps',
+    'Get-ChildItem C:\\Windows\\Prefetch\\|Select-Object Name,LastWriteTime,Length|Format-Table -AutoSize':
+        'List prefetch files with last modified time and size',
+    '$profiles = (netsh wlan show profiles) | Select-String \'\\:(.+)$\' | ForEach-Object { $_.Matches.Groups[1].Value.Trim() }; foreach ($profile in $profiles) { Write-Host "Profile: $profile" -ForegroundColor Cyan; netsh wlan show profile name=$profile key=clear | Select-String \'Key Content\' }':
+        'Extract saved WiFi network names and passwords from WLAN profiles',
+    'wevtutil qe system /q:"*[System[(EventID=6005)]]" /f:text /c:20':
+        'Display system boot/startup events (Event ID 6005)',
+    'wevtutil qe system /q:"*[System[(EventID=1074)]]" /f:text /c:20':
+        'Show logon/logoff and shutdown events (Event ID 1074)',
     "tasklist": "List all running processes",
     "tasklist /svc": "Show processes with associated services",
+    'Get-Process|Select-Object Name,Id,CPU,WorkingSet|Sort-Object CPU -Descending|Select-Object -First 20|Format-Table -AutoSize':
+        'Display top 20 processes by CPU usage',
     "sc query": "List all Windows services and their status",
+    "Get-Service|Format-Table -AutoSize": "Display all services with status",
+    "Get-Service|Where-Object {$_.Status -eq 'Running'}|Format-Table Name,DisplayName,Status -AutoSize":
+        'Show only running services',
+    "Get-Service|Where-Object {$_.Status -eq 'Running'}|Select-Object Name,DisplayName,Status|Format-Table -AutoSize":
+        'List running services with details',
     "systeminfo": "Display comprehensive system information (OS, hardware, updates)",
+    'Get-ComputerInfo|Select-Object CsName,OsName,OsVersion,OsArchitecture,BiosSeralNumber|Format-List':
+        'Show computer and OS details',
+    'Get-HotFix|Select-Object -First 20|Format-Table -AutoSize':
+        'List recently installed Windows updates',
     "uname -a": "Display kernel version, architecture, and hostname",
     "lscpu": "Show detailed CPU architecture information",
     "free -h": "Display memory usage in human-readable format",
     "df -h": "Show disk space usage",
     "uptime": "Display system uptime and load average",
     "cat /etc/passwd": "List all user accounts on the system",
+    "cat /etc/shadow 2>/dev/null || echo 'Access denied (requires root)'":
+        'View password hashes (requires root)',
     "cat /etc/group": "Display all groups",
     "who": "Show currently logged-in users",
     "w": "Display detailed user session information",
@@ -305,12 +338,57 @@ COMMAND_DESCRIPTIONS = {
     "lastlog": "Display last login time for all users",
     "ps aux": "List all running processes with CPU and memory usage",
     "ps -ef": "Display full process list with parent-child relationships",
+    "top -b -n 1 | head -n 30": "Snapshot of top processes by resource usage",
     "pstree -p": "Show process tree with PIDs",
+    "lsof | head -n 100": "List open files and network connections",
+    "ip addr show || ifconfig -a": "Display network interface configuration",
+    "ss -tunapl || netstat -tunapl": "Show all TCP/UDP connections with process info",
+    "ss -antup || netstat -antup": "Display active network connections",
+    "ip route || route -n": "Show routing table",
+    "arp -a || ip neigh": "Display ARP cache",
     "lsof -i -n -P": "List network connections with processes",
+    'systemctl list-units --type=service || service --status-all':
+        'List all services (systemd or SysV)',
+    "systemctl list-unit-files --type=service": "Show service unit files and their states",
+    "chkconfig --list 2>/dev/null || echo 'chkconfig not available'":
+        'List services (RHEL/CentOS legacy)',
     "lsusb": "List all USB devices",
+    "lsusb -v 2>/dev/null | head -n 100": "Detailed USB device information",
+    "dmesg | grep -i usb | tail -n 50": "Show USB-related kernel messages",
+    "journalctl -n 100 || echo 'journalctl not available'":
+        'Display last 100 system log entries',
+    "journalctl --since '1 hour ago' || echo 'journalctl not available'":
+        'Show logs from the last hour',
+    "tail -n 100 /var/log/syslog 2>/dev/null || echo '/var/log/syslog not accessible'":
+        'Recent system log entries',
+    "tail -n 100 /var/log/auth.log 2>/dev/null || tail -n 100 /var/log/secure 2>/dev/null || echo 'auth logs not accessible'":
+        'Authentication and authorization logs',
+    "nmcli device wifi list 2>/dev/null || echo 'nmcli not available'":
+        'List available WiFi networks',
+    'system_profiler SPSoftwareDataType':
+        'Display macOS version and system software information',
+    "system_profiler SPHardwareDataType": "Show hardware specifications",
     "sw_vers": "Display macOS version details",
+    "sysctl -a | head -n 50": "Show system parameters and configuration",
     "vm_stat": "Display virtual memory statistics",
+    "dscl . list /Users": "List all user accounts",
+    "dscacheutil -q user": "Query user account information from directory services",
     "launchctl list": "List all running launch agents and daemons",
+    "sudo launchctl list 2>/dev/null || echo 'Run with sudo for system services'":
+        'List system-wide services',
+    "system_profiler SPUSBDataType": "Display all USB devices and controllers",
+    "ioreg -p IOUSB -w0 | head -n 100": "Show USB device registry information",
+    "system_profiler SPNetworkDataType": "Display network hardware and configuration",
+    "networksetup -listallhardwareports": "List all network hardware ports",
+    "log show --last 1h --style syslog 2>/dev/null | head -n 100 || echo 'Requires admin access'":
+        'Show system logs from the last hour',
+    "mdfind 'kMDItemFSContentChangeDate >= $time.now(-86400)' 2>/dev/null | head -n 50 || echo 'Spotlight search unavailable'":
+        'Find files modified in the last 24 hours using Spotlight',
+    'ANALYZE_ALL_OUTPUTS_FOR_IOCS':
+        'Scan all collected data for Indicators of Compromise (suspicious patterns)',
+    "HASH_SYSTEM_FILES": "Calculate cryptographic hashes of system files",
+    "HASH_TEMP_EXECUTABLES": "Hash files in temporary directories",
+    "HASH_STARTUP_PROGRAMS": "Hash programs in startup folders",
 }
 
 # Crash dump setting -> label.

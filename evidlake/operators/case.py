@@ -36,8 +36,8 @@ def case_findings(
 
 
 def with_notes(findings: DataFrame, notes: DataFrame) -> DataFrame:
-    """The newest note of each path."""
-    newest = notes.groupBy("path").agg(F.max_by("note", "ts").alias("notes"))
+    """The newest note of each path; of equal times the last in order."""
+    newest = notes.groupBy("path").agg(F.max_by("note", F.struct("ts", "note")).alias("notes"))
     return lookup_join(findings, newest, "path", "left", salts=1).withColumn(
         "notes", F.coalesce("notes", F.lit(""))
     )

@@ -11,8 +11,6 @@ from evidlake.functions.paths import base_name, extension, under_any
 from evidlake.functions.sizes import size_mb
 from evidlake.functions.text import lookup
 
-MAX_BYTES = 2 * 1024**3
-
 # A central-directory entry whose name is exactly one of the two encryption members.
 ENCRYPTED_OFFICE = (
     r"(?s)PK\x01\x02.{24}\x0e\x00.{16}EncryptionInfo"
@@ -20,10 +18,15 @@ ENCRYPTED_OFFICE = (
 )
 
 
-def has_encrypted_header(ext: Column, content: Column) -> Column:
-    """The file says itself that it is protected."""
+def has_encrypted_header(ext: Column, content: Column, pdf_prefix: int | None = None) -> Column:
+    """The file says itself that it is protected.
+
+    A PDF names its encryption mostly in the trailer, so the whole file is searched;
+    ``pdf_prefix`` limits that to leading bytes.
+    """
     zip_flag = (F.octet_length(content) >= 30) & (le_number(content, 6, 2).bitwiseAND(1) == 1)
-    pdf = F.contains(latin1(F.substring(content, 1, 1024)), F.lit("/Encrypt"))
+    searched = content if pdf_prefix is None else F.substring(content, 1, pdf_prefix)
+    pdf = F.contains(latin1(searched), F.lit("/Encrypt"))
     office = starts_with_bytes(content, "504b") & latin1(content).rlike(ENCRYPTED_OFFICE)
     hit = (
         F.when(ext == ".zip", zip_flag)
@@ -41,7 +44,7 @@ def scan_encrypted(files: DataFrame, platform: str | None = "linux") -> DataFram
     carry attributes recorded at collection time.
     """
     path, ext = F.col("path"), F.col("extension")
-    rows = files.filter((F.col("size") > 0) & (F.col("size") <= MAX_BYTES))
+    rows = files.filter(F.col("size") > 0)
     if platform:
         rows = rows.filter(~under_any(path, L.SYSTEM_PREFIXES[platform]))
     rows = rows.withColumn("extension", extension(path))

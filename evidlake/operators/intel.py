@@ -23,10 +23,10 @@ def verdict(intel: DataFrame) -> DataFrame:
 
 
 def latest(intel: DataFrame) -> DataFrame:
-    """The newest answer per hash, folded before the shuffle."""
+    """The newest answer per hash, folded before the shuffle; of equal times the greatest row."""
     others = [c for c in intel.columns if c != "hash"]
     newest = intel.groupBy(F.lower("hash").alias("hash")).agg(
-        F.max_by(F.struct(*others), F.col("ts")).alias("a")
+        F.max_by(F.struct(*others), F.struct("ts", *[c for c in others if c != "ts"])).alias("a")
     )
     return newest.select("hash", "a.*")
 

@@ -206,8 +206,13 @@ def age_bucket(as_of: Column, modified: Column) -> Column:
     )
 
 
-def deleted_report(with_path: DataFrame, as_of: Column, n: int | None = 500) -> DataFrame:
-    """Deleted files, newest first and unknown times last."""
+def deleted_report(
+    with_path: DataFrame, as_of: Column, n: int | None = 500, age: str | None = None, status: str | None = None
+) -> DataFrame:
+    """Deleted files, newest first and unknown times last.
+
+    ``age`` and ``status`` choose files before the first ``n`` are taken.
+    """
     rows = deleted_files(with_path).select(
         "volume", "entry_number",
         F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.lit("[No Name]")).alias("filename"),
@@ -218,7 +223,7 @@ def deleted_report(with_path: DataFrame, as_of: Column, n: int | None = 500) ->
         age_bucket(as_of, F.col("si_modified")).alias("age"),
         "si_modified",
     )
-    rows = rows.orderBy(F.desc_nulls_last("si_modified"), "volume", "entry_number")
+    rows = filter_deleted(rows, age, status).orderBy(F.desc_nulls_last("si_modified"), "volume", "entry_number")
     return (rows if n is None else rows.limit(n)).drop("si_modified")
 
 

@@ -196,7 +196,7 @@ def _line_fields(fmt: Column, section: Column, line: Column, headers: Column) ->
             _fields(name=F.regexp_replace(task(1), r"\s+", " "), pid=task(2), session=task(3), mem=task(4)),
         ),
         "dashed_table": (~F.startswith(line, F.lit("===")), _cells(words, headers)),
-        "wmic": (F.size(wide) >= 3, _cells(F.slice(wide, 1, 10), headers)),
+        "wmic": (F.size(wide) >= 3, _cells(wide, headers)),
         "format_list": (colon & ~mark & (key != ""), _pair(key, value)),
         "netstat": (
             bare.rlike("^(?:TCP|UDP)") & (n >= 4),
@@ -329,5 +329,8 @@ def tall(parsed: DataFrame) -> DataFrame:
 
 def external_connections(sockets: DataFrame) -> DataFrame:
     """Established connections to other machines (columns state and foreign)."""
-    local = F.col("foreign").rlike(r"127\.0\.0\.1|::1")
+    # the host without brackets, zone and port; IPv4 in IPv6 counts as IPv4
+    host = F.regexp_replace(F.col("foreign"), r"^\[?(.*?)\]?(?::[0-9*]+)?$", "$1")
+    host = F.regexp_replace(F.regexp_replace(F.lower(host), r"%.*$", ""), r"^::ffff:", "")
+    local = host.rlike(r"^127(?:\.[0-9]{1,3}){3}$") | (host == "::1") | (host == "localhost")
     return sockets.filter(F.col("state").isin("ESTAB", "ESTABLISHED") & ~local)

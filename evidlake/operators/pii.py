@@ -17,9 +17,10 @@ from evidlake.operators.scan import band, categories, count_of, scan, total_matc
 
 @dataclass(frozen=True)
 class PiiConfig:
-    max_file_bytes: int = 50 * 1024 * 1024
-    max_image_bytes: int = 5 * 1024 * 1024
-    max_video_bytes: int = 100 * 1024 * 1024
+    #: Size limits are off; ``oversized`` lists what limits that are set leave out.
+    max_file_bytes: int | None = None
+    max_image_bytes: int | None = None
+    max_video_bytes: int | None = None
     min_file_bytes: int = 100
     min_text_chars: int = 20
     min_risk: int = 2
@@ -47,10 +48,27 @@ def select_files(files: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame
         keep = keep & ~has_dir(path, L.SYSTEM_DIRS)
     if not config.scan_hidden:
         keep = keep & ~unix_path(path).rlike(r"(^|/)\.[^/.]")
-    keep = keep & (F.col("size") <= config.max_file_bytes)
-    keep = keep & (~ext.isin(L.SCAN_EXTENSIONS["image"]) | (F.col("size") <= config.max_image_bytes))
-    keep = keep & (~ext.isin(L.SCAN_EXTENSIONS["video"]) | (F.col("size") <= config.max_video_bytes))
-    return files.filter(keep)
+    return files.filter(keep & size_reason(ext, config).isNull())
+
+
+def size_reason(ext: Column, config: PiiConfig) -> Column:
+    """The limit that a file is over, NULL if it is over none that is set."""
+    reason = F.lit(None).cast("string")
+    for name, limit, kind in (
+        ("max_file_bytes", config.max_file_bytes, None),
+        ("max_image_bytes", config.max_image_bytes, "image"),
+        ("max_video_bytes", config.max_video_bytes, "video"),
+    ):
+        if limit is not None:
+            over = F.col("size") > limit
+            over = over & ext.isin(L.SCAN_EXTENSIONS[kind]) if kind else over
+            reason = F.when(over, F.lit(name)).otherwise(reason)
+    return reason
+
+
+def oversized(files: DataFrame, config: PiiConfig) -> DataFrame:
+    """Files that the size limits leave out, with the limit as ``reason``."""
+    return files.withColumn("reason", size_reason(extension(F.col("path")), config)).filter("reason IS NOT NULL")
 
 
 def is_low_value(path: Column, size: Column, min_bytes: int = 100) -> Column:

@@ -30,13 +30,27 @@ def _pieces(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def allocation_blocks(extents: DataFrame) -> DataFrame:
-    """Allocated pieces of each block. Extents are disjoint, as they come from a bit map,
-    so a block holds at most 256 of them."""
+    """Allocated pieces of each block, as disjoint pieces in order.
+
+    Repeated and overlapping extents are merged inside the block, so no cluster counts
+    twice; the distinct pieces of a block are bounded by its 512 clusters.
+    """
     pieces = _pieces(extents.withColumnRenamed("end_excl", "end"), "start", "end")
     piece = F.struct(F.col("piece_start").alias("s"), F.col("piece_end").alias("e"))
-    return pieces.groupBy("volume", "block").agg(
-        F.collect_set(piece).alias("allocated"),
-        F.sum(F.col("piece_end") - F.col("piece_start")).alias("filled"),
+    found = pieces.groupBy("volume", "block").agg(F.array_sort(F.collect_set(piece)).alias("found"))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        joins = (F.size(done) > 0) & (x["s"] <= last["e"])
+        return F.when(
+            joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        ).otherwise(F.concat(done, F.array(x)))
+
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    merged = found.select("volume", "block", F.aggregate("found", none, add).alias("allocated"))
+    return merged.withColumn(
+        "filled", F.aggregate("allocated", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     )
 
 

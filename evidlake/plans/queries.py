@@ -599,12 +599,12 @@ SEALED = """
 SELECT path, text_bytes, kind,
   CASE kind WHEN 0 THEN 'password_protected' WHEN 12 THEN 'password_protected'
     WHEN 2 THEN 'password_protected' WHEN 3 THEN 'encrypted_format'
-    WHEN 4 THEN 'password_protected' WHEN 6 THEN 'password_protected'
+    WHEN 4 THEN 'password_protected' WHEN 5 THEN 'password_protected' WHEN 6 THEN 'password_protected'
     WHEN 8 THEN 'container' WHEN 9 THEN 'encrypted_format' END AS encryption_class
 FROM sealed WHERE NOT starts_with(path, '/usr/share')"""
 LABEL = "CASE kind " + " ".join(
-    f"WHEN {k} THEN {quoted(('Password-Protected ' if k in (0, 2, 4, 6, 12) else '') + L.ENCRYPTED_EXTENSIONS[S.ENCRYPTED_SUFFIXES[k].lower()])}"
-    for k in (0, 2, 3, 4, 6, 8, 9, 12)
+    f"WHEN {k} THEN {quoted(('Password-Protected ' if k in (0, 2, 4, 5, 6, 12) else '') + L.ENCRYPTED_EXTENSIONS[S.ENCRYPTED_SUFFIXES[k].lower()])}"
+    for k in (0, 2, 3, 4, 5, 6, 8, 9, 12)
 ) + " END"
 
 

@@ -154,7 +154,7 @@ def sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose leading bytes are those of protected and plain containers.
 
     In order of doc_id % 13: a ZIP with and without the encryption flag, 7-Zip with and
-    without its signature, PDF with the mark near the front and too far back, an Office
+    without its signature, PDF with the mark near the front and far back, an Office
     file with and without an encryption member, VeraCrypt, KeePass, text, RAR, and a
     ZIP with an upper-case suffix.
     """
@@ -450,9 +450,9 @@ FROM part WHERE p_size % 7 <> 0"""
 NAMES = ["report", "temp", "cache", "photo", "tmp_data", "$Recycle", "notes"]
 
 VIEWS["mft"] = f"""
-SELECT 'C:' AS volume, p_partkey + 5 AS entry_number,
+SELECT 'C:' AS volume, p_partkey + 6 AS entry_number,
        CASE WHEN p_partkey <= 10 THEN 5 WHEN p_partkey % 97 = 0 THEN 1000000000
-            ELSE p_partkey // 3 + 5 END AS parent_reference,
+            ELSE p_partkey // 3 + 6 END AS parent_reference,
        {_sql_list(NAMES)}[CAST(p_partkey % 7 AS INT) + 1] || '_' || p_partkey AS filename,
        p_size % 2 = 0 AS is_deleted, p_size % 5 = 0 AS is_directory, p_size < 10 AS is_resident,
        p_size % 7 <> 0 AS has_runs, CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END AS n_ads,
@@ -461,8 +461,7 @@ SELECT 'C:' AS volume, p_partkey + 5 AS entry_number,
        o_orderdate AS si_created,
        CASE WHEN p_size % 6 = 0 THEN o_orderdate + INTERVAL 2 SECOND
             ELSE o_orderdate + INTERVAL 1 SECOND END AS fn_created
-FROM part JOIN orders ON o_orderkey = p_partkey
-WHERE p_partkey > 0
+FROM part LEFT JOIN orders ON o_orderkey = p_partkey
 UNION ALL
 SELECT 'C:', 5, 5, '.', false, true, false, false, 0, 0, 0, 0, NULL, NULL, NULL"""
 
@@ -473,7 +472,7 @@ def mft_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pk, size = F.col("p_partkey"), F.col("p_size")
     parent = (
         F.when(pk <= 10, 5).when(pk % 97 == 0, 1_000_000_000)
-        .otherwise(F.call_function("div", pk, F.lit(3)) + 5)
+        .otherwise(F.call_function("div", pk, F.lit(3)) + 6)
     ).cast("bigint")
     day = F.col("o_orderdate").cast("timestamp")
     later = F.when(size % 6 == 0, day + F.expr("INTERVAL 2 SECOND")).otherwise(day + F.expr("INTERVAL 1 SECOND"))
@@ -482,9 +481,9 @@ def mft_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((pk * 10 + 5000).alias("start"), F.lit(3).cast("bigint").alias("n")),
     )
     no_runs = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    rows = part.filter(pk > 0).join(orders, F.col("o_orderkey") == pk).select(
+    rows = part.join(orders, F.col("o_orderkey") == pk, "left").select(
         F.lit("C:").alias("volume"),
-        (pk + 5).alias("entry_number"),
+        (pk + 6).alias("entry_number"),
         F.lit(1).alias("sequence_number"),
         (size % 5 == 0).alias("is_directory"),
         (size % 2 == 0).alias("is_deleted"),

@@ -115,7 +115,8 @@ def test_pii_file_choice(spark):
     df = spark.createDataFrame([(n, 10) for n in names], "path string, size long")
     assert sorted(r.path for r in pii.select_files(df).collect()) == ["/u/a.txt", "/u/b.csv"]
     big = spark.createDataFrame([("/u/a.txt", 51 * 2**20), ("/u/a.png", 6 * 2**20), ("/u/b.png", 2**20)], "path string, size long")
-    assert [r.path for r in pii.select_files(big).collect()] == ["/u/b.png"]
+    limits = pii.PiiConfig(max_file_bytes=50 * 2**20, max_image_bytes=5 * 2**20)
+    assert [r.path for r in pii.select_files(big, limits).collect()] == ["/u/b.png"]
 
 
 def file_rows(spark, *items):
@@ -202,7 +203,7 @@ ENCRYPTED = [
     ("/u/a.7z", b"7z\xbc\xaf\x27\x1c" + b"0" * 30, "password_protected"),
     ("/u/b.7z", b"other", "encrypted_format"),
     ("/u/a.pdf", b"%PDF" + b" " * 1000 + b"/Encrypt", "password_protected"),
-    ("/u/b.pdf", b"%PDF" + b" " * 1020 + b"/Encrypt", None),
+    ("/u/b.pdf", b"%PDF" + b" " * 5000 + b"/Encrypt", "password_protected"),
     ("/u/a.docx", office("EncryptionInfo"), "password_protected"),
     ("/u/b.docx", office("word/other.xml"), None),
     ("/u/c.xlsx", office("EncryptedPackage"), "password_protected"),
@@ -238,3 +239,15 @@ def test_encryption_risk(spark, efs, containers, protected, found, score, level)
     ).withColumn("s", encrypted.encryption_risk())
     row = df.withColumn("l", encrypted.encryption_level(F.col("s"))).first()
     assert (row.s, row.l) == (score, level)
+
+
+def test_size_limits_are_off_and_listed_when_set(spark):
+    df = spark.createDataFrame(
+        [("/u/a.txt", 60 << 20), ("/u/b.jpg", 6 << 20), ("/u/c.mp4", 1 << 40), ("/u/d.txt", 10)], "path string, size long"
+    )
+    assert pii.select_files(df).count() == 4
+    config = pii.PiiConfig(max_file_bytes=50 << 20, max_image_bytes=5 << 20)
+    assert pii.select_files(df, config).count() == 1
+    assert {(r.path, r.reason) for r in pii.oversized(df, config).collect()} == {
+        ("/u/a.txt", "max_file_bytes"), ("/u/b.jpg", "max_image_bytes"), ("/u/c.mp4", "max_file_bytes")
+    }

@@ -143,6 +143,9 @@ def test_labels(spark):
 
 def test_external_connections(spark):
     df = spark.createDataFrame(
-        [("ESTAB", "1.2.3.4:5"), ("ESTABLISHED", "127.0.0.1:5"), ("LISTEN", "1.2.3.4:5"), ("ESTAB", "[::1]:3")], "state string, foreign string"
+        [("ESTAB", "1.2.3.4:5"), ("ESTABLISHED", "127.0.0.1:5"), ("LISTEN", "1.2.3.4:5"), ("ESTAB", "[::1]:3"),
+         ("ESTAB", "[2606:4700::1111]:443"), ("ESTAB", "127.10.0.1:1"), ("ESTAB", "12.127.0.0:1"), ("ESTAB", "[::ffff:127.0.0.1]:9")],
+        "state string, foreign string",
     )
-    assert outputs.external_connections(df).count() == 1
+    got = {r.foreign for r in outputs.external_connections(df).collect()}
+    assert got == {"1.2.3.4:5", "[2606:4700::1111]:443", "12.127.0.0:1"}

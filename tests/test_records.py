@@ -237,3 +237,18 @@ def test_bitmap_to_extents(spark):
     df = spark.createDataFrame([("C:", 4, bytearray(bits))], "volume string, byte_offset long, bits binary")
     got = sorted((r.start, r.end_excl) for r in recovery.bitmap_extents(df).collect())
     assert got == [(32, 33), (37, 41), (56, 64)]
+
+
+def test_repeated_and_overlapping_extents_count_once(spark):
+    files = spark.createDataFrame(
+        [("C:", 1, False, [(0, 512)]), ("C:", 2, False, [(100, 20)])],
+        "volume string, file_id long, is_resident boolean, data_runs array<struct<start:long,n:long>>",
+    )
+    extents = spark.createDataFrame(
+        [("C:", 0, 400), ("C:", 0, 400), ("C:", 50, 110), ("C:", 390, 450)], "volume string, start long, end_excl long"
+    )
+    used = {
+        r.file_id: (r.total_clusters, r.used_clusters)
+        for r in recovery.free_clusters(recovery.runs_of(files), extents).collect()
+    }
+    assert used == {1: (512, 450), 2: (20, 20)}

@@ -61,6 +61,12 @@ def test_gates_change_nothing(spark, name):
     assert found(S.scan(data, CATALOGS[name])) == found(S.scan(data, CATALOGS[name], gated=False))
 
 
+def test_gates_do_not_follow_a_borrowed_name(spark):
+    own = C.Pattern("extract", "extract", "email", r"\w+ at \w+\.\w+")
+    df = spark.createDataFrame([(0, "write to joe at example.com")], "id int, text string")
+    assert found(S.scan(df, [own])) == [(0, "email", ("joe at example.com",))]
+
+
 def test_long_path_does_not_overflow(spark):
     path = "/" + "a/" * 200_000 + "end"
     df = spark.createDataFrame([(0, path)], "id int, text string")
