@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidlake.llm.common import keep
+
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -75,9 +77,11 @@ def mix(
         "_s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),  # never null
     })
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(sizes, weights, most).withColumn(
+    # one row per source, written once: its true size decides about a broadcast, so that
+    # the documents are not shuffled by source before Spark knows how small the table is
+    targets = keep(source_targets(sizes, weights, most).withColumn(
         "_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    ).drop("source")
+    ).drop("source"))
     # 1 - exp(-key) keeps the order and spreads keys over (0, 1)
     bucketed = keyed.join(targets, "_s", "left").withColumn(
         "_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.ceil(F.col("n") / per_bucket)).cast("long")
