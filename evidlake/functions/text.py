@@ -6,13 +6,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
+_SUSPECT_ENDS = "(?:tk|ml|ga|cf|gq|pw|cc|ws|top|xyz|club|online|site|website|space|live)"
+
+
+def _dotted(end: str) -> str:
+    """Labels with dots and an end, as an expression that does not recurse in the JVM.
+
+    A label is fixed by its start, so the longest match ends behind the last label that an
+    end follows. Labels are therefore taken for good: some that no end follows, then one
+    that an end follows, again and again. A start inside a run of labels is skipped, as the
+    match from the start of the run was longer or there was none; so time is linear too.
+    """
+    good = rf"{_LABEL}\.(?={end}\b)"
+    head = rf"(?={_LABEL}\.)(?<!\b{_LABEL}\.)(?<!\b(?={_LABEL}\.)[a-zA-Z0-9][a-zA-Z0-9\-]{{0,61}})"
+    return rf"\b{head}(?:(?:(?!{good}){_LABEL}\.)*+{good})++{end}"
+
+
+# Expressions with a group that repeats without bound recurse in the JVM and end it on long
+# texts. These match the same text without: in all but the dotted names the parts of the
+# group cannot overlap, so its repeats can be possessive.
+NON_RECURSIVE = {
+    rf"\b(?:{_LABEL}\.)+[a-zA-Z]{{2,}}\b": _dotted("[a-zA-Z]{2,}") + r"\b",
+    rf"\b(?:{_LABEL}\.)+{_SUSPECT_ENDS}\b": _dotted(_SUSPECT_ENDS) + r"\b",
+    r'(?:[A-Za-z]:\\|/)(?:[^\\\/:*?"<>|\r\n]+[\\\/])*[^\\\/:*?"<>|\r\n]*':
+        r'(?:[A-Za-z]:\\|/)(?:[^\\\/:*?"<>|\r\n]++[\\\/])*+[^\\\/:*?"<>|\r\n]*+',
+    r'[A-Z]:\\(?:[^\\/:*?"<>|\r\n]+\\)*[^\\/:*?"<>|\r\n]*':
+        r'[A-Z]:\\(?:[^\\/:*?"<>|\r\n]++\\)*+[^\\/:*?"<>|\r\n]*+',
+    r"""(?:\+\s*["\'][a-z]\s*\+\s*["\']){3,}""":
+        r"""(?:\+\s*["\'][a-z]\s*\+\s*["\']){3,}+""",
+}
+
+
 def java_regex(regex: str, ignore_case: bool = True, multiline: bool = False) -> str:
     """Flags under which the JVM matches like a Unicode text scan with ``\\n`` line ends.
 
     u + U: Unicode case folding and character classes; d: only ``\\n`` ends a line.
     """
     flags = ("iu" if ignore_case else "") + ("m" if multiline else "") + "dU"
-    return f"(?{flags}){regex}"
+    return f"(?{flags}){NON_RECURSIVE.get(regex, regex)}"
 
 
 def sql_text(value: str) -> str:

@@ -28,13 +28,6 @@ from evidlake.functions.text import fold, java_regex, sql_text
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
-# One group of the path expression repeats without bound. Its parts cannot overlap,
-# so possessive repeats match the same text and do not recurse in the JVM.
-POSSESSIVE = {
-    r'(?:[A-Za-z]:\\|/)(?:[^\\\/:*?"<>|\r\n]+[\\\/])*[^\\\/:*?"<>|\r\n]*':
-        r'(?:[A-Za-z]:\\|/)(?:[^\\\/:*?"<>|\r\n]++[\\\/])*+[^\\\/:*?"<>|\r\n]*+',
-}
-
 
 @lru_cache(maxsize=1)
 def _shipped() -> dict[str, set[str]]:
@@ -59,7 +52,7 @@ def _gate(pattern: Pattern) -> str | None:
 
 def _finding(pattern: Pattern, text: str, gate: str | None) -> str:
     """One pattern as a SQL struct: its attributes and its distinct matches."""
-    regex = java_regex(POSSESSIVE.get(pattern.regex, pattern.regex), True, pattern.multiline)
+    regex = java_regex(pattern.regex, True, pattern.multiline)
     found = f"array_distinct(regexp_extract_all(`{text}`, {sql_text(regex)}, 0))"
     if gate:
         found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"

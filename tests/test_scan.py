@@ -1,11 +1,14 @@
 """Pattern scans against Python's re on the seed corpus, and the score limits."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidlake import catalogs as C
+from evidlake.catalogs.patterns import PAGE_IMAGE
+from evidlake.functions.text import NON_RECURSIVE
 from evidlake.operators import scan as S
 from tests.corpus import LINES
 
@@ -67,6 +70,46 @@ def test_gates_do_not_follow_a_borrowed_name(spark):
     assert found(S.scan(df, [own])) == [(0, "email", ("joe at example.com",))]
 
 
+def test_rewritten_expressions_belong_to_shipped_ones():
+    shipped = {p.regex for c in CATALOGS.values() for p in c} | {r for _, _, r in PAGE_IMAGE}
+    assert set(NON_RECURSIVE) <= shipped
+
+
+def test_dotted_names_equal_python(spark):
+    rng = random.Random(5)
+    parts = ["a", "b1", "com", "tk", "top", "live", "-", ".", ".", ".", "_", " ", "x" * 61, "9", "K", "\u017f", "\u00e9", "a-b"]
+    lines = ["".join(rng.choices(parts, k=rng.randint(1, 24))) for _ in range(4000)]
+    names = {"domain", "suspicious_tld"}
+    catalog = [p for p in C.extract_catalog() if p.name in names]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    want = []
+    for i, line in enumerate(lines):
+        for p in catalog:
+            hits = re.findall(p.regex, line, re.IGNORECASE)
+            if hits:
+                want.append((i, p.name, tuple(dict.fromkeys(hits))))
+    assert len(want) > 500
+    assert found(S.scan(df, catalog)) == sorted(want)
+
+
+@pytest.mark.parametrize("unit", ["a.", "1-1.", "ab.com.", "a-", "com.tk-"])
+def test_long_dotted_names_do_not_overflow(spark, unit):
+    text = unit * (1_000_000 // len(unit)) + " x.top"
+    catalog = [p for p in C.extract_catalog() if p.name in {"domain", "suspicious_tld"}]
+    catalog += [p for p in C.indicator_catalog() if p.name == "suspicious_domain"]
+    got = {name: matches for _, name, matches in found(S.scan(spark.createDataFrame([(0, text)], "id int, text string"), catalog))}
+    assert set(got) == {"domain", "suspicious_tld", "suspicious_domain"}
+    assert all("x.top" in m for m in got.values())
+
+
+def test_long_concatenation_does_not_overflow(spark):
+    text = "+ 'a' + '" + "+ 'a + '" * 100_000
+    one = [p for p in C.indicator_catalog() if p.name == "string_concat"]
+    assert found(S.scan(spark.createDataFrame([(0, text)], "id int, text string"), one)) == [
+        (0, "string_concat", tuple(dict.fromkeys(re.findall(one[0].regex, text, re.IGNORECASE))))
+    ]
+
+
 def test_long_path_does_not_overflow(spark):
     path = "/" + "a/" * 200_000 + "end"
     df = spark.createDataFrame([(0, path)], "id int, text string")
