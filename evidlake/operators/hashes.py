@@ -50,11 +50,14 @@ def known_bad_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def known_bad(hashes: DataFrame, known: DataFrame) -> DataFrame:
-    """Files whose MD5 or SHA-256 is on the list."""
-    listed = known.groupBy("algorithm", F.lower("hash").alias("hash")).agg(
+def _listed(known: DataFrame) -> DataFrame:
+    return known.groupBy("algorithm", F.lower("hash").alias("hash")).agg(
         F.min("threat").alias("threat"), F.min("severity").alias("severity")
     )
+
+
+def known_bad(hashes: DataFrame, known: DataFrame) -> DataFrame:
+    """Files whose MD5 or SHA-256 is on the list."""
     keyed = hashes.select(
         "path",
         F.inline(
@@ -64,7 +67,7 @@ def known_bad(hashes: DataFrame, known: DataFrame) -> DataFrame:
             )
         ),
     )
-    return lookup_join(keyed, listed, ["algorithm", "hash"], "inner")
+    return lookup_join(keyed, _listed(known), ["algorithm", "hash"], "inner")
 
 
 def duplicate_groups(hashes: DataFrame) -> DataFrame:
@@ -103,9 +106,18 @@ def suspicious_files(hashes: DataFrame) -> DataFrame:
 
 
 def classify(hashes: DataFrame, known: DataFrame) -> DataFrame:
-    """malware, suspicious or clean for every file."""
-    bad = known_bad(hashes, known).groupBy("path").agg(F.min("threat").alias("threat"))
-    marked = lookup_join(hashes, bad, "path", "left", salts=1)
+    """malware, suspicious or clean for every file, with the threat's name.
+
+    The hashed rows meet the list directly, once for each type of hash, so no content is
+    read or hashed twice and nothing is joined by path.
+    """
+    marked = hashes
+    for name in ("md5", "sha256"):
+        rows = _listed(known.filter(F.col("algorithm") == name))
+        rows = rows.select(F.col("hash").alias("_key"), F.col("threat").alias(f"_{name}_threat"))
+        marked = lookup_join(marked.withColumn("_key", F.lower(name)), rows, "_key", "left").drop("_key")
+    marked = marked.withColumn("threat", F.least("_md5_threat", "_sha256_threat"))
+    marked = marked.drop("_md5_threat", "_sha256_threat")
     risky = F.col("path")
     is_risky = extension(risky).isin(L.RISKY_EXTENSIONS) & in_risky_place(risky, L.RISKY_LOCATIONS)
     return marked.withColumn(

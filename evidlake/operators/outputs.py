@@ -23,6 +23,9 @@ USER_COLUMNS = [
     "Name", "PasswordChangeable", "PasswordExpires",
 ]
 
+# Field names of the columns of a task list; others keep their heading.
+TASK_COLUMNS = {"Image Name": "name", "PID": "pid", "Session Name": "session", "Mem Usage": "mem"}
+
 # Where a section starts, per format: at the beginning of a line that looks like this.
 SECTION_START = {
     "ipconfig": r"\S",
@@ -167,7 +170,32 @@ def _cells(parts: Column, headers: Column) -> Column:
     )
 
 
-def _line_fields(fmt: Column, section: Column, line: Column, headers: Column) -> Column:
+def _cuts(ruler: Column) -> Column:
+    """Start and width of the columns under a ruler of equal signs, NULL without a ruler."""
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("cuts"))
+
+    def step(done: Column, part: Column) -> Column:
+        n = F.length(part)
+        cut = F.array(F.struct(done["at"].alias("at"), n.alias("n")))
+        return F.struct(
+            (done["at"] + n + 1).alias("at"),
+            F.when(n > 0, F.concat(done["cuts"], cut)).otherwise(done["cuts"]).alias("cuts"),
+        )
+
+    cuts = F.aggregate(F.split(F.rtrim(ruler), " "), none, step, lambda done: done["cuts"])
+    return F.when(ruler.rlike(r"^=+(?: +=+)+ *$"), cuts)
+
+
+def _cut(line: Column, cuts: Column) -> Column:
+    """Cells of a line by column positions; the last column reaches to the end."""
+    def cell(cut: Column, i: Column) -> Column:
+        wide = F.when(i == F.size(cuts) - 1, F.length(line)).otherwise(cut["n"])
+        return F.trim(F.substring(line, cut["at"], wide))
+
+    return F.transform(cuts, cell)
+
+
+def _line_fields(fmt: Column, section: Column, line: Column, headers: Column, cuts: Column) -> Column:
     """Fields of one line, NULL when it is not a data line of its format."""
     bare = F.trim(line)
     words = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
@@ -191,9 +219,14 @@ def _line_fields(fmt: Column, section: Column, line: Column, headers: Column) ->
             ~F.contains(line, F.lit("---")),
             F.transform(words, lambda u: F.struct(F.lit("user").alias("name"), u.alias("value"))),
         ),
+        # By the ruler; a table without one has only words, told apart by the program's ending.
         "tasklist": (
-            task(1) != "",
-            _fields(name=F.regexp_replace(task(1), r"\s+", " "), pid=task(2), session=task(3), mem=task(4)),
+            cuts.isNotNull() | (task(1) != ""),
+            F.when(
+                cuts.isNotNull(), F.filter(_cells(_cut(line, cuts), headers), lambda c: c["value"] != "")
+            ).otherwise(
+                _fields(name=F.regexp_replace(task(1), r"\s+", " "), pid=task(2), session=task(3), mem=task(4))
+            ),
         ),
         "dashed_table": (~F.startswith(line, F.lit("===")), _cells(words, headers)),
         "wmic": (F.size(wide) >= 3, _cells(wide, headers)),
@@ -255,6 +288,8 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
     )
     ruler = _first_line(lines, lambda l: F.contains(l, F.lit("---")))
     task_head = _first_line(lines, lambda l: l.rlike("Image Name|PID"))
+    task_line = F.get(lines, task_head)
+    cuts = F.when(fmt == "tasklist", _cuts(F.get(lines, task_head + 1)))
     start = (
         F.when(fmt == "tasklist", task_head + 2)
         .when(fmt == "dashed_table", F.when(ruler > 0, ruler + 1))
@@ -268,17 +303,18 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
             fmt == "dashed_table",
             F.split(F.trim(F.get(lines, F.greatest(ruler - 1, F.lit(0)))), r"\s+"),
         )
+        .when(fmt == "tasklist", F.transform(_cut(task_line, cuts), lambda h: lookup(TASK_COLUMNS, h, h)))
         .when((fmt == "wmic") & (F.size(wmic_header) >= 3), wmic_header)
         .when(fmt == "wmic", F.array(*[F.lit(c) for c in USER_COLUMNS]))
     )
-    rows = once(rows, [*keep, "text", "format", "lines"], {"start": start, "headers": headers})
+    rows = once(rows, [*keep, "text", "format", "lines"], {"start": start, "headers": headers, "cuts": cuts})
     # A table whose ruler or heading is missing has no data lines.
     rows = rows.filter(F.col("start").isNotNull())
     body = F.when(F.col("start") == 0, text).otherwise(
         F.array_join(F.slice(lines, F.col("start") + 1, F.size(lines)), "\n")
     )
     rows = rows.select(
-        *keep, "format", "headers",
+        *keep, "format", "headers", "cuts",
         F.posexplode_outer(_sections(fmt, body)).alias("section_no", "section_text"),
     )
     first = F.substring_index("section_text", "\n", 1)
@@ -289,7 +325,7 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
         F.get(F.split("section_text", r"(?m)^(?:\s*$|.*====.*$)", 2), F.lit(0)),
     ).otherwise(F.col("section_text"))
     rows = once(
-        rows, [*keep, "format", "headers", "section_no"],
+        rows, [*keep, "format", "headers", "cuts", "section_no"],
         {
             "has_header": headed,
             "section": F.when(headed, _section_name(fmt, first)).otherwise(""),
@@ -297,12 +333,12 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
         },
     )
     rows = rows.select(
-        *keep, "format", "headers", "section_no", "section", "has_header",
+        *keep, "format", "headers", "cuts", "section_no", "section", "has_header",
         F.posexplode_outer("section_lines").alias("line_no", "line"),
     )
     rows = rows.filter(~(F.col("has_header") & (F.col("line_no") == 0)))
     rows = rows.filter(F.trim("line") != "")
-    fields = _line_fields(fmt, F.col("section"), F.col("line"), F.col("headers"))
+    fields = _line_fields(fmt, F.col("section"), F.col("line"), F.col("headers"), F.col("cuts"))
     rows = once(rows, [*keep, "format", "section_no", "section", "line_no"], {"fields": fields})
     return rows.filter(F.col("fields").isNotNull())
 

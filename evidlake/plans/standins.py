@@ -643,7 +643,10 @@ def command_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         out("users", "net user", "User accounts for \\\\", name, "\n\n-----\nadmin guest\nuser", k, "\n"),
         out("users", "wmic useraccount list", "AccountType  Disabled  Name\n\n512  FALSE  u", k, "\n512  TRUE  v", k, "\n"),
         out("processes", "tasklist",
-            "Image Name   PID Session Name Mem\n========== ====\nSystem Idle.exe ", k, " Services 0\nshort 1\na.exe ", k, " Console 1\n"),
+            "Image Name                     PID Session Name        Session#    Mem Usage\n",
+            "========================= ======== ================ =========== ============\n",
+            "System Idle Process       ", F.lpad(k, 8, " "), " Services                   0          8 K\n",
+            "a.exe                     ", F.lpad(k, 8, " "), " Console                    1 ", F.lpad(k, 10, " "), " K\n"),
         out("users", "Get-LocalUser|Format-List", "AccountTable\n\nName : u", k, "\nSID :\n\nOther\nName : w", k, "\n"),
         out("services", "Get-Service|Format-Table -AutoSize", "Status Name\n------ ----\nRunning svc", k, "\nStopped old", k, "\n"),
         out("network", "netstat -e", "Interface Statistics\n\n  Bytes  ", k, "\n  Errors = ", bal, "\n  Discards: 1\n"),
@@ -684,14 +687,16 @@ SELECT host, format, section, name, value FROM (
     {'format': 'wmic', 'section': '', 'name': 'AccountType', 'value': '512'},
     {'format': 'wmic', 'section': '', 'name': 'Disabled', 'value': 'TRUE'},
     {'format': 'wmic', 'section': '', 'name': 'Name', 'value': 'v' || c_custkey},
-    {'format': 'tasklist', 'section': '', 'name': 'name', 'value': 'System Idle.exe'},
+    {'format': 'tasklist', 'section': '', 'name': 'name', 'value': 'System Idle Process'},
     {'format': 'tasklist', 'section': '', 'name': 'pid', 'value': CAST(c_custkey AS VARCHAR)},
     {'format': 'tasklist', 'section': '', 'name': 'session', 'value': 'Services'},
-    {'format': 'tasklist', 'section': '', 'name': 'mem', 'value': '0'},
+    {'format': 'tasklist', 'section': '', 'name': 'Session#', 'value': '0'},
+    {'format': 'tasklist', 'section': '', 'name': 'mem', 'value': '8 K'},
     {'format': 'tasklist', 'section': '', 'name': 'name', 'value': 'a.exe'},
     {'format': 'tasklist', 'section': '', 'name': 'pid', 'value': CAST(c_custkey AS VARCHAR)},
     {'format': 'tasklist', 'section': '', 'name': 'session', 'value': 'Console'},
-    {'format': 'tasklist', 'section': '', 'name': 'mem', 'value': '1'},
+    {'format': 'tasklist', 'section': '', 'name': 'Session#', 'value': '1'},
+    {'format': 'tasklist', 'section': '', 'name': 'mem', 'value': c_custkey || ' K'},
     {'format': 'format_list', 'section': 'AccountTable', 'name': 'Name', 'value': 'u' || c_custkey},
     {'format': 'format_list', 'section': 'AccountTable', 'name': 'SID', 'value': ''},
     {'format': 'format_list', 'section': 'Other', 'name': 'Name', 'value': 'w' || c_custkey},

@@ -148,6 +148,24 @@ def test_known_bad_is_typed_by_length(spark):
     assert kinds == {"md5", "sha256"}
 
 
+def test_status_of_files_without_a_join_by_path(spark):
+    listed = spark.createDataFrame(
+        [("md5", hashlib.md5(b"bad").hexdigest().upper(), "M", "CRITICAL"),
+         ("sha256", hashlib.sha256(b"bad").hexdigest(), "A", "CRITICAL"),
+         ("sha256", hashlib.sha256(b"worse").hexdigest(), "S", "CRITICAL")],
+        "algorithm string, hash string, threat string, severity string",
+    )
+    hashed = hashes.hash_files(
+        file_rows(spark, ("/1", b"bad"), ("/2", b"worse"), ("/tmp/a.exe", b"good"), ("/4", None), ("/1", b"fine"))
+    )
+    done = hashes.classify(hashed, listed)
+    assert sorted((r.path, r.status, r.threat or "") for r in done.collect()) == [
+        ("/1", "clean", ""), ("/1", "malware", "A"), ("/2", "malware", "S"), ("/4", "clean", ""),
+        ("/tmp/a.exe", "suspicious", ""),
+    ]
+    assert set(done.columns) == {*hashed.columns, "threat", "status"}
+
+
 def test_duplicates_with_one_hot_content(spark):
     data = spark.range(3000).select(
         F.concat(F.lit("/f"), F.col("id")).alias("path"),

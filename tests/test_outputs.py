@@ -46,6 +46,29 @@ def test_tasklist(spark):
     assert parse(spark, "tasklist", "no heading") == []
 
 
+def test_tasklist_by_ruler(spark):
+    text = (
+        "\nImage Name                     PID Session Name        Session#    Mem Usage\n"
+        "========================= ======== ================ =========== ============\n"
+        "System Idle Process              0 Services                   0          8 K\n"
+        "Registry                       148                            0     98,148 K\n"
+        "a.exe                        12345 Console                    1  1,048,576 K\n"
+    )
+    names = ["name", "pid", "session", "Session#", "mem"]
+    rows = [
+        ("System Idle Process", "0", "Services", "0", "8 K"), ("Registry", "148", "", "0", "98,148 K"),
+        ("a.exe", "12345", "Console", "1", "1,048,576 K"),
+    ]
+    assert parse(spark, "tasklist", text) == [
+        ("tasklist", "", [(n, v) for n, v in zip(names, row) if v]) for row in rows
+    ]
+    services = "Image Name    PID Services\n========== ====== ===========\nlsass.exe     700 KeyIso,\n                  SamSs\n"
+    assert parse(spark, "tasklist /svc", services) == [
+        ("tasklist", "", [("name", "lsass.exe"), ("pid", "700"), ("Services", "KeyIso,")]),
+        ("tasklist", "", [("Services", "SamSs")]),
+    ]
+
+
 def test_dashed_table_without_heading(spark):
     assert parse(spark, "dir", "----\na b") == []
     assert parse(spark, "dir", "A B\n- ---\n1 2 3\n===\n") == [

@@ -3,6 +3,7 @@
 import struct
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,20 @@ def test_bitmap_to_extents(spark):
     assert got == [(32, 33), (37, 41), (56, 64)]
 
 
+def test_large_bit_maps_take_linear_time(spark):
+    rng = np.random.default_rng(3)
+    data = [rng.integers(0, 256, 1 << 16, np.uint8).tobytes(), b"\xff" * (recovery.STRETCH + 2), b"", None]
+    rows = [("C:", 10, data[0]), ("D:", 0, data[1]), ("E:", 0, data[2]), ("E:", 0, data[3])]
+    df = spark.createDataFrame(rows, "volume string, byte_offset long, bits binary")
+    got = recovery.bitmap_extents(df).orderBy("volume", "start").collect()
+    taken = [80 + 8 * i + j for i, x in enumerate(data[0]) for j in range(8) if x >> j & 1]
+    starts = [c for i, c in enumerate(taken) if not i or taken[i - 1] != c - 1]
+    assert [r.start for r in got if r.volume == "C:"] == starts
+    assert sum(r.end_excl - r.start for r in got if r.volume == "C:") == len(taken)
+    edge = 8 * recovery.STRETCH
+    assert [(r.volume, r.start, r.end_excl) for r in got if r.volume != "C:"] == [("D:", 0, edge), ("D:", edge, edge + 16)]
+
+
 def test_repeated_and_overlapping_extents_count_once(spark):
     files = spark.createDataFrame(
         [("C:", 1, False, [(0, 512)]), ("C:", 2, False, [(100, 20)])],
