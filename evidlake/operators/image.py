@@ -176,8 +176,9 @@ def artifact_counts(found: DataFrame) -> DataFrame:
 
 
 def top_artifacts(found: DataFrame, kind: str, n: int) -> DataFrame:
-    """Values of a type by how often they occur; first seen wins a tie."""
-    return (
+    """Values of a type by how often they occur, ranked; first seen wins a tie."""
+    order = [F.desc("count"), F.col("first_seen")]
+    top = (
         found.filter(F.col("type") == kind)
         .groupBy("value")
         .agg(
@@ -186,10 +187,11 @@ def top_artifacts(found: DataFrame, kind: str, n: int) -> DataFrame:
             F.max("is_sensitive").alias("is_sensitive"),
             F.min(F.struct("image", "offset")).alias("first_seen"),
         )
-        .orderBy(F.desc("count"), "first_seen")
-        .drop("first_seen")
+        .orderBy(*order)
         .limit(n)
     )
+    # only the n rows of the list are numbered
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("first_seen")
 
 
 def new_locations(configured: DataFrame, known: DataFrame) -> DataFrame:

@@ -887,16 +887,40 @@ def event_anomaly_totals(spark, sf_dir):
     return ev.anomaly_totals(_events(spark, sf_dir), DAILY)
 
 
-@query(
-    sql(
-        "SELECT kind, n FROM t WHERE n > 0",
-        "win_events", a=ATTACKS, t=TALLY,
+# Attributes of each kind, taken from the statement of its own detector.
+ATTRIBUTES = {
+    "unusual_logons": ["username", "hour"],
+    "suspicious_powershell": ["event_id", "script_preview", "indicators"],
+    "suspicious_services": ["service_name", "service_path"],
+    "remote_access": ["event_type", "source_ip"],
+    "privilege_escalation": ["event_type", "username"],
+    "usb_activity": ["event_type", "device"],
+}
+
+
+def _attributes_sql(kind: str, names: list[str], ts: str = "ts") -> str:
+    values = ", ".join(
+        f"replace({n}, ',', ', ')" if n == "indicators" else f"CAST({n} AS VARCHAR)" for n in names
     )
-)
+    return (
+        f"SELECT '{kind}' AS kind, {ts} AS ts, severity, unnest({words(names)}) AS name, "
+        f"unnest([{values}]) AS value FROM ({ORACLES[kind]})"
+    )
+
+
+ROW_ANOMALIES = "\nUNION ALL ".join(_attributes_sql(k, n) for k, n in ATTRIBUTES.items())
+
+
+def _attribute_rows(found: DataFrame) -> DataFrame:
+    return found.select(
+        "kind", shown("ts").alias("ts"), "severity", F.explode("attributes").alias("name", "value")
+    )
+
+
+@query(_attributes_sql("brute_force", ["username", "attempts"], "window_start") + "\nUNION ALL " + ROW_ANOMALIES)
 def event_anomalies(spark, sf_dir):
-    """All anomalies in one tall shape, counted by kind."""
-    rows = ev.anomalies(_events(spark, sf_dir), DAILY)
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    """All anomalies in one tall shape, a row for each attribute."""
+    return _attribute_rows(ev.anomalies(_events(spark, sf_dir), DAILY))
 
 
 @query(
@@ -964,19 +988,13 @@ def stream_brute_force(spark, sf_dir):
     return rows.select(shown("ts").alias("window_start"), "username", "attempts", "severity")
 
 
-@query(
-    sql(
-        "SELECT kind, n FROM t WHERE n > 0 AND kind <> 'brute_force'",
-        "win_events", a=ATTACKS, t=TALLY,
-    )
-)
+@query(ROW_ANOMALIES)
 def stream_anomalies(spark, sf_dir):
-    """The six stateless detectors as a stream, counted by kind."""
+    """The six stateless detectors as a stream, a row for each attribute."""
     source = S.load(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(source).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
     found = detectors.stream_row_anomalies(ev.normalize(S.as_win_events(stream)))
-    rows = _run_stream(spark, found.select("kind", "ts", "severity"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    return _attribute_rows(_run_stream(spark, found.select("kind", "ts", "severity", "attributes")))
 
 
 def _run_stream(spark, stream: DataFrame) -> DataFrame:
@@ -1290,10 +1308,12 @@ def recovery_totals(spark, sf_dir):
 
 # -- images ------------------------------------------------------------------------------
 
+# seq: the order of first places in an image; the address stands behind the page.
 STRINGS = (
-    "SELECT DISTINCT page_id, value FROM (SELECT page_id, unnest(regexp_extract_all(html, '[ -~]{8,}')) "
-    "AS value FROM image_texts UNION ALL SELECT page_id, unnest(regexp_extract_all(url, '[ -~]{8,}')) "
-    "FROM image_texts)"
+    "SELECT page_id, value, min(seq) AS seq FROM (SELECT page_id, unnest(r) AS value, "
+    "unnest(range(len(r))) AS seq FROM (SELECT page_id, list_concat("
+    "regexp_extract_all(html, '[ -~]{8,}'), regexp_extract_all(url, '[ -~]{8,}')) AS r FROM image_texts)) "
+    "GROUP BY page_id, value"
 )
 # The number pattern has lookaheads, which the check engine lacks: its parts are tested apart.
 SSN = (
@@ -1364,17 +1384,37 @@ def image_artifact_counts(spark, sf_dir):
     return image.artifact_counts(image.artifacts(_strings(spark, sf_dir)))
 
 
-@query(
-    sql(
-        "SELECT max(n) AS most, count(*) AS listed FROM (SELECT value, count(*) AS n FROM a "
-        "WHERE type = 'url' GROUP BY value ORDER BY n DESC LIMIT 50)",
+def _top_sql(kind: str, n: int) -> str:
+    return sql(
+        "SELECT CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS rank, value, n AS count, "
+        "category, is_sensitive FROM (SELECT value, count(*) AS n, min(category) AS category, "
+        "bool_or(is_sensitive) AS is_sensitive, min({'i': 'page_' || page_id, 's': seq}) AS first "
+        f"FROM a JOIN s USING (page_id, value) WHERE type = '{kind}' GROUP BY value) QUALIFY rank <= {n}",
         "image_texts", s=STRINGS, a=ARTIFACTS,
     )
-)
+
+
+def _top(spark, sf_dir, kind: str, n: int) -> DataFrame:
+    found = image.artifacts(_strings(spark, sf_dir))
+    return image.top_artifacts(found, kind, n).withColumn("category", F.coalesce("category", F.lit("")))
+
+
+@query(_top_sql("url", 50))
 def image_top_urls(spark, sf_dir):
-    """The 50 most frequent URL strings: how many, and the highest count."""
-    top = image.top_artifacts(image.artifacts(_strings(spark, sf_dir)), "url", 50)
-    return top.agg(F.max("count").alias("most"), F.count("*").alias("listed"))
+    """The 50 most frequent URL strings, first seen first among equals."""
+    return _top(spark, sf_dir, "url", 50)
+
+
+@query(_top_sql("email", 20))
+def image_top_emails(spark, sf_dir):
+    """The 20 most frequent strings with an e-mail address."""
+    return _top(spark, sf_dir, "email", 20)
+
+
+@query(_top_sql("file_path", 30))
+def image_top_paths(spark, sf_dir):
+    """The 30 most frequent strings with a file path."""
+    return _top(spark, sf_dir, "file_path", 30)
 
 
 @query()
@@ -1654,18 +1694,20 @@ NOTES = (
 
 @query(
     sql(
-        "SELECT p.path AS \"File Path\", threat_level AS \"Threat Level\", total_iocs AS \"Total IOCs\", "
+        "SELECT 'CASE-1' AS \"Case ID\", coalesce(label, 'Unlabeled') AS \"Evidence Label\", "
+        "regexp_extract(p.path, '[^/]*$') AS \"File Name\", p.path AS \"File Path\", size AS \"File Size\", "
+        f"{SHOWN.format('mtime')} AS \"Modified Date\", threat_level AS \"Threat Level\", "
+        "threat_score AS \"Threat Score\", total_iocs AS \"Total IOCs\", critical AS \"Critical\", "
+        "high AS \"High\", medium AS \"Medium\", low AS \"Low\", "
         "categories AS \"Categories\", coalesce(n.notes, '') AS \"Investigator Notes\" "
         "FROM p LEFT JOIN n ON p.path = n.path WHERE total_iocs > 0",
         "texts", f=IOC, p=PER_FILE, n=NOTES,
     )
 )
 def case_summary_table(spark, sf_dir):
-    """Columns of the CSV summary with the newest note of each file."""
+    """All columns of the CSV summary with the newest note of each file."""
     noted = case.with_notes(_case(spark, sf_dir), _notes(spark, sf_dir))
-    return case.summary_table(noted).select(
-        "File Path", "Threat Level", "Total IOCs", "Categories", "Investigator Notes"
-    )
+    return case.summary_table(noted).withColumn("Modified Date", shown("Modified Date"))
 
 
 # -- threat intelligence -----------------------------------------------------------------
