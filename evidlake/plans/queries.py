@@ -1308,11 +1308,11 @@ def recovery_totals(spark, sf_dir):
 
 # -- images ------------------------------------------------------------------------------
 
-# seq: the order of first places in an image; the address stands behind the page.
+# seq: the order of first places in an image; the address and a path stand behind the page.
 STRINGS = (
     "SELECT page_id, value, min(seq) AS seq FROM (SELECT page_id, unnest(r) AS value, "
     "unnest(range(len(r))) AS seq FROM (SELECT page_id, list_concat("
-    "regexp_extract_all(html, '[ -~]{8,}'), regexp_extract_all(url, '[ -~]{8,}')) AS r FROM image_texts)) "
+    "regexp_extract_all(html, '[ -~]{8,}'), regexp_extract_all(url, '[ -~]{8,}'), [place]) AS r FROM image_texts)) "
     "GROUP BY page_id, value"
 )
 # The number pattern has lookaheads, which the check engine lacks: its parts are tested apart.
@@ -1482,9 +1482,22 @@ def command_descriptions(spark, sf_dir):
     return rows.groupBy("description").agg(F.count("*").alias("outputs"))
 
 
-@query()
+BLOCKS = (
+    "SELECT host || '/' || cmd AS path, '=== ' || upper(category) || ' - ' || left(cmd, 80) || ' ===' || chr(10) "
+    f"|| output AS text FROM captured WHERE NOT list_contains({words(L.ANALYSIS_CATEGORIES)}, category) "
+    "AND regexp_matches(output, '\\S') AND NOT starts_with(output, '[ERROR]')"
+)
+
+
+@query(
+    sql(
+        "SELECT split_part(path, '/', 1) AS host, name, severity, CAST(sum(len(m)) AS BIGINT) AS matches "
+        "FROM f GROUP BY ALL",
+        "captured", blocks=BLOCKS, f=scan_sql("blocks", indicator_catalog()),
+    )
+)
 def output_indicators(spark, sf_dir):
-    """Indicators in captured output blocks (the block text exists only as Spark rows)."""
+    """Indicators in captured output blocks."""
     blocks = outputs.evidence_blocks(S.command_outputs(spark, sf_dir))
     found = scan.explode_findings(scan.scan(blocks, indicator_catalog()))
     return found.groupBy("host", "name", "severity").agg(F.sum("count").alias("matches"))

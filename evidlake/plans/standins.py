@@ -7,6 +7,8 @@ cross-check. Nothing here is sampled or cut: rows grow with the tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -612,18 +614,23 @@ def raw_mft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- images ----------------------------------------------------------------------------------
 
-VIEWS["image_texts"] = "SELECT page_id, html, url FROM pages"
+VIEWS["image_texts"] = (
+    r"SELECT page_id, html, url, 'C:\Users\u' || (page_id % 7) || '\notes.txt' AS place FROM pages"
+)
 
 
 def images(spark: SparkSession, sf_dir: str, chunk_bytes: int = 4096) -> DataFrame:
-    """Each page as a small memory image: its text, NULs, and its address in UTF-16."""
+    """Each page as a small memory image: its text, NULs, then its address and a path in UTF-16."""
     from evidlake.sources.files import slice_images
 
     html = hex_of(F.col("html"))
     odd = F.when(F.length(html) % 4 != 0, "000000").otherwise("0000")
+    place = text_of("C:\\Users\\u", F.col("page_id") % 7, "\\notes.txt")
     rows = load(spark, sf_dir, "pages").select(
         text_of("page_", F.col("page_id")).alias("image"),
-        F.unhex(F.concat(html, odd, hex_utf16(F.col("url")), F.lit("0000"))).alias("content"),
+        F.unhex(F.concat(
+            html, odd, hex_utf16(F.col("url")), F.lit("0000"), hex_utf16(place), F.lit("0000")
+        )).alias("content"),
     )
     return slice_images(spread(rows), chunk_bytes)
 
@@ -631,42 +638,81 @@ def images(spark: SparkSession, sf_dir: str, chunk_bytes: int = 4096) -> DataFra
 # -- captured output ---------------------------------------------------------------------------
 
 
+# Captured outputs of a customer: category, command and text. {k} is the customer's key, also
+# padded to 8 or 10 places, {name} the name and {bal} the whole part of the balance.
+CAPTURED = [
+    ("system", "systeminfo", "\r\nHost Name:    {name}\r\nOS Version:  10.0.{k}\r\nEmpty:\r\n"),
+    ("users", "net user", "User accounts for \\\\{name}\n\n-----\nadmin guest\nuser{k}\n"),
+    ("users", "wmic useraccount list", "AccountType  Disabled  Name\n\n512  FALSE  u{k}\n512  TRUE  v{k}\n"),
+    ("processes", "tasklist",
+     "Image Name                     PID Session Name        Session#    Mem Usage\n"
+     "========================= ======== ================ =========== ============\n"
+     "System Idle Process       {k8} Services                   0          8 K\n"
+     "a.exe                     {k8} Console                    1 {k10} K\n"),
+    ("users", "Get-LocalUser|Format-List", "AccountTable\n\nName : u{k}\nSID :\n\nOther\nName : w{k}\n"),
+    ("services", "Get-Service|Format-Table -AutoSize", "Status Name\n------ ----\nRunning svc{k}\nStopped old{k}\n"),
+    ("network", "netstat -e", "Interface Statistics\n\n  Bytes  {k}\n  Errors = {bal}\n  Discards: 1\n"),
+    ("network", "netstat -nao",
+     "Active Connections\n TCP 10.0.0.1:1 9.9.9.9:{k} ESTABLISHED {k}\n"
+     " TCP 0.0.0.0:2 0.0.0.0:0 {k}\n UDP x y\n"),
+    ("network", "arp -a",
+     "Interface: 10.0.0.{k} on 0x4\n  Internet Address Physical Address Type\n"
+     "  10.0.0.9 aa-bb dynamic\n  10.0.0.8 cc-dd\n"),
+    ("network", "ipconfig /all",
+     "Windows IP Configuration\n\n   Host Name . . : {name}\n   Empty . . :\n\n"
+     "Ethernet adapter E{k}:\n\n   IPv4 Address. . : 10.1.0.{k}\n"),
+    ("network", "route print",
+     "IPv4 Route Table\nNetwork Destination Netmask Gateway Interface Metric\n"
+     " 0.0.0.0 0.0.0.0 10.0.0.1 10.0.0.2 {k}\n On-link x\n====\n 1.1.1.1 a b c d\n"),
+    ("services", "sc query", "SERVICE_NAME: A{k}\n  TYPE : 10\n  STATE : RUNNING\n\nSERVICE_NAME: B{k}\n  TYPE : 20\n"),
+    ("usb_forensics", "usb report",
+     "=== USB DEVICE INFO ===\nFriendlyName : Stick {k}\n\n=== USB INSERT / REMOVE EVENTS ===\n"
+     "2024-01-01 10:00:00 {k} device in use\nshort line\n"),
+    ("misc", "cat notes", "alpha: {k}\nbeta:\nplain line\n"),
+    ("misc", "uptime", "up {k} days\n\nload 1\n"),
+    ("misc", "fails", "[ERROR] exit {k}"),
+    ("misc", "blank", "  \n "),
+    ("hash_analysis", "HASH_SYSTEM_FILES", "not text {k}"),
+]
+PLACES = {"k": "CAST(c_custkey AS VARCHAR)", "name": "c_name", "bal": "CAST(CAST(trunc(c_acctbal) AS INTEGER) AS VARCHAR)"}
+PLACES |= {f"k{n}": f"lpad(CAST(c_custkey AS VARCHAR), {n}, ' ')" for n in (8, 10)}
+
+
+def _filled(template: str, text, place) -> list:
+    """The parts of a template, plain texts and places in turn."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return [place(p) if i % 2 else text(p) for i, p in enumerate(parts) if p]
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+VIEWS["captured"] = (
+    "SELECT 'host' || c_custkey AS host, unnest(["
+    + ", ".join(
+        "{'category': %s, 'cmd': %s, 'output': %s}"
+        % (_literal(category), _literal(cmd), " || ".join(_filled(output, _literal, PLACES.get)))
+        for category, cmd, output in CAPTURED
+    )
+    + "], recursive := true) FROM customer"
+)
+
+
 def command_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set of captured outputs per customer, in the formats of the parsers."""
-    key, name, bal = F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal").cast("int")
+    key = F.col("c_custkey")
     k = key.cast("string")
-    out = lambda category, cmd, *parts: F.struct(
-        F.lit(category).alias("category"), F.lit(cmd).alias("cmd"), text_of(*parts).alias("output")
-    )
+    places = {
+        "k": k, "k8": F.lpad(k, 8, " "), "k10": F.lpad(k, 10, " "),
+        "name": F.col("c_name"), "bal": F.col("c_acctbal").cast("int"),
+    }
     captured = [
-        out("system", "systeminfo", "\r\nHost Name:    ", name, "\r\nOS Version:  10.0.", k, "\r\nEmpty:\r\n"),
-        out("users", "net user", "User accounts for \\\\", name, "\n\n-----\nadmin guest\nuser", k, "\n"),
-        out("users", "wmic useraccount list", "AccountType  Disabled  Name\n\n512  FALSE  u", k, "\n512  TRUE  v", k, "\n"),
-        out("processes", "tasklist",
-            "Image Name                     PID Session Name        Session#    Mem Usage\n",
-            "========================= ======== ================ =========== ============\n",
-            "System Idle Process       ", F.lpad(k, 8, " "), " Services                   0          8 K\n",
-            "a.exe                     ", F.lpad(k, 8, " "), " Console                    1 ", F.lpad(k, 10, " "), " K\n"),
-        out("users", "Get-LocalUser|Format-List", "AccountTable\n\nName : u", k, "\nSID :\n\nOther\nName : w", k, "\n"),
-        out("services", "Get-Service|Format-Table -AutoSize", "Status Name\n------ ----\nRunning svc", k, "\nStopped old", k, "\n"),
-        out("network", "netstat -e", "Interface Statistics\n\n  Bytes  ", k, "\n  Errors = ", bal, "\n  Discards: 1\n"),
-        out("network", "netstat -nao",
-            "Active Connections\n TCP 10.0.0.1:1 9.9.9.9:", k, " ESTABLISHED ", k, "\n TCP 0.0.0.0:2 0.0.0.0:0 ", k, "\n UDP x y\n"),
-        out("network", "arp -a",
-            "Interface: 10.0.0.", k, " on 0x4\n  Internet Address Physical Address Type\n  10.0.0.9 aa-bb dynamic\n  10.0.0.8 cc-dd\n"),
-        out("network", "ipconfig /all",
-            "Windows IP Configuration\n\n   Host Name . . : ", name, "\n   Empty . . :\n\nEthernet adapter E", k, ":\n\n   IPv4 Address. . : 10.1.0.", k, "\n"),
-        out("network", "route print",
-            "IPv4 Route Table\nNetwork Destination Netmask Gateway Interface Metric\n 0.0.0.0 0.0.0.0 10.0.0.1 10.0.0.2 ", k,
-            "\n On-link x\n====\n 1.1.1.1 a b c d\n"),
-        out("services", "sc query", "SERVICE_NAME: A", k, "\n  TYPE : 10\n  STATE : RUNNING\n\nSERVICE_NAME: B", k, "\n  TYPE : 20\n"),
-        out("usb_forensics", "usb report",
-            "=== USB DEVICE INFO ===\nFriendlyName : Stick ", k, "\n\n=== USB INSERT / REMOVE EVENTS ===\n2024-01-01 10:00:00 ", k, " device in use\nshort line\n"),
-        out("misc", "cat notes", "alpha: ", k, "\nbeta:\nplain line\n"),
-        out("misc", "uptime", "up ", k, " days\n\nload 1\n"),
-        out("misc", "fails", "[ERROR] exit ", k),
-        out("misc", "blank", "  \n "),
-        out("hash_analysis", "HASH_SYSTEM_FILES", "not text ", k),
+        F.struct(
+            F.lit(category).alias("category"), F.lit(cmd).alias("cmd"),
+            text_of(*_filled(output, str, places.get)).alias("output"),
+        )
+        for category, cmd, output in CAPTURED
     ]
     return spread(load(spark, sf_dir, "customer")).select(
         text_of("host", key).alias("host"), F.inline(F.array(*captured))
