@@ -28,7 +28,8 @@ def directory_paths(records: DataFrame) -> DataFrame:
     unfinished directory to the directory its pointer names and takes over that one's
     pointer, so the distance covered doubles: a tree n levels deep needs log2(n)
     passes. A pass that finishes nothing means the rest hangs on a missing record or
-    a cycle. Each pass is written to the shared checkpoint folder, so lineage stays
+    a cycle. Of repeated records of one entry (two copies of a volume) the least counts,
+    so repeats do not multiply from pass to pass. Each pass is written to the shared checkpoint folder, so lineage stays
     short and a lost executor does not restart the loop.
     """
     key = ["volume", "entry_number"]
@@ -37,6 +38,8 @@ def directory_paths(records: DataFrame) -> DataFrame:
     state = materialize(
         records.select("volume", "entry_number", "parent_reference", "filename")
         .join(parents, key, "left_semi")
+        .groupBy(*key).agg(F.min(F.struct("parent_reference", "filename")).alias("r"))
+        .select(*key, "r.*")
         .select(
             *key,
             F.col("parent_reference").alias("pointer"),

@@ -26,9 +26,18 @@ def _div(value: Column, by: int) -> Column:
 
 
 def _pieces(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per block that [start, end) touches, cut to the block."""
-    blocks = F.sequence(_div(F.col(start), BLOCK), _div(F.col(end) - 1, BLOCK))
-    out = df.filter(F.col(end) > F.col(start)).withColumn("block", F.explode(blocks))
+    """One row per block that [start, end) touches, cut to the block.
+
+    Blocks are made in two steps, so a run over a whole disk never becomes one long array.
+    """
+    first, last = _div(F.col(start), BLOCK), _div(F.col(end) - 1, BLOCK)
+    out = df.filter(F.col(end) > F.col(start)).withColumn(
+        "_many", F.explode(F.sequence(_div(first, BLOCK), _div(last, BLOCK)))
+    )
+    blocks = F.sequence(
+        F.greatest(first, F.col("_many") * BLOCK), F.least(last, (F.col("_many") + 1) * BLOCK - 1)
+    )
+    out = out.withColumn("block", F.explode(blocks)).drop("_many")
     low = F.greatest(F.col(start), F.col("block") * BLOCK)
     high = F.least(F.col(end), (F.col("block") + 1) * BLOCK)
     return out.withColumns({"piece_start": low, "piece_end": high})

@@ -1417,9 +1417,26 @@ def image_top_paths(spark, sf_dir):
     return _top(spark, sf_dir, "file_path", 30)
 
 
-@query()
+WIDE = "regexp_replace(hex({}), '(..)', '\\1' || '00', 'g') || '0000'"
+CHUNK_BYTES = (
+    "SELECT image, chunk_no, list_transform(range(len(x) // 2), lambda i: substr(x, 2 * i + 1, 2)) AS b "
+    "FROM (SELECT image, chunk_no, substr(h, chunk_no * 8192 + 1, 8192) AS x "
+    "FROM (SELECT *, unnest(range((len(h) + 8191) // 8192)) AS chunk_no FROM (SELECT 'page_' || page_id AS image, "
+    "hex(html) || CASE WHEN len(hex(html)) % 4 <> 0 THEN '000000' ELSE '0000' END || "
+    f"{WIDE.format('url')} || {WIDE.format('place')} AS h FROM image_texts)))"
+)
+
+
+@query(
+    sql(
+        "SELECT image, chunk_no, len(list_filter(b, lambda v: v <> '00')) >= len(b) * 0.1 "
+        "AND len(list_filter(b, lambda v: v BETWEEN '20' AND '7E')) >= len(b) * 0.05 "
+        "AND len(list_distinct(b[1:1000])) >= 50 AS likely FROM c",
+        "image_texts", c=CHUNK_BYTES,
+    )
+)
 def image_page_likeness(spark, sf_dir):
-    """Chunks that look like memory pages (byte statistics have no SQL form in the check engine)."""
+    """Chunks that look like memory pages, by their byte statistics."""
     chunks = S.images(spark, sf_dir)
     return chunks.select("image", "chunk_no", looks_like_memory(F.col("bytes")).alias("likely"))
 

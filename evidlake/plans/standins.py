@@ -615,7 +615,7 @@ def raw_mft(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- images ----------------------------------------------------------------------------------
 
 VIEWS["image_texts"] = (
-    r"SELECT page_id, html, url, 'C:\Users\u' || (page_id % 7) || '\notes.txt' AS place FROM pages"
+    r"SELECT page_id, html, url, 'C:\Users\u' || (page_id % 7) || '\mail@example.com.txt' AS place FROM pages"
 )
 
 
@@ -625,7 +625,7 @@ def images(spark: SparkSession, sf_dir: str, chunk_bytes: int = 4096) -> DataFra
 
     html = hex_of(F.col("html"))
     odd = F.when(F.length(html) % 4 != 0, "000000").otherwise("0000")
-    place = text_of("C:\\Users\\u", F.col("page_id") % 7, "\\notes.txt")
+    place = text_of("C:\\Users\\u", F.col("page_id") % 7, "\\mail@example.com.txt")
     rows = load(spark, sf_dir, "pages").select(
         text_of("page_", F.col("page_id")).alias("image"),
         F.unhex(F.concat(

@@ -51,6 +51,13 @@ def test_paths(spark):
     assert got[("C:", 70)] == (None, False)
 
 
+def test_repeated_records_do_not_multiply(spark):
+    once = [record("C:", 5, 5, ".")] + [record("C:", 10 + i, 5 if i == 0 else 9 + i, f"d{i}") for i in range(20)]
+    twice = mft.with_paths(frame(spark, *once, *once, record("C:", 10, 5, "e0"))).collect()
+    assert len(twice) == 2 * len(once) + 1
+    assert {r.full_path for r in twice if r.entry_number == 12} == {"C:\\d0\\d1\\d2"}
+
+
 def test_deep_chain_and_wide_directory(spark):
     chain = [record("C:", 5, 5, ".")] + [record("C:", 10 + i, 5 if i == 0 else 9 + i, f"d{i}") for i in range(150)]
     wide = [record("C:", 1000 + i, 159, f"f{i}") for i in range(300)]
