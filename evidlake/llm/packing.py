@@ -89,16 +89,29 @@ class Lengths:
         self.count[length] += 1
 
 
+def best_fit(lengths: Lengths, space: int) -> tuple[list[int], int]:
+    """The best-fit-decreasing filling of ``space`` and what it leaves."""
+    chosen: list[int] = []
+    item = lengths.at_most(space)
+    while item:
+        n = min(lengths.count[item], space // item)
+        chosen += [item] * n
+        space -= n * item
+        item = lengths.at_most(min(space, item - 1))
+    return chosen, space
+
+
 def complete(lengths: Lengths, space: int, nodes: int) -> list[int]:
     """The best filling of ``space`` found: branch and bound over undominated fillings.
 
-    The incumbent is the best-fit-decreasing filling. A branch fixes the largest item;
+    The incumbent is the best-fit-decreasing filling, made before the search. A branch fixes the largest item;
     items go down in length, so that each filling is met once. A branch ends when
     nothing fits its rest (a maximal filling; others are dominated by one), and is cut
     when its rest, filled with items no longer than its largest, cannot have less waste
-    than the incumbent. ``nodes`` bounds the search, not what is packed.
+    than the incumbent. ``nodes`` bounds the search for better ones, not what is packed.
     """
-    best, waste, left = [], space, nodes
+    best, waste = best_fit(lengths, space)
+    left = nodes
 
     def search(rest: int, largest: int, chosen: list[int]) -> None:
         nonlocal best, waste, left

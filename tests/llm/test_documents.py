@@ -201,6 +201,18 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert len(filled) <= len(free)
 
 
+def test_short_pieces_fill_sequences(spark):
+    for lengths, capacity in (([1] * 5000, 2048), ([3] * 1500 + [1] * 600, 2048), ([2] * 900 + [1], 1000)):
+        lengths = np.array(lengths)
+        for nodes in (0, 400):
+            bins, offsets = packing.pack_lengths(lengths, capacity, nodes)
+            filled = np.bincount(bins, lengths)
+            assert filled.max() <= capacity and len(filled) == -(-lengths.sum() // capacity)
+            assert len(set(zip(bins, offsets))) == len(lengths)
+    got = packing.pack(documents(spark, ["", None] * 2500), tokenizer_path()).toPandas()
+    assert len(got) == 5000 and got.sequence_id.nunique() == 3
+
+
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
