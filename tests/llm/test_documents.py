@@ -213,6 +213,20 @@ def test_short_pieces_fill_sequences(spark):
     assert len(got) == 5000 and got.sequence_id.nunique() == 3
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    values = [f"a {end} b", end, f"{end}{end}", f"x  {end}  y\n\n{end}", f"<|{end}|>", "<|endoftext|", f"don't{end}'t  ", f" é{end}é 1"]
+    got = packing.pack(documents(spark, values), path, 64).toPandas().set_index("doc_id")
+    assert 50256 in tok.encode(values[0], add_special_tokens=False).ids
+    for i, text in enumerate(values):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        assert got.length[i] == len(ids) and got.ids_crc32[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
