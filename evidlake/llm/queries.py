@@ -33,7 +33,9 @@ def tokenizer_path() -> str:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "deduplicated.n_removed", "deduplicated.n_spans", "deduplicated.kept_sha256")
+    return done.select(
+        "doc_id", "deduplicated.n_bytes", "deduplicated.n_removed", "deduplicated.n_spans", "deduplicated.kept_sha256"
+    )
 
 
 @query

@@ -294,7 +294,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     """Every row of ``docs`` with the struct ``deduplicated``.
 
-    It holds ``n_removed`` bytes, ``n_spans`` (maximal removed runs), ``spans`` (byte
+    It holds ``n_bytes`` (of the text in UTF-8), ``n_removed`` bytes, ``n_spans`` (maximal removed runs), ``spans`` (byte
     ranges, end exclusive), ``kept`` (the remaining bytes) and ``kept_sha256``. Each byte
     covered by a string of ``length`` bytes that also starts elsewhere in the table, in
     the same text or another row, is removed; all occurrences are judged on the input.
@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame, length: int = 200, **options) -> DataFrame:
         "_h": F.xxhash64("doc_id", "text"),
     })
     spans = repeated_spans(rows, length, **options)
-    schema = "n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string"
+    schema = "n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string"
 
     @F.pandas_udf(schema)
     def remove(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -320,9 +320,10 @@ def without_repeats(docs: DataFrame, length: int = 200, **options) -> DataFrame:
                 end = b
             kept = b"".join([*parts, data[end:]])
             out.append((
-                sum(b - a for a, b in runs), len(runs), [list(r) for r in runs], kept, hashlib.sha256(kept).hexdigest()
+                len(data), sum(b - a for a, b in runs), len(runs), [list(r) for r in runs], kept,
+                hashlib.sha256(kept).hexdigest(),
             ))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "spans", "kept", "kept_sha256"])
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
 
     return rows.join(spans, ["_d", "_h"], "left").withColumn(
         "deduplicated", remove("text", "_spans")

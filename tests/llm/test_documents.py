@@ -11,7 +11,7 @@ from fixtures import documents, empty, texts
 
 from evidlake.llm import mixing, near_dedup, packing, personal, quality, suffix_dedup, toxicity
 from evidlake.llm.components import components
-from evidlake.llm.queries import tokenizer_path
+from evidlake.llm.queries import op1_suffix_dedup, tokenizer_path
 from evidlake.llm.shingles import shingle_sets
 
 
@@ -54,6 +54,16 @@ def test_repeats_in_an_empty_table(spark):
     assert suffix_dedup.without_repeats(empty(documents(spark))).count() == 0
 
 
+def test_columns_of_the_repeats_query(spark, tmp_path):
+    values = [*texts(n=5), "é"]
+    documents(spark, values).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_suffix_dedup(spark, str(tmp_path))
+    assert got.dtypes == [
+        ("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")
+    ]
+    assert {r.doc_id: r.n_bytes for r in got.collect()} == {i: len((t or "").encode()) for i, t in enumerate(values)}
+
+
 def test_windows_are_covered_once_and_segments_agree(monkeypatch):
     data = [(t or "").encode() for t in texts(3)]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
