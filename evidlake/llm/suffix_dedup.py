@@ -3,8 +3,10 @@
 Every window of ``length`` bytes is filed under the least hash of its ``GRAM``-byte grams;
 equal windows have the same least hash, and consecutive windows with one hash are kept as
 one run. Runs whose hash occurs once in the corpus cannot repeat. The texts of the others
-are gathered by hash into shards of bounded size, and in each shard a Burrows-Wheeler
-transform of all its texts gives the windows that occur again.
+are gathered by hash into shards, and in each shard a Burrows-Wheeler transform of all its
+texts gives the windows that occur again. The windows of a hash with more text than a shard
+are filed again, under the least hash of other and then wider grams, in the end under the
+hash of the whole window, so that no window is left out and no hash exceeds a shard.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import blocks, column_of, keep, mix64
+from evidlake.llm.common import GOLDEN, blocks, column_of, keep, mix64
 
 GRAM = 32
+#: Gram size (0 is the whole window) and seed of each filing.
+FILINGS = ((GRAM, 0), (GRAM, 1), (128, 2), (0, 3))
 SEGMENT = 1 << 20
 BLOCK = 1 << 18
 #: Windows of a run; longer runs (periodic texts) are cut.
@@ -39,26 +43,29 @@ def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def gram_hashes(raw: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each ``size`` (a power of two) consecutive bytes, by doubling."""
+    """Hash of each ``size`` consecutive bytes, by doubling."""
     h = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1 + seed * 256))[raw]
     have = 1
     while have < size:
-        h = h[:-have] * np.uint64(0x9FB21C651E98DF25) + h[have:]
+        step = min(have, size - have)  # the last two halves may overlap
+        h = h[:-step] * np.uint64(0x9FB21C651E98DF25) + h[step:]
         h ^= h >> np.uint64(29)
-        have *= 2
+        have += step
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def runs_of(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def runs_of(
+    raw: np.ndarray, bounds: np.ndarray, length: int, gram: int = GRAM, seed: int = 0
+) -> tuple[np.ndarray, ...]:
     """Least hash, first window, number of windows and weight (1 or 2) of each run.
 
     ``raw`` holds texts end to end, ``bounds`` where each starts and the last ends; windows
     over a bound are left out. Weight 2 marks a run in which the least gram stands twice:
     only such a run can hold the same window twice.
     """
-    grams = gram_hashes(raw, GRAM)
-    width = length - GRAM + 1
+    grams = gram_hashes(raw, gram, seed)
+    width = length - gram + 1
     least = slide(grams, width, np.minimum)
     step = np.zeros(len(least) + 1, np.int32)
     long_ = np.flatnonzero(np.diff(bounds) >= length)
@@ -88,7 +95,9 @@ def runs_of(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     return value, start, count, np.minimum(same, 2)
 
 
-def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def text_runs(
+    texts: list[bytes], length: int, gram: int = GRAM, seed: int = 0
+) -> Iterator[tuple[np.ndarray, ...]]:
     """Text number, least hash, first window, windows and weight of all runs of some texts.
 
     Each window of each whole text is in exactly one run. Short texts are done together,
@@ -99,13 +108,13 @@ def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...
             raw = np.frombuffer(texts[a], np.uint8)
             for x in range(0, max(len(raw) - length + 1, 0), SEGMENT):
                 part = raw[x : x + SEGMENT + length - 1]
-                value, start, count, weight = runs_of(part, np.array([0, len(part)]), length)
+                value, start, count, weight = runs_of(part, np.array([0, len(part)]), length, gram, seed)
                 yield np.full(len(value), a), value.view(np.int64), start + x, count, weight
             continue
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])])
         if bounds[-1] >= length:
             raw = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-            value, start, count, weight = runs_of(raw, bounds, length)
+            value, start, count, weight = runs_of(raw, bounds, length, gram, seed)
             which = np.searchsorted(bounds, start, side="right") - 1
             yield which + a, value.view(np.int64), start - bounds[which], count, weight
 
@@ -219,6 +228,89 @@ def repeated_in(texts: list[bytes], copies: list[int], length: int) -> list[tupl
     return out
 
 
+def filed_again(texts: DataFrame, length: int, filing: int) -> tuple[DataFrame, DataFrame]:
+    """Texts under the hashes of a later filing, and where they stand in ``texts``.
+
+    Windows keep to the hash they had, so each is compared with what it could equal before.
+    """
+    gram = min(FILINGS[filing][0] or length, length)
+    seed = FILINGS[filing][1]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key, copies = batch["key"].to_numpy(), batch["copies"].to_numpy()
+            had = batch["least"].to_numpy().view(np.uint64) * GOLDEN
+            for which, value, start, count, weight in text_runs(list(batch["piece"]), length, gram, seed):
+                yield pd.DataFrame({
+                    "key": key[which], "least": mix64(had[which] + value.view(np.uint64)).view(np.int64),
+                    "start": start, "windows": count, "weight": weight * copies[which],
+                })
+
+    runs = keep(texts.mapInPandas(find, "key binary, least long, start long, windows int, weight long"))
+    often = runs.groupBy("least").agg(F.sum("weight").alias("_n")).filter("_n > 1").select("least")
+    wanted = (
+        runs.join(often, "least", "left_semi").groupBy("key")
+        .agg(F.collect_list(F.struct("start", "windows", "least")).alias("runs"))
+    )
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for parent, text, copies, found in zip(batch["key"], batch["piece"], batch["copies"], batch["runs"]):
+                for r in found:
+                    piece = text[r["start"] : r["start"] + r["windows"] + length - 1]
+                    key = hashlib.blake2b(piece, digest_size=16).digest()
+                    rows.append((parent, r["start"], r["least"], key, piece, copies))
+            yield pd.DataFrame(rows, columns=["parent", "start", "least", "key", "piece", "copies"])
+
+    parts = keep(
+        texts.select("key", "piece", "copies").join(wanted, "key").mapInPandas(
+            cut, "parent binary, start long, least long, key binary, piece binary, copies long"
+        )
+    )
+    finer = keep(parts.groupBy("least", "key", "piece").agg(F.sum("copies").alias("copies")))
+    return finer, parts.select("parent", "start", "key")
+
+
+def repeats_among(texts: DataFrame, length: int, shard_bytes: int, filing: int = 0) -> DataFrame:
+    """``key``, ``a``, ``b``: ranges of window starts in ``texts`` that occur again among them.
+
+    A hash whose texts exceed ``shard_bytes`` is filed again; the others go to shards of
+    about that size. Under the last filing a hash has one text, a window.
+    """
+    sizes = texts.groupBy("least").agg(F.sum(F.length("piece") + 1).alias("_size"))
+    last = filing == len(FILINGS) - 1
+    large = F.lit(False) if last else F.col("_size") > shard_bytes
+    total, heavy = sizes.agg(F.sum(F.when(~large, F.col("_size"))), F.sum(large.cast("long"))).first()
+    light = texts
+    if heavy:  # few, as each has more than a shard
+        over = F.broadcast(sizes.filter(large).select("least"))
+        light = texts.join(over, "least", "left_anti")
+    shards = max(1, -(-(total or 0) // shard_bytes))
+
+    def expand(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # copies of one text and no other text of this hash: every window is known to repeat
+        plain = (frame.groupby("least")["key"].transform("size") == 1) & (frame["copies"] > 1)
+        rows = [(k, [0], [len(p) - length + 1]) for k, p in zip(frame["key"][plain], frame["piece"][plain])]
+        frame = frame[~plain]
+        found = repeated_in(list(frame["piece"]), list(frame["copies"]), length)
+        rows += [(k, a, b) for k, (a, b) in zip(frame["key"], found) if len(a)]
+        return pd.DataFrame(rows, columns=["key", "a", "b"])
+
+    repeats = light.withColumn("_shard", F.pmod(F.xxhash64("least"), F.lit(shards))).groupBy("_shard").applyInPandas(
+        expand, "key binary, a array<long>, b array<long>"
+    )
+    if not heavy:
+        return repeats
+    finer, places = filed_again(texts.join(over, "least", "left_semi"), length, filing + 1)
+    again = places.join(repeats_among(finer, length, shard_bytes, filing + 1), "key")
+    return repeats.unionByName(again.select(
+        F.col("parent").alias("key"),
+        F.transform("a", lambda x: x + F.col("start")).alias("a"),
+        F.transform("b", lambda x: x + F.col("start")).alias("b"),
+    ))
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``_d``, ``_h`` (row key) and ``_spans``: byte ranges covered by repeated strings."""
     keyed = docs.select("_d", "_h", "text")
@@ -256,21 +348,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD_
         )
     )
     texts = keep(pieces.groupBy("least", "key", "piece").agg(F.count("*").alias("copies")))
-    total = texts.agg(F.sum(F.length("piece") + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-
-    def expand(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        # copies of one text and no other text of this hash: every window is known to repeat
-        plain = (frame.groupby("least")["key"].transform("size") == 1) & (frame["copies"] > 1)
-        rows = [(k, [0], [len(p) - length + 1]) for k, p in zip(frame["key"][plain], frame["piece"][plain])]
-        frame = frame[~plain]
-        found = repeated_in(list(frame["piece"]), list(frame["copies"]), length)
-        rows += [(k, a, b) for k, (a, b) in zip(frame["key"], found) if len(a)]
-        return pd.DataFrame(rows, columns=["key", "a", "b"])
-
-    repeats = texts.withColumn("_shard", F.pmod(F.xxhash64("least"), F.lit(shards))).groupBy("_shard").applyInPandas(
-        expand, "key binary, a array<long>, b array<long>"
-    )
+    repeats = repeats_among(texts, length, shard_bytes)
     spans = pieces.select("_d", "_h", "start", "key").join(repeats, "key").select(
         "_d", "_h",
         F.explode(F.arrays_zip("a", "b")).alias("r"), "start",

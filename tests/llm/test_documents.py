@@ -54,6 +54,38 @@ def test_repeats_in_an_empty_table(spark):
     assert suffix_dedup.without_repeats(empty(documents(spark))).count() == 0
 
 
+def test_a_hash_with_many_texts_goes_to_bounded_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def text(n):
+        return bytes(rng.integers(97, 123, n, np.uint8))
+
+    # the line's gram has the least hash of every window around it
+    line = min((text(60) for _ in range(20_000)), key=lambda x: suffix_dedup.gram_hashes(np.frombuffer(x, np.uint8), 32).min())
+    values = [text(250) + line + text(250) for _ in range(150)]
+    for i in range(0, 20, 2):  # repeats across the line, and one text twice
+        values[i] = values[i][:250] + line + values[i + 1][310:330 + 20 * i] + text(40)
+        values[i + 1] = text(30) + values[i][150:430]
+    values += [values[30], line * 8, b"a" * 700]
+    values = [v.decode() for v in values]
+    plain = suffix_dedup.repeated_in
+
+    def bounded(most):
+        def repeated_in(texts, copies, length):
+            assert sum(map(len, texts)) <= most
+            return plain(texts, copies, length)
+
+        return repeated_in
+
+    want = brute_repeats(values, 200)
+    for shard_bytes in (8000, 300):
+        monkeypatch.setattr(suffix_dedup, "repeated_in", bounded(4 * shard_bytes + 2200))
+        done = suffix_dedup.without_repeats(documents(spark, values), 200, shard_bytes=shard_bytes)
+        got = {r.doc_id: tuple(r.deduplicated[k] for k in ("n_removed", "n_spans", "kept_sha256")) for r in done.select("doc_id", "deduplicated").collect()}
+        assert [got[i] for i in range(len(values))] == want
+    assert sum(w[0] > 0 for w in want) > 20
+
+
 def test_columns_of_the_repeats_query(spark, tmp_path):
     values = [*texts(n=5), "é"]
     documents(spark, values).write.parquet(f"{tmp_path}/documents.parquet")
