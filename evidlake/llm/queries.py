@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import ann, html_crf, mixing, near_dedup, packing, personal, quality, suffix_dedup, topk, toxicity
+from evidlake.llm import (
+    ann, divergence, filter_audit, html_crf, language, mixing, near_dedup, packing, personal, quality, suffix_dedup,
+    topk, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +94,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+@query
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = language.languages(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "held_out", "lang_pred", "score")
+
+
 ORACLES["op2_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -133,3 +152,82 @@ l AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
+
+ORACLES["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 3
+), groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total, l.total AS lang_total, l.v
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (total + v) AS p,
+    1 + (1000000000 * (lang_n + 1)) // (lang_total + v) AS q
+  FROM cells
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // y.p) FROM shares x JOIN shares y USING (lang, term)
+              WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op12_filter_interaction"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), fails AS (
+  SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic, [
+    len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(min(t.doc_id) OVER (PARTITION BY t) < t.doc_id, false)] AS f
+  FROM texts t LEFT JOIN marks m USING (doc_id)
+), cells AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT '' AS o, CAST([] AS INTEGER[]) AS used
+  UNION ALL
+  SELECT o || letter, list_append(used, i) FROM orders JOIN letters ON NOT list_contains(used, i)
+), steps AS (
+  SELECT o AS filter_order, used[1:s - 1] AS before, used[s] AS own, s AS step
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s) WHERE len(used) = 5
+), hits AS (
+  SELECT c.part, s.filter_order, s.step, s.own, c.n, c.good, c.toxic, f[s.own] AS fail,
+    len(list_filter(s.before, lambda i: f[i])) > 0 AS gone,
+    len(list_filter(f, lambda x: x)) AS fails
+  FROM cells c, steps s
+), found AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fail AND fails = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS toxic_lost
+  FROM hits GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM found
+"""
