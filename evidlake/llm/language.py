@@ -228,8 +228,9 @@ def training_windows(docs: DataFrame, sample_rows: int, windows_of_each: int) ->
     ids = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"))
     ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     edges = ids.filter(F.col("place") <= max(2, sample_rows // languages)).groupBy("lang").agg(F.max("key").alias("edge"))
-    # the hashes alone were sorted; one row for each language says how far its sample goes
-    rows = usable.join(edges, "lang").filter(F.xxhash64("doc_id", "text") <= F.col("edge"))
+    # the hashes alone were sorted; a number for each of the network's outputs says how far its sample goes
+    ends = F.create_map(*(F.lit(x) for r in edges.collect() for x in (r.lang, r.edge)))
+    rows = usable.filter(F.xxhash64("doc_id", "text") <= F.element_at(ends, F.col("lang")))
     count = F.ceil(F.octet_length("text") / F.lit(WINDOW))
     pieces = rows.select(
         "lang", "text", F.explode(F.array_distinct(F.transform(
