@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -44,6 +45,25 @@ def encoder(path: str):
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: From about a million white-space characters in a row on, the faster encoder's expressions
+#: run out of stack; texts with long runs go to tokenizers itself.
+LONG_SPACE = re.compile(r"\s{100000}")
+
+
+@lru_cache(maxsize=2)
+def plain_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str) -> list[int]:
+    """Ids of a whole text, added tokens by their own ids, without special tokens around it."""
+    if len(text) >= 100_000 and LONG_SPACE.search(text):
+        return plain_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode(text, allowed_special="all")
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of each piece.
 
@@ -51,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = partial(encoder(tokenizer).encode, allowed_special="all")
+        encode = partial(token_ids, tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for at, (doc_id, text) in enumerate(zip(batch["doc_id"], column_of(batch, "text"))):
