@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -45,23 +46,56 @@ TAGS = frozenset(
     "article main nav header footer aside form section div ul ol li table figure figcaption button label "
     "blockquote pre h1 h2 h3 h4 h5 h6 p body dl details dialog".split()
 )
+AWAY = frozenset("nav header footer aside form button dialog".split())
+AWAY_KINDS = frozenset("advert menu footer side notice comments form share".split())
 NOTICE_TEXT = re.compile(r"(?i)\b(cookies?|subscribe|newsletter|sign up|log ?in|advert|sponsored|all rights reserved|privacy)\b|©")
 
 
+@dataclass(eq=False)
+class Path:
+    """An open element and those around it; what a block's path says is carried along.
+
+    Equal paths of a page are one object, so a block deep in a page costs no more than
+    another one.
+    """
+
+    tag: str
+    kinds: frozenset[str]
+    parent: Path | None
+    names: tuple[str, ...]
+    below: bool  # an article or main element, or inside of one
+    away: bool  # in a part of the article that is no text of it
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]
+    path: Path | None
     linked: int
 
 
+def path_to(known: dict, parent: Path | None, tag: str, kinds: frozenset[str]) -> Path:
+    key = (id(parent), tag, kinds)
+    if key not in known:
+        names = parent.names if parent else ()
+        own = [f"in {tag}"] * (tag in TAGS) + [f"kind {k}" for k in sorted(kinds)]
+        new = [x for x in own if x not in names]
+        below = bool(parent and parent.below) or tag in ("article", "main")
+        away = bool(parent and parent.away) or (below and (tag in AWAY or bool(kinds & AWAY_KINDS)))
+        known[key] = Path(tag, kinds, parent, (*names, *new) if new else names, below, away)
+    return known[key]
+
+
 class LeafBlocks(HTMLParser):
     """The text between two block-level tags, with its ancestors; malformed markup is fine."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.stack: list[Path] = []
+        self.open: Counter[str] = Counter()
+        self.known: dict = {}
+        self.sections_end = True
         self.parts: list[str] = []
         self.linked = self.links = self.silent = 0
         self.quiet: list[str] = []
@@ -69,7 +103,7 @@ class LeafBlocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, tuple(self.stack), min(self.linked, len(text))))
+            self.blocks.append(Block(text, self.stack[-1] if self.stack else None, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -93,16 +127,47 @@ class LeafBlocks(HTMLParser):
         self.links = 0
         if tag in VOID:
             return
-        if tag not in ENDS and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
-        while tag in ENDS and self.stack and self.stack[-1][0] in ENDS[tag]:
-            self.stack.pop()
+        if tag not in ENDS and self.stack and self.stack[-1].tag == "p":
+            self.leave(len(self.stack) - 1)
+        while tag in ENDS and self.stack and self.stack[-1].tag in ENDS[tag]:
+            self.leave(len(self.stack) - 1)
+        self.open[tag] += 1
+        self.stack.append(path_to(self.known, self.stack[-1] if self.stack else None, tag, self.kinds(attrs)))
+
+    def kinds(self, attrs) -> frozenset[str]:
         kinds = set()
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 for word in value.lower().replace("_", "-").split():
                     kinds.update(KIND_OF.get(w, "") for w in (word, *word.split("-")))
-        self.stack.append((tag, frozenset(kinds - {""})))
+        return frozenset(kinds - {""})
+
+    def leave(self, depth: int) -> None:
+        for path in self.stack[depth:]:
+            self.open[path.tag] -= 1
+        del self.stack[depth:]
+
+    def parse_marked_section(self, i, report=1):
+        """Markup up to its ``>``, a character data section up to ``]]>``; else the rest of the page."""
+        if self.sections_end and self.rawdata[i + 3 : i + 9].lower() == "cdata[":
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                return end + 3
+            self.sections_end = False  # nor do later ones
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        """An unclosed comment is the rest of the page."""
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        end = super().parse_html_declaration(i)
+        return end if end >= 0 else len(self.rawdata)
 
     def handle_endtag(self, tag):
         if self.quiet:
@@ -114,10 +179,11 @@ class LeafBlocks(HTMLParser):
             return
         self.end_block()
         self.links = 0
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.open[tag]:
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self.leave(at)
 
     def handle_data(self, data):
         if not self.quiet:
@@ -134,14 +200,12 @@ def leaf_blocks(html: str | None) -> list[Block]:
     return parser.blocks
 
 
-def path_features(path: tuple) -> list[str]:
-    names = {"bias": None, "leaf " + (path[-1][0] if path else "none"): None}
-    for tag, kinds in path:
-        if tag in TAGS:
-            names["in " + tag] = None
-        for k in kinds:
-            names["kind " + k] = None
-    return list(names)
+def path_features(path: Path | None) -> list[str]:
+    return ["bias", "leaf " + (path.tag if path else "none"), *(path.names if path else ())]
+
+
+def parent_of(path: Path | None) -> Path | None:
+    return path.parent if path else None
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
@@ -159,7 +223,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             names.append("first")
         if i == len(blocks) - 1:
             names.append("last")
-        names.append("same parent" if i and blocks[i - 1].path[:-1] == b.path[:-1] else "new parent")
+        names.append("same parent" if i and parent_of(blocks[i - 1].path) is parent_of(b.path) else "new parent")
         out.append(names)
     return out
 
@@ -312,32 +376,26 @@ def drawn_page(rng: random.Random) -> str:
 def labelled(html: str) -> tuple[list[Block], list[int]]:
     """Blocks of a drawn page with their labels, read from ``data-main``."""
     class Marked(LeafBlocks):
-        def handle_starttag(self, tag, attrs):
-            super().handle_starttag(tag, attrs)
-            if tag not in INLINE and tag not in SILENT and tag not in VOID and not self.quiet and self.stack:
-                self.stack[-1] = (self.stack[-1][0], self.stack[-1][1] | ({"*"} if ("data-main", None) in attrs else set()))
+        def kinds(self, attrs):
+            return super().kinds(attrs) | ({"*"} if ("data-main", None) in attrs else set())
 
     parser = Marked()
     parser.feed(html)
     parser.close()
     parser.end_block()
-    labels = [int(bool(b.path) and "*" in b.path[-1][1]) for b in parser.blocks]
-    blocks = [Block(b.text, tuple((t, k - {"*"}) for t, k in b.path), b.linked) for b in parser.blocks]
-    return blocks, labels
+    labels = [int(bool(b.path) and "*" in b.path.kinds) for b in parser.blocks]
+    known: dict = {}
 
+    def unmarked(path: Path | None) -> Path | None:
+        return path and path_to(known, unmarked(path.parent), path.tag, path.kinds - {"*"})
 
-AWAY = frozenset("nav header footer aside form button dialog".split())
-AWAY_KINDS = frozenset("advert menu footer side notice comments form share".split())
+    blocks = [Block(b.text, unmarked(b.path), b.linked) for b in parser.blocks]
+    return blocks, labels
 
 
 def landmarks(blocks: list[Block]) -> list[int] | None:
     """Labels of a real page whose markup names its article; None if it names none."""
-    labels = []
-    for b in blocks:
-        inside = [i for i, (t, _) in enumerate(b.path) if t in ("article", "main")]
-        below = b.path[inside[0] :] if inside else ()
-        away = any(t in AWAY or k & AWAY_KINDS for t, k in below)
-        labels.append(int(bool(below) and not away))
+    labels = [int(bool(b.path) and b.path.below and not b.path.away) for b in blocks]
     return labels if any(labels) else None
 
 
@@ -353,8 +411,8 @@ def train(pages: DataFrame, sample: int = 150, drawn: int = 400, longest: int =
     rows = hashed_sample(pages.filter(F.length("html") <= longest).select("html"), sample, "html")
     for html in rows["html"]:
         blocks = leaf_blocks(html)
-        labels = landmarks(blocks)
-        if labels and len(blocks) <= most_blocks:
+        labels = landmarks(blocks) if len(blocks) <= most_blocks else None
+        if labels:
             data.append((blocks, labels))
     return fit(data)
 
