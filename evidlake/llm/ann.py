@@ -73,16 +73,29 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
 
 @dataclass
 class Router:
-    """A softmax classifier over parts, and how many of them a query tries."""
+    """A softmax classifier over parts, and how many of them a query tries at least.
+
+    A query that lies apart from the sample has no clear part: it also tries parts until
+    their probabilities add up to ``mass``.
+    """
 
     weights: np.ndarray
     bias: np.ndarray
     probes: int
+    mass: float = 0.8
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Parts of each row, most probable first."""
         return np.argsort(-(unit_rows(x) @ self.weights + self.bias), axis=1, kind="stable")
 
+    def tries(self, x: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """How many parts of each row's order the row tries."""
+        z = np.take_along_axis(unit_rows(x) @ self.weights + self.bias, order, axis=1)
+        p = np.exp(z - z[:, :1])
+        added = np.cumsum(p, axis=1) / p.sum(axis=1, keepdims=True)
+        likely = (added < self.mass).sum(axis=1) + 1
+        return np.minimum(np.maximum(likely, self.probes), order.shape[1])
+
 
 def train_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Fit on soft targets: the shares of a row's own and its neighbours' parts."""
@@ -143,18 +156,31 @@ def cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (queries @ vectors.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :])
 
 
-def assign(rows: DataFrame, router: Router, probes: int) -> DataFrame:
-    """Each row once for each of its ``probes`` most probable parts."""
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+def assign(rows: DataFrame, router: Router, sizes: dict[int, int] | None = None, wanted: int = 0) -> DataFrame:
+    """Each row in its most probable part; with ``sizes`` of the parts, a query in those it tries.
+
+    These are as many of the most probable parts as the router says and, in its order, as many
+    more as hold ``wanted`` vectors, if all together do. Vectors of another length than the
+    router's are all in part 0.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((router, sizes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = shared.value
+        r, known = shared.value
         for batch in batches:
-            fits = batch["v"].map(len).to_numpy() == len(r.weights)
-            chosen = np.tile(np.arange(probes), (len(batch), 1))  # another length: any parts will do
-            if fits.any():
-                chosen[fits] = r.order(np.stack(batch.loc[fits, "v"].to_numpy()))[:, :probes]
-            yield batch.assign(parts=list(chosen))
+            chosen: list[np.ndarray] = [np.zeros(1, np.int64)] * len(batch)
+            fits = np.flatnonzero(batch["v"].map(len).to_numpy() == len(r.weights))
+            if len(fits):
+                x = np.stack(batch["v"].iloc[fits].to_numpy())
+                order = r.order(x)
+                tried = np.ones(len(fits), np.int64)
+                if known is not None:
+                    held = np.cumsum(np.array([known.get(p, 0) for p in range(order.shape[1])])[order], axis=1)
+                    enough = np.minimum((held < wanted).sum(axis=1) + 1, order.shape[1])
+                    tried = np.maximum(enough, r.tries(x, order))
+                for i, parts, n in zip(fits, order, tried):
+                    chosen[i] = parts[:n]
+            yield batch.assign(parts=chosen)
 
     return rows.mapInPandas(run, "id long, v array<double>, parts array<long>").select(
         "id", "v", F.explode("parts").alias("part")
@@ -165,14 +191,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the nearest rows found.
 
     Every vector is indexed in its most probable part. A query goes to the router's
-    ``probes`` most probable parts and is ranked there by exact cosine. Parts are cut into
+    ``probes`` most probable parts, and to more where these hold fewer than k other vectors,
+    and is ranked there by exact cosine. Parts are cut into
     tiles and the queries of a part into blocks, so no part has to fit into a task. Inputs
     are as for ``topk.top_k``, without zero vectors; ties go to the smaller id.
     """
     router = fit(vectors, k, **options) if router is None else router
-    indexed = assign(vectors, router, 1)
-    asked = assign(queries, router, router.probes)
-    sizes = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    indexed = assign(vectors, router)
+    width = F.size("v") == len(router.weights)
+    # one row for each of the router's parts
+    counts = indexed.groupBy("part").agg(F.count("*").alias("n"), F.count(F.when(width, 1)).alias("fits")).collect()
+    sizes = {r["part"]: r["n"] for r in counts}
+    asked = assign(queries, router, {r["part"]: r["fits"] for r in counts}, k + 1)
     calls = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
     tiles = {p: tiles_of(n, tile) for p, n in sizes.items() if p in calls}
     blocks = {p: tiles_of(calls[p], block) for p in tiles}
