@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidlake.llm.common import keep
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Ratio of the bands that a source's document weights are counted in.
+BAND = 1.1
 
 
 def word_count(text: Column) -> Column:
@@ -48,6 +52,47 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> Data
     )
 
 
+def bucketed(docs: DataFrame, quality: Column | None, weights, most: float, seed: int, per_bucket: int) -> DataFrame:
+    """``docs`` with its own columns by their places, sizes, keys, targets and buckets of keys."""
+    weight = F.least(F.greatest(quality if quality is not None else quality_weight(F.col("text")), F.lit(1e-6)), F.lit(1e6))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # own columns go by their places, so that none has the name of a helper
+    own = [F.col(f"`{name}`").alias(f"own {i}") for i, name in enumerate(docs.columns)]
+    keyed = docs.select(
+        *own, "doc_id", "source",
+        word_count(F.col("text")).alias("size"),
+        (-F.log(uniform) / weight).alias("_key"),
+        F.floor(F.log(weight) / math.log(BAND)).cast("int").alias("_band"),
+        F.xxhash64("text").alias("_tie"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"),  # never null
+    )
+    bands = keyed.groupBy("source", "_s", "_band").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    sizes = bands.groupBy("source", "_s").agg(
+        F.sum("words").alias("source_size"),
+        F.sum("n").alias("n"),
+        F.collect_list(F.struct(F.pow(F.lit(BAND), F.col("_band")).alias("weight"), "n")).alias("_bands"),
+    )
+    # one row per source, written once: its true size decides about a broadcast, so that
+    # the documents are not shuffled by source before Spark knows how small the table is
+    sizes = keep(sizes)
+    targets = keep(source_targets(sizes.drop("_bands"), weights, most).join(
+        sizes.select("_s", F.sort_array("_bands").alias("_bands")),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")) == F.col("_s"),
+    ).drop("source"))
+    # the share of the source's keys that lie below a key
+    below = F.aggregate(
+        "_bands", F.lit(0.0), lambda sum_, b: sum_ + b["n"] * (1 - F.exp(-F.col("_key") * b["weight"]))
+    ) / F.col("n")
+    return keyed.join(targets, "_s", "left").withColumn(
+        "_bucket", F.floor(below * F.ceil(F.col("n") / per_bucket)).cast("long")
+    ).drop("_bands")
+
+
+def bucket_sizes(docs: DataFrame, per_bucket: int = 2000) -> DataFrame:
+    """How many rows each bucket of keys has, by source."""
+    return bucketed(docs, None, WEIGHTS, 3.0, 0, per_bucket).groupBy("_s", "_bucket").count()
+
+
 def mix(
     docs: DataFrame, quality: Column | None = None, weights=WEIGHTS, most: float = 3.0,
     seed: int = 0, per_bucket: int = 2000,
@@ -62,36 +107,20 @@ def mix(
 
     Running sums over a source are made in two steps: keys are cut into monotone buckets
     of about ``per_bucket`` rows, whose totals are summed first, so no task sees a whole
-    source. Null text has size 0 and takes nothing; null sources are one source; repeated
+    source. A bucket is a range of the distribution that the source's own weights give its
+    keys, taken in bands of 10 %, so it holds at most 1.1 times its share whatever they are. Null text has size 0 and takes nothing; null sources are one source; repeated
     rows count each time and get equal keys, of which the edge takes any. Columns of these
     names that ``docs`` has already are replaced.
     """
     made = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*made)
-    weight = F.greatest(quality if quality is not None else quality_weight(F.col("text")), F.lit(1e-6))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = docs.withColumns({
-        "size": word_count(F.col("text")),
-        "_key": -F.log(uniform) / weight,
-        "_tie": F.xxhash64("text"),
-        "_s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),  # never null
-    })
-    sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    # one row per source, written once: its true size decides about a broadcast, so that
-    # the documents are not shuffled by source before Spark knows how small the table is
-    targets = keep(source_targets(sizes, weights, most).withColumn(
-        "_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    ).drop("source"))
-    # 1 - exp(-key) keeps the order and spreads keys over (0, 1)
-    bucketed = keyed.join(targets, "_s", "left").withColumn(
-        "_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.ceil(F.col("n") / per_bucket)).cast("long")
-    )
+    rows = bucketed(docs, quality, weights, most, seed, per_bucket)
     in_bucket = Window.partitionBy("_s", "_bucket").orderBy("_key", "doc_id", "_tie")
     ahead = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum")).select(
+    totals = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum")).select(
         "_s", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")
     )
-    placed = bucketed.join(totals, ["_s", "_bucket"], "left").withColumn(
+    placed = rows.join(totals, ["_s", "_bucket"], "left").withColumn(
         "_before",
         F.col("_ahead") + F.coalesce(
             F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -101,7 +130,8 @@ def mix(
     epochs = F.when(whole, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     one_more = (F.col("_before") + F.col("size") / 2.0 <= rest).cast("long")
-    return placed.withColumn("taken", (epochs + one_more) * F.col("size")).select(*docs.columns, *made)
+    given_back = [F.col(f"own {i}").alias(name) for i, name in enumerate(docs.columns)]
+    return placed.withColumn("taken", (epochs + one_more) * F.col("size")).select(*given_back, *made)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -110,7 +140,10 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     A document without words has no words to take and appears once, so nothing clean is
     lost to the arithmetic.
     """
-    taken = mix(docs, **options)
+    columns = docs.columns  # of which some may have the names that the mix adds
+    own = docs.select(*[F.col(f"`{c}`").alias(f"kept {i}") for i, c in enumerate(columns)], "doc_id", "text", "source")
+    taken = mix(own, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
     copies = F.explode(F.array_repeat(F.lit(0), times))
-    return taken.select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    rows = taken.select(*[f"kept {i}" for i in range(len(columns))], copies.alias("copy"))
+    return rows.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(columns)])
