@@ -52,7 +52,12 @@ def chromium_history(urls: DataFrame) -> DataFrame:
 
 
 def firefox_history(places: DataFrame) -> DataFrame:
-    """Firefox ``moz_places`` rows; the typed flag means a typed address."""
+    """Firefox ``moz_places`` rows; the typed flag means a typed address.
+
+    A ``visit_type`` column, when the visits are exported with their places, names the type.
+    """
+    typed = F.when(F.col("typed") > 0, "Typed").otherwise("Link")
+    kind = firefox_visit_label(F.col("visit_type")) if "visit_type" in places.columns else typed
     return places.select(
         F.lit("firefox").alias("browser"),
         F.coalesce("url", F.lit("")).alias("url"),
@@ -61,7 +66,7 @@ def firefox_history(places: DataFrame) -> DataFrame:
         _count("typed").alias("typed_count"),
         unix_micros(F.col("last_visit_date")).alias("last_visit"),
         F.coalesce(F.col("hidden") != 0, F.lit(False)).alias("hidden"),
-        F.when(F.col("typed") > 0, "Typed").otherwise("Link").alias("visit_type"),
+        kind.alias("visit_type"),
     )
 
 

@@ -130,6 +130,24 @@ def module_totals(totals: dict[str, DataFrame], alerts: dict[str, int] | None =
     )
 
 
+def dashboard(modules: dict[str, DataFrame], alerts: dict[str, int] | None = None) -> DataFrame:
+    """Items, activity and alert of each module from the rows it found.
+
+    All rows go into one tall table (module, items) that is summed once: partial sums leave
+    each task, whatever the number of modules. A module without rows has 0 items.
+    """
+    spark = next(iter(modules.values())).sparkSession
+    tall = spark.createDataFrame([(name, 0) for name in modules], "module string, items long")
+    for name, rows in modules.items():
+        tall = tall.unionByName(rows.select(F.lit(name).alias("module"), F.lit(1).cast("long").alias("items")))
+    limit = F.lit(None).cast("long")
+    for name, most in (alerts or {}).items():
+        limit = F.when(F.col("module") == name, F.lit(most)).otherwise(limit)
+    return tall.groupBy("module").agg(F.sum("items").alias("items")).withColumns(
+        {"active": F.col("items") > 0, "alert": F.coalesce(F.col("items") > limit, F.lit(False))}
+    )
+
+
 def activity_log(matches: dict[str, DataFrame]) -> DataFrame:
     """Rows found per analysis."""
     out = None

@@ -3,7 +3,8 @@
 Input: chunks (image, chunk_no, offset, bytes) of one even size. Printable runs of
 a chunk are found with numpy inside its task, with absolute offsets. A run that
 touches a chunk edge is a *piece*; pieces that continue each other are put back
-together, so no string is lost or cut at an edge.
+together, so no string is lost or cut at an edge. Only a string beyond a size stays as
+its pieces, each searched with the beginning of the next.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns
 from evidlake.functions.text import any_contains, java_regex
+from evidlake.operators.joins import lookup_join
 from evidlake.session import materialize
 
 MIN_CHARS = 8
 SPAN = 10 * 1024 * 1024
 SEGMENT = 4096
+#: Characters up to which a string over chunk edges is put together in one row.
+WHOLE = 1 << 20
+#: Characters of the next piece that a piece of a longer string is searched with.
+OVERLAP = 4096
 
 PIECES = (
     "image string, chunk_no long, encoding string, offset long, value string, "
@@ -97,37 +103,63 @@ def _chain_heads(edge: DataFrame) -> DataFrame:
     return rows.select(*key, "offset", F.coalesce("head_here", "carried").alias("head"))
 
 
-def carve_strings(chunks: DataFrame) -> DataFrame:
-    """All printable strings of at least 8 characters: image, encoding, offset, value.
+def carve_strings(chunks: DataFrame, whole_chars: int = WHOLE) -> DataFrame:
+    """All printable strings of at least 8 characters: image, encoding, offset, value, head, rest.
 
-    The pieces are written to the checkpoint folder once, because three branches read
+    A string of up to ``whole_chars`` characters is one row. A longer one stays as its pieces,
+    one row for each chunk it runs through: ``offset`` is the piece's place, ``head`` that of
+    the string, and ``rest`` holds the first characters of the next piece, so that a search
+    in value and rest misses nothing at a border. No group or row is larger than a chunk or
+    ``whole_chars``, however long a printable run is.
+
+    The pieces are written to the checkpoint folder once, because several branches read
     them and the images themselves should be read a single time.
     """
     pieces = materialize(string_pieces(chunks))
-    columns = ["image", "encoding", "offset", "value"]
+    key = ["image", "encoding"]
+    columns = [*key, "offset", "value"]
     touching = F.col("at_start") | F.col("at_end")
     inner = pieces.filter(~touching).select(*columns)
     edge = pieces.filter(touching)
     heads = _chain_heads(edge.drop("value"))
-    # A group is one string, so what it collects is one value of the result.
+    placed = materialize(edge.join(heads, [*key, "offset"]))
+    sizes = placed.groupBy(*key, "head").agg(F.sum(F.length("value")).alias("chars"))
+    sized = lookup_join(
+        placed, sizes.filter(F.col("chars") >= MIN_CHARS), [*key, "head"], "inner", spread=["offset"], may_broadcast=False
+    )
+    # what a group collects is one value of the result, of a bounded size
     whole = (
-        edge.join(heads, ["image", "encoding", "offset"])
-        .groupBy("image", "encoding", F.col("head").alias("offset"))
-        .agg(F.array_sort(F.collect_list(F.struct(edge["offset"].alias("o"), "value"))).alias("p"))
+        sized.filter(F.col("chars") <= whole_chars)
+        .groupBy(*key, F.col("head").alias("offset"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("o"), "value"))).alias("p"))
         .withColumn("value", F.array_join(F.col("p.value"), ""))
-        .filter(F.length("value") >= MIN_CHARS)
     )
-    return inner.unionByName(whole.select(*columns))
+    long = sized.filter(F.col("chars") > whole_chars)
+    following = long.filter("at_start").select(
+        *key, (F.col("chunk_no") - 1).alias("chunk_no"), F.substring("value", 1, OVERLAP).alias("rest")
+    )
+    # a piece goes on in the next chunk if it ends with its own; of a chunk, one piece does
+    goes_on = F.when(F.col("at_end"), F.col("chunk_no"))
+    long = long.withColumn("chunk_no", goes_on).join(following, [*key, "chunk_no"], "left")
+    rows = inner.unionByName(whole.select(*columns)).withColumns(
+        {"head": F.col("offset"), "rest": F.lit("")}
+    )
+    return rows.unionByName(long.select(*columns, "head", F.coalesce("rest", F.lit("")).alias("rest")))
 
 
 def distinct_strings(strings: DataFrame, span: int = SPAN) -> DataFrame:
-    """Each value once per 10 MB stretch of its image, at its first offset."""
+    """Each value once per 10 MB stretch of its image, at its first offset and in its encoding.
+
+    Pieces of long strings are told apart by what follows them as well.
+    """
     stretch = F.call_function("div", F.col("offset"), F.lit(span))
-    return (
-        strings.groupBy("image", stretch.alias("stretch"), "value")
-        .agg(F.min("offset").alias("offset"))
-        .drop("stretch")
-    )
+    key = ["image", "stretch", "value"]
+    columns = [c for c in strings.columns if c not in ("image", "value")]
+    if "rest" in columns:
+        key.append("rest")
+    first = F.min_by(F.struct(*columns), F.col("offset")).alias("first")
+    found = strings.withColumn("stretch", stretch).groupBy(*key).agg(first)
+    return found.select("image", "value", *[F.col(f"first.{c}").alias(c) for c in columns])
 
 
 def artifact_category(kind: Column, value: Column) -> Column:
@@ -152,12 +184,25 @@ def artifact_category(kind: Column, value: Column) -> Column:
 
 
 def artifacts(strings: DataFrame) -> DataFrame:
-    """Typed artefacts: one row per string and type it shows."""
+    """Typed artefacts: one row per string, or piece of a long string, and type it shows.
+
+    A piece is searched together with the beginning of the next one.
+    """
     value = F.col("value")
+
+    def shown(regex: str) -> Column:
+        hit = value.rlike(regex)
+        if "rest" not in strings.columns:
+            return hit
+        rest = F.col("rest")
+        # what lies in the rest alone is the next piece's
+        over_border = F.concat(value, rest).rlike(regex) & ~rest.rlike(regex)
+        return hit | F.when(rest != "", over_border).otherwise(F.lit(False))
+
     types = F.array_compact(
         F.array(
             *[
-                F.when(value.rlike(java_regex(regex, fold)), F.lit(kind))
+                F.when(shown(java_regex(regex, fold)), F.lit(kind))
                 for kind, fold, regex in patterns.PAGE_IMAGE
             ]
         )

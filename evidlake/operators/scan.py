@@ -112,6 +112,11 @@ def explode_findings(scanned: DataFrame, findings: str = "findings") -> DataFram
     )
 
 
+def with_findings(scanned: DataFrame, findings: str = "findings") -> DataFrame:
+    """The texts in which something was found."""
+    return scanned.filter(F.size(findings) > 0)
+
+
 def limit_examples(findings: DataFrame, n: int) -> DataFrame:
     """Keep the first n example matches; counts are unchanged."""
     return findings.withColumn("matches", F.slice("matches", 1, n))

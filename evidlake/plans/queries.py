@@ -23,7 +23,7 @@ from evidlake.catalogs import lookups as L
 from evidlake.catalogs import patterns
 from evidlake.functions.binary import bit_is_set, hex_dump, is_text, looks_like_memory
 from evidlake.functions.paths import base_name, extension, parent_dir
-from evidlake.functions.sizes import human_size, short_size
+from evidlake.functions.sizes import human_size, short_size, size_mb
 from evidlake.operators import (
     browser,
     case,
@@ -43,8 +43,9 @@ from evidlake.operators import (
 from evidlake.operators import events as ev
 from evidlake.plans import standins as S
 from evidlake.session import ensure_checkpoint_dir
+from evidlake.sources import sinks, stored
 from evidlake.sources.sinks import indicator_rows
-from evidlake.streaming import detectors
+from evidlake.streaming import detectors, devices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1296,14 +1297,15 @@ def recovery_assessment(spark, sf_dir):
         "SELECT count(*) AS total_files, count(*) FILTER (status = 'FULL') AS full_recovery, "
         "count(*) FILTER (status = 'PARTIAL') AS partial_recovery, "
         "count(*) FILTER (status = 'METADATA_ONLY') AS metadata_only, "
-        "count(*) FILTER (status = 'OVERWRITTEN') AS overwritten FROM "
-        f"(SELECT {STATUS_SQL} AS status FROM a)",
+        "count(*) FILTER (status = 'OVERWRITTEN') AS overwritten, "
+        "round(avg(CAST(CASE WHEN is_resident THEN 100.0 ELSE (total - used) * 100.0 / total END AS DOUBLE)), 4) "
+        f"AS average_recovery_pct FROM (SELECT *, {STATUS_SQL} AS status FROM a)",
         "extents", "recovery_files", a=RECOVERY,
     )
 )
 def recovery_totals(spark, sf_dir):
     """Files per recovery status."""
-    return recovery.recovery_statistics(_assessed(spark, sf_dir)).drop("average_recovery_pct")
+    return recovery.recovery_statistics(_assessed(spark, sf_dir))
 
 
 # -- images ------------------------------------------------------------------------------
@@ -1355,10 +1357,31 @@ def _strings(spark, sf_dir):
     return image.distinct_strings(image.carve_strings(S.images(spark, sf_dir)))
 
 
-@query(sql("SELECT 'page_' || page_id AS image, value FROM s", "image_texts", s=STRINGS))
+# Runs of printable and of other characters, in order; UTF-16 text stands behind the page, two
+# bytes a character, after two or three NULs.
+IMAGE_RUNS = """
+SELECT page_id, 'ascii' AS encoding, w AS value,
+  sum(strlen(w)) OVER (PARTITION BY page_id ORDER BY i) - strlen(w) AS place
+FROM (SELECT page_id, unnest(r) AS w, unnest(range(len(r))) AS i FROM (
+  SELECT page_id, regexp_extract_all(html, '[ -~]+|[^ -~]+') AS r FROM image_texts))
+UNION ALL
+SELECT page_id, 'utf16', w, wide + 2 * (sum(length(w)) OVER (PARTITION BY page_id ORDER BY i) - length(w))
+FROM (SELECT page_id, wide, unnest(r) AS w, unnest(range(len(r))) AS i FROM (
+  SELECT page_id, strlen(html) + CASE WHEN strlen(html) % 2 = 0 THEN 2 ELSE 3 END AS wide,
+         regexp_extract_all(url || chr(1) || place || chr(1), '[ -~]+|[^ -~]+') AS r FROM image_texts))"""
+
+
+@query(
+    sql(
+        "SELECT 'page_' || page_id AS image, value, CAST(min(place) AS BIGINT) AS offset, "
+        "arg_min(encoding, place) AS encoding "
+        "FROM r WHERE length(value) >= 8 AND regexp_full_match(value, '[ -~]+') GROUP BY page_id, value",
+        "image_texts", r=IMAGE_RUNS,
+    )
+)
 def image_strings(spark, sf_dir):
     """Printable strings of memory images cut into 4 KB chunks, put together at the edges."""
-    return _strings(spark, sf_dir).select("image", "value")
+    return _strings(spark, sf_dir).select("image", "value", "offset", "encoding")
 
 
 @query(
@@ -1800,34 +1823,46 @@ def intel_tally(spark, sf_dir):
 # -- dashboard ---------------------------------------------------------------------------
 
 
+MODULES = {
+    "Hash Analysis": "SELECT 1 FROM files",
+    "Known bad": "SELECT 1 FROM h WHERE sha256 IN (SELECT sha256 FROM b)",
+    "Browser History": "SELECT 1 FROM visits",
+    "Event Logs": f"SELECT 1 FROM win_events WHERE {NIGHT}",
+    "Encrypted Files": "SELECT 1 FROM x WHERE encryption_class IS NOT NULL",
+    "OS Commands": "SELECT unnest(range(15)) FROM customer",
+    "Personal Data": f"SELECT 1 FROM ({ORACLES['pii_files']})",
+    "Indicators": "SELECT 1 FROM p WHERE total_iocs > 0",
+    "Page Images": f"SELECT 1 FROM ({ORACLES['image_artifacts']})",
+    "Registry": "SELECT 1 FROM registry_services",
+    "File Records": "SELECT 1 FROM mft",
+}
+
+
 @query(
     sql(
-        "SELECT module, items, items > 0 AS active, "
-        "CASE WHEN module = 'Known bad' THEN items > 0 ELSE false END AS alert FROM ("
-        "SELECT 'Hash Analysis' AS module, (SELECT count(*) FROM h) AS items "
-        "UNION ALL SELECT 'Known bad', (SELECT count(*) FROM h WHERE sha256 IN (SELECT sha256 FROM b)) "
-        "UNION ALL SELECT 'Browser History', (SELECT count(*) FROM visits) "
-        "UNION ALL SELECT 'Event Logs', (SELECT count(*) FROM win_events WHERE "
-        f"{NIGHT}) "
-        "UNION ALL SELECT 'Encrypted Files', (SELECT count(encryption_class) FROM x) "
-        "UNION ALL SELECT 'OS Commands', (SELECT 15 * count(*) FROM customer))",
-        "files", "visits", "win_events", "sealed", h=HASHED, b=BAD, x=SEALED,
+        "SELECT module, items, items > 0 AS active, module = 'Known bad' AND items > 0 AS alert FROM ("
+        + " UNION ALL ".join(f"SELECT '{name}' AS module, (SELECT count(*) FROM ({body})) AS items" for name, body in MODULES.items())
+        + ")",
+        "files", "visits", "win_events", "sealed", "registry_services", "mft", "texts",
+        h=HASHED, b=BAD, x=SEALED, f=IOC, p=PER_FILE,
     )
 )
 def dashboard(spark, sf_dir):
-    """Items, activity and alerts per module."""
+    """Items, activity and alerts of all eleven modules, from one tall table."""
     hashed = _hashes(spark, sf_dir)
-    count = F.count("*").alias("items")
-    sealed = encrypted.encrypted_files(encrypted.scan_encrypted(S.sealed(spark, sf_dir)))
-    usable = outputs.usable(outputs.collected(S.command_outputs(spark, sf_dir)))
-    return case.module_totals(
+    return case.dashboard(
         {
-            "Hash Analysis": hashed.agg(count),
-            "Known bad": hashes.known_bad(hashed, _known(spark, sf_dir)).agg(count),
-            "Browser History": _history(spark, sf_dir).agg(count),
-            "Event Logs": ev.unusual_logons(_events(spark, sf_dir)).agg(count),
-            "Encrypted Files": sealed.agg(count),
-            "OS Commands": usable.agg(count),
+            "Hash Analysis": hashed,
+            "Known bad": hashes.known_bad(hashed, _known(spark, sf_dir)),
+            "Browser History": _history(spark, sf_dir),
+            "Event Logs": ev.unusual_logons(_events(spark, sf_dir)),
+            "Encrypted Files": encrypted.encrypted_files(encrypted.scan_encrypted(S.sealed(spark, sf_dir))),
+            "OS Commands": outputs.usable(outputs.collected(S.command_outputs(spark, sf_dir))),
+            "Personal Data": _pii_files(spark, sf_dir),
+            "Indicators": scan.with_findings(_ioc(spark, sf_dir)),
+            "Page Images": image.artifacts(_strings(spark, sf_dir)),
+            "Registry": registry.services(S.registry_values(spark, sf_dir)),
+            "File Records": S.mft_records(spark, sf_dir),
         },
         {"Known bad": 0},
     )
@@ -2045,3 +2080,134 @@ def module_items(spark, sf_dir):
         "file records": S.mft_records(spark, sf_dir).agg(count),
     }
     return case.module_totals(totals).select("module", "items")
+
+
+# -- stored files, streams and further checks ----------------------------------------------
+
+
+@query(
+    sql(
+        "SELECT bucket, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS md5, sha1(content) AS sha1, "
+        "sha256(content) AS sha256, '' AS error FROM stored",
+        "stored",
+    )
+)
+def stored_file_hashes(spark, sf_dir):
+    """Hashes of stored files of any size, by running states over their pieces."""
+    listed = stored.stored_files(spark, S.stored_texts(spark, sf_dir)).filter(S.bucket_of(F.col("path")).isNotNull())
+    rows = stored.hash_stored(listed)
+    return rows.select(
+        S.bucket_of(F.col("path")).alias("bucket"), "size", "md5", "sha1", "sha256", F.coalesce("error", F.lit("")).alias("error")
+    )
+
+
+@query(
+    sql(
+        "SELECT bucket, c AS chunk_no, c * 65536 AS offset, "
+        "CAST(octet_length(b[c * 65536 + 1:(c + 1) * 65536]) AS BIGINT) AS n_bytes, md5(b[c * 65536 + 1:(c + 1) * 65536]) AS md5 "
+        "FROM (SELECT bucket, b, unnest(range((octet_length(b) + 65535) // 65536)) AS c "
+        "FROM (SELECT bucket, encode(content) AS b FROM stored))",
+        "stored",
+    )
+)
+def stored_file_chunks(spark, sf_dir):
+    """Stored files as 64 KB chunks with their offsets, read by byte ranges of 1 MB."""
+    files = stored.stored_files(spark, S.stored_texts(spark, sf_dir)).filter(S.bucket_of(F.col("path")).isNotNull())
+    chunks = stored.stored_chunks(files, 1 << 16, 1 << 20)
+    return chunks.select(
+        S.bucket_of(F.col("path")).alias("bucket"), "chunk_no", "offset",
+        F.octet_length("bytes").cast("long").alias("n_bytes"), F.md5("bytes").alias("md5"),
+    )
+
+
+@query(
+    sql(
+        "SELECT bucket, name, severity, CAST(len(m) AS BIGINT) AS count FROM f",
+        "stored", f=scan_sql("stored", indicator_catalog(), "content"),
+    )
+)
+def stream_text_findings(spark, sf_dir):
+    """Indicators in text files as a stream over the folder they arrive in."""
+    found = detectors.stream_text_scan(spark, S.stored_texts(spark, sf_dir))
+    rows = _run_stream(spark, found.select("path", "name", "severity", "count"))
+    return rows.select(S.bucket_of(F.col("path")).alias("bucket"), "name", "severity", "count")
+
+
+SIGHTINGS = """
+SELECT host, device, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events,
+       max(later) AS later FROM (
+  SELECT *, sum(new) OVER (PARTITION BY host, device ORDER BY ts) AS sighting,
+         lead(ts) OVER (PARTITION BY host, device ORDER BY ts) IS NOT NULL AS later FROM (
+    SELECT 'host' || user_id AS host, 'usb' || user_id AS device, ts,
+           CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 36 HOUR THEN 0 ELSE 1 END AS new
+    FROM win_events WHERE id IN (20001, 20003, 6416)))
+GROUP BY host, device, sighting"""
+
+
+@query(
+    sql(
+        f"SELECT host, device, change, {SHOWN.format('first_seen')} AS first_seen, {SHOWN.format('last_seen')} AS last_seen, events "
+        "FROM (SELECT *, 'attached' AS change FROM s UNION ALL SELECT s.*, 'gone' FROM s "
+        "WHERE last_seen < (SELECT max(last_seen) FROM s t WHERE t.host = s.host AND t.device = s.device) "
+        "OR last_seen + INTERVAL 36 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM win_events))",
+        "win_events", s=SIGHTINGS,
+    )
+)
+def stream_devices(spark, sf_dir):
+    """Devices attached and gone, by keyed state with timers on a stream of events."""
+    source = S.load(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    found = devices.device_changes(ev.normalize(S.as_win_events(stream)), gone_after="36 hours")
+    rows = _run_stream(spark, found)
+    return rows.select("host", "device", "change", shown("first_seen").alias("first_seen"), shown("last_seen").alias("last_seen"), "events")
+
+
+@query(
+    mft_sql(
+        "SELECT entry_number, filename, path, modified FROM ("
+        f"SELECT entry_number, filename, full_path AS path, coalesce({SHOWN.format('si_modified')}, 'N/A') AS modified, "
+        f"{RECOVERABLE} AS recoverability, {AGE} AS age FROM ("
+        f"SELECT *, CAST(floor((epoch_us({AS_OF}) - epoch_us(si_modified)) / 86400000000.0) AS BIGINT) AS d "
+        "FROM r WHERE is_deleted)) WHERE age = 'half' AND recoverability = 'PARTIAL'"
+    )
+)
+def deleted_filtered(spark, sf_dir):
+    """Deleted files of the last half year that can be recovered in part."""
+    rows = mft.deleted_report(_with_paths(spark, sf_dir), _as_of(), None, age="half", status="PARTIAL")
+    return rows.select("entry_number", "filename", "path", "modified")
+
+
+FIREFOX_LABELS = "CASE kind " + " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in L.FIREFOX_VISITS.items())
+
+
+@query(
+    sql(
+        f"SELECT url, visit_count, {FIREFOX_LABELS} WHEN 99 THEN 'Unknown' ELSE 'Unknown (' || kind || ')' END AS visit_type "
+        "FROM (SELECT url, visit_count, CASE WHEN page_id % 12 = 11 THEN 99 ELSE page_id % 12 END AS kind "
+        "FROM visits WHERE browser = 'firefox')",
+        "visits",
+    )
+)
+def firefox_visit_types(spark, sf_dir):
+    """Firefox history with the types of its visits, unknown and missing ones too."""
+    places = S.firefox_places(spark, sf_dir, visit_types=True)
+    return browser.firefox_history(places).select("url", "visit_count", "visit_type")
+
+
+@query(sql("SELECT path, round_even(size * 2500 / 1048576.0, 2) AS size_mb FROM files", "files"))
+def file_sizes_mb(spark, sf_dir):
+    """Sizes in MB with two places, of files 2,500 times as long."""
+    rows = hashes.hash_files(S.files(spark, sf_dir), algorithms=())
+    return rows.select("path", size_mb(F.col("size") * 2500).alias("size_mb"))
+
+
+@query(
+    sql("SELECT path, md5, sha1, sha256, size FROM h", "files", h=HASHED)
+)
+def hash_database(spark, sf_dir):
+    """The hash database as it is written to JSON and read back."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/hashes-{uuid.uuid4().hex}"
+    sinks.write_hash_database(_hashes(spark, sf_dir).select("path", "md5", "sha1", "sha256", "size"), folder)
+    return spark.read.schema("path string, md5 string, sha1 string, sha256 string, size long").json(folder)

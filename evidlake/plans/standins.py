@@ -8,6 +8,7 @@ cross-check. Nothing here is sampled or cut: rows grow with the tables.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from evidlake.catalogs import lookups as L
 from evidlake.functions.times import MICROS_1601_TO_1970, SECONDS_1970_TO_2001
 from evidlake.operators.joins import plan_bytes
 from evidlake.operators.registry import rot13
+from evidlake.session import ensure_checkpoint_dir
 
 BASE = "TIMESTAMP '2024-01-01 00:00:00'"
 BASE_MICROS = 1_704_067_200_000_000
@@ -218,10 +220,12 @@ def chromium_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def firefox_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def firefox_places(spark: SparkSession, sf_dir: str, visit_types: bool = False) -> DataFrame:
+    kind = F.pmod(F.col("page_id"), F.lit(12))
     return _pages(spark, sf_dir).filter("b = 1").select(
         "url", "title", "visit_count", "typed",
         F.col("micros").alias("last_visit_date"), F.lit(0).alias("hidden"),
+        *([F.when(kind != 11, kind).alias("visit_type")] if visit_types else []),
     )
 
 
@@ -635,6 +639,36 @@ def images(spark: SparkSession, sf_dir: str, chunk_bytes: int = 4096) -> DataFra
     return slice_images(spread(rows), chunk_bytes)
 
 
+# -- stored files ----------------------------------------------------------------------------
+
+PER_FILE = 250
+
+# Every file holds the texts of 250 documents, a line end behind each.
+VIEWS["stored"] = (
+    f"SELECT doc_id // {PER_FILE} AS bucket, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content "
+    "FROM documents GROUP BY 1"
+)
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents' texts as plain files, written by Spark to the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "documents").select(
+        F.call_function("div", F.col("doc_id"), F.lit(PER_FILE)).alias("bucket"), "doc_id",
+        F.coalesce("text", F.lit("")).alias("value"),
+    )
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    rows.select("bucket", "value").write.partitionBy("bucket").text(folder)
+    return folder
+
+
+def bucket_of(path: Column) -> Column:
+    """The bucket of a stored text; null for marks that Spark leaves beside them."""
+    bucket = F.regexp_extract(path, r"bucket=(\d+)/part-[^/]*\.txt$", 1)
+    return F.nullif(bucket, F.lit("")).cast("long")
+
+
 # -- captured output ---------------------------------------------------------------------------
 
 

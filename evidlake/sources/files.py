@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidlake.catalogs.lookups import BINARY_EXTENSIONS
 from evidlake.functions.paths import has_extension
 from evidlake.functions.text import clean_utf8
+from evidlake.sources.stored import chunks_of, resolved, stored_chunks, stored_files, streams
 
 
 def evidence_files(
@@ -66,38 +67,33 @@ def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def image_records(
     spark: SparkSession, path: str, record_bytes: int, name: str, max_records: int | None = None
 ) -> DataFrame:
-    """A large image as numbered fixed-size records.
+    """A large image as numbered records of one size: (record_no, record, image).
 
-    The fixed-length input format splits the file between tasks at record borders and
-    hands out each record's number, so no counting pass is needed. The file length must
-    be a multiple of the record size: trim a short tail at ingest, or use
-    :func:`slice_images`.
+    The file is read by byte ranges in many tasks (``sources.stored``); a shorter record at
+    its end stays. With ``max_records``, only their bytes are read.
     """
-    prefix = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    records = spark.sparkContext.newAPIHadoopFile(
-        path,
-        prefix,
-        "org.apache.hadoop.io.LongWritable",
-        "org.apache.hadoop.io.BytesWritable",
-        conf={f"{prefix}.recordLength": str(record_bytes)},
-    )
-    rows = spark.createDataFrame(records, "record_no long, record binary")
-    rows = rows.withColumn("image", F.lit(name))
-    if max_records is not None:
-        rows = rows.filter(F.col("record_no") < max_records)
-    return rows
+    path = resolved(spark, path)
+    if not streams(path):
+        rows = chunks_of(spark, path, record_bytes)
+    else:
+        files = stored_files(spark, path)
+        if max_records is not None:
+            files = files.withColumn("size", F.least("size", F.lit(max_records * record_bytes)))
+        rows = stored_chunks(files, record_bytes)
+    rows = rows.select(F.col("chunk_no").alias("record_no"), F.col("bytes").alias("record"), F.lit(name).alias("image"))
+    return rows if max_records is None else rows.filter(F.col("record_no") < max_records)
 
 
 def mft_image(spark: SparkSession, path: str, volume: str, max_records: int | None = None):
-    """A record file as (volume, entry_number, record)."""
-    rows = image_records(spark, path, 1024, volume, max_records)
+    """A record file as (volume, entry_number, record); a shorter record at its end is none."""
+    rows = image_records(spark, path, 1024, volume, max_records).filter(F.octet_length("record") == 1024)
     return rows.select(
         F.col("image").alias("volume"), F.col("record_no").alias("entry_number"), "record"
     )
 
 
 def page_image(spark: SparkSession, path: str, image: str, chunk_bytes: int = 10 * 1024 * 1024):
-    """A page or memory image as chunks with offsets."""
+    """A page or memory image as chunks with offsets; the last one may be shorter."""
     rows = image_records(spark, path, chunk_bytes, image)
     return rows.select(
         "image",

@@ -2,10 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from evidlake.operators import case, hashes, mft
+from evidlake.operators import case, hashes, mft, scan
+
+
+def write_case(
+    evidence: DataFrame, case_id: str, path: str, severities: Sequence[str] | None = None,
+    notes: DataFrame | None = None, text: str = "text",
+) -> dict[str, int]:
+    """A whole case in one pass over its evidence; returns the case's totals.
+
+    The evidence is scanned once, into ``path/files`` (one Parquet row per file, those
+    without findings too), and the totals are observed while it is written. Every other
+    table is made from ``files``, which holds no texts: findings and case metadata as JSON,
+    the summary as CSV, indicator rows as CSV, and the tables of a report: categories,
+    severities, sources and timeline.
+    """
+    spark = evidence.sparkSession
+    hit = F.col("total_iocs") > 0
+    names = [s.lower() for s in scan.SEVERITIES]
+    seen = Observation("case")
+    rows = case.case_findings(evidence, case_id, severities, text, hits_only=False).observe(
+        seen,
+        F.count(F.lit(1)).alias("total_files_scanned"),
+        F.count(F.when(hit, 1)).alias("files_with_iocs"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_iocs", *names)],
+    )
+    rows.write.mode("overwrite").parquet(f"{path}/files")
+    totals = seen.get
+    files = spark.read.schema(rows.schema).parquet(f"{path}/files")
+    found = files.filter(hit)
+    noted = case.with_notes(found, notes) if notes is not None else found.withColumn("notes", F.lit(""))
+    metadata = spark.createDataFrame([{"case_id": case_id, **totals}])
+    write_case_json(noted, metadata, path)
+    write_summary_csv(noted, f"{path}/summary")
+    write_indicator_csv(scan.explode_findings(found), f"{path}/indicators")
+    tables = {
+        "categories": case.category_files(found), "severities": scan.by_severity(found),
+        "sources": case.evidence_sources(found), "timeline": case.case_timeline(found),
+    }
+    write_report_tables(tables, f"{path}/report")
+    return totals
 
 
 def write_case_json(findings: DataFrame, totals: DataFrame, path: str) -> None:

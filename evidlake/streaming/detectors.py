@@ -43,7 +43,7 @@ def stream_row_anomalies(events: DataFrame) -> DataFrame:
 
 
 def device_feed(events: DataFrame) -> DataFrame:
-    """Devices attached or removed."""
+    """Every event of a device; ``streaming.devices`` follows what is attached and gone."""
     return E.usb_activity(events)
 
 
