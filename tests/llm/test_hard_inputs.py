@@ -118,3 +118,66 @@ def test_a_source_of_symbols_has_no_large_bucket(spark):
     )
     assert docs.agg(F.max(mixing.quality_weight(F.col("text")))).first()[0] < 0.2
     assert mixing.bucket_sizes(docs, 400).agg(F.max("count")).first()[0] < 2 * 400
+
+
+def test_rows_of_one_id_with_two_texts(spark):
+    from evidlake.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+
+    def words(n):
+        return [f"w{int(x)}" for x in rng.integers(0, 10**6, n)]
+
+    a, b = words(60), words(60)
+    rows = [(1, a), (5, a), (5, b), (9, [*b, "z"]), (5, b), (7, words(60))]
+    df = spark.createDataFrame([(i, " ".join(t), n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, first int")
+    kept = near_dedup.without_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, " ".join(a)), (5, " ".join(b)), (7, " ".join(rows[5][1]))])
+    again = near_dedup.without_near_duplicates(df.repartition(3)).collect()
+    assert sorted(r.first for r in kept) == sorted(r.first for r in again)
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert found == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 7, True), (9, 5, False)]
+
+
+def test_texts_of_one_template_do_not_meet(spark):
+    """Similarity 0.45, no link: buckets are mixed, and counts of shingles clear them."""
+    from evidlake.llm import near_dedup
+
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(62)]
+    sets = []
+    for n in range(300):
+        own = [f"o{int(x)}" for x in rng.integers(0, 10**9, 38)]
+        sets.append((n, " ".join(template + own)))
+    near = sets[0][1].split()
+    near[-1] = "other"
+    sets.append((900, " ".join(near)))
+    from evidlake.llm.shingles import shingle_sets
+
+    arrays = [s.view(np.int64).tolist() for s in shingle_sets([t for _, t in sets])]
+    df = spark.createDataFrame(
+        [(i, i, s) for (i, _), s in zip(sets, arrays)], "id long, component long, shingles array<long>"
+    )
+    able = sorted(r.id for r in near_dedup.able_to_link(df, 75).collect())
+    assert able == [0, 900]
+
+
+def test_counts_of_shingles_lose_no_link(spark):
+    from evidlake.llm import near_dedup
+
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 10**6, 40) for _ in range(12)]
+    sets = []
+    for n in range(250):
+        s = base[n % 12].copy()
+        change = rng.random(40) < rng.choice([0.02, 0.1, 0.15, 0.3])
+        s[change] = rng.integers(0, 10**6, int(change.sum()))
+        sets.append(set(s.tolist()))
+    component = [int(x) for x in rng.integers(0, 60, 250)]
+    df = spark.createDataFrame([(i, c, sorted(s)) for i, (c, s) in enumerate(zip(component, sets))], "id long, component long, shingles array<long>")
+    able = {r.id for r in near_dedup.able_to_link(df, 75).collect()}
+    linked = {
+        i for i in range(250) for j in range(250)
+        if component[i] != component[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    }
+    assert linked and linked <= able < set(range(250))
