@@ -20,8 +20,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def broadcast_limit(spark) -> int:
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    return int(raw[:-1]) if raw.endswith("b") else int(raw)
+    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+    number = raw.rstrip("bkmgtp")
+    unit = raw[len(number):].rstrip("b")
+    return int(number) * 1024 ** (" kmgtp".index(unit) if unit else 0)
 
 
 def lookup_join(

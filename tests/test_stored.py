@@ -247,3 +247,16 @@ def test_devices_over_batches(spark, tmp_path):
         ("h", "stick", "attached", "01:40", "01:40", 1), ("h", "stick", "gone", "01:40", "01:40", 1),
         ("g", "stick", "attached", "01:42", "01:42", 1), ("g", "stick", "gone", "01:42", "01:42", 1),
     ])  # the event at 02:30 came behind the watermark of 03:10
+
+
+@pytest.mark.parametrize("raw,size", [("-1", -1), ("10485760", 10485760), ("10485760b", 10485760), ("256k", 262144), ("10MB", 10485760), ("1g", 1 << 30)])
+def test_broadcast_limit_in_any_unit(raw, size):
+    from evidlake.operators.joins import broadcast_limit
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return raw
+
+    assert broadcast_limit(Session) == size
