@@ -224,7 +224,7 @@ def _rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, groups: DataFr
     # rows that repeat an id and text have one set
     sets = keep(sets.groupBy("id").agg(F.first("component").alias("component"), F.first("shingles").alias("shingles")))
     able = keep(able_to_link(sets, percent))
-    members = mixed(members.join(able, "id")).withColumn("of", F.ceil(F.col("n") / block).cast("int"))
+    members = mixed(keep(members.join(able, "id"))).withColumn("of", F.ceil(F.col("n") / block).cast("int"))
     members = members.withColumn("at", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     # two blocks i <= j hold all their members; of one block, i = j
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
@@ -295,7 +295,7 @@ def labelled_rows(docs: DataFrame, percent: int, bands: int, rows: int, block: i
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256
+    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 512
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -321,7 +321,7 @@ def near_duplicates(
 
 
 def without_near_duplicates(
-    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256
+    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 512
 ) -> DataFrame:
     """The documents that stay, with all their columns: one row of each component.
 
