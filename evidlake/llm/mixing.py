@@ -56,13 +56,15 @@ def bucketed(docs: DataFrame, quality: Column | None, weights, most: float, seed
     """``docs`` with its own columns by their places, sizes, keys, targets and buckets of keys."""
     weight = F.least(F.greatest(quality if quality is not None else quality_weight(F.col("text")), F.lit(1e-6)), F.lit(1e6))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # one row in 16 says how a source's weights are spread; only the buckets' bounds follow from it
+    measured = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(16)) == 0
     # own columns go by their places, so that none has the name of a helper
     own = [F.col(f"`{name}`").alias(f"own {i}") for i, name in enumerate(docs.columns)]
     keyed = docs.select(
         *own, "doc_id", "source",
         word_count(F.col("text")).alias("size"),
         (-F.log(uniform) / weight).alias("_key"),
-        F.floor(F.log(weight) / math.log(BAND)).cast("int").alias("_band"),
+        F.when(measured, F.floor(F.log(weight) / math.log(BAND)).cast("int")).alias("_band"),
         F.xxhash64("text").alias("_tie"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"),  # never null
     )
@@ -70,7 +72,9 @@ def bucketed(docs: DataFrame, quality: Column | None, weights, most: float, seed
     sizes = bands.groupBy("source", "_s").agg(
         F.sum("words").alias("source_size"),
         F.sum("n").alias("n"),
-        F.collect_list(F.struct(F.pow(F.lit(BAND), F.col("_band")).alias("weight"), "n")).alias("_bands"),
+        F.collect_list(
+            F.when(F.col("_band").isNotNull(), F.struct(F.pow(F.lit(BAND), F.col("_band")).alias("weight"), "n"))
+        ).alias("_bands"),
     )
     # one row per source, written once: its true size decides about a broadcast, so that
     # the documents are not shuffled by source before Spark knows how small the table is
@@ -80,9 +84,10 @@ def bucketed(docs: DataFrame, quality: Column | None, weights, most: float, seed
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")) == F.col("_s"),
     ).drop("source"))
     # the share of the source's keys that lie below a key
-    below = F.aggregate(
+    known = F.aggregate("_bands", F.lit(0).cast("long"), lambda sum_, b: sum_ + b["n"])
+    below = F.coalesce(F.try_divide(F.aggregate(
         "_bands", F.lit(0.0), lambda sum_, b: sum_ + b["n"] * (1 - F.exp(-F.col("_key") * b["weight"]))
-    ) / F.col("n")
+    ), known), F.lit(0.0))
     return keyed.join(targets, "_s", "left").withColumn(
         "_bucket", F.floor(below * F.ceil(F.col("n") / per_bucket)).cast("long")
     ).drop("_bands")
@@ -108,7 +113,8 @@ def mix(
     Running sums over a source are made in two steps: keys are cut into monotone buckets
     of about ``per_bucket`` rows, whose totals are summed first, so no task sees a whole
     source. A bucket is a range of the distribution that the source's own weights give its
-    keys, taken in bands of 10 %, so it holds at most 1.1 times its share whatever they are. Null text has size 0 and takes nothing; null sources are one source; repeated
+    keys, taken in bands of 10 % from a sixteenth of its rows, so whatever they are, it holds
+    about 1.1 times its share at most. The result does not depend on the buckets. Null text has size 0 and takes nothing; null sources are one source; repeated
     rows count each time and get equal keys, of which the edge takes any. Columns of these
     names that ``docs`` has already are replaced.
     """
