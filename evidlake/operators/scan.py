@@ -63,6 +63,30 @@ def _finding(pattern: Pattern, text: str, gate: str | None) -> str:
     )
 
 
+def stage_gates(
+    df: DataFrame, catalog: Sequence[Pattern], text: str = "text"
+) -> tuple[DataFrame, dict[Pattern, str]]:
+    """The texts with a boolean column for every gate, and the column of each pattern."""
+    gates: dict[Pattern, str] = {}
+    opened: dict[str, Column] = {}
+    shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
+    staged = df.withColumn("_folded", fold(F.col(text)))
+    staged = staged.withColumn("_has_digit", F.col(text).rlike(DIGIT))
+    tests = {}
+    for shape in shapes:
+        hit = F.col("_folded").rlike(SHAPES[shape])
+        tests[f"_shape_{shape}"] = F.col("_has_digit") & hit if shape in DIGIT_SHAPES else hit
+    staged = staged.withColumns(tests)
+    # Gates are columns of their own, so they run in generated code; the array of
+    # findings below is interpreted.
+    for p in catalog:
+        test = _gate(p)
+        if test:
+            gates[p] = f"_gate_{len(gates)}"
+            opened[gates[p]] = F.expr(test)
+    return staged.withColumns(opened), gates
+
+
 def scan(
     df: DataFrame,
     catalog: Sequence[Pattern],
@@ -73,26 +97,7 @@ def scan(
 ) -> DataFrame:
     """Add the findings of every enabled pattern: distinct matches in first-seen order."""
     catalog = [p for p in catalog if p.enabled]
-    staged = df
-    gates: dict[Pattern, str] = {}
-    opened: dict[str, Column] = {}
-    if gated:
-        shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
-        staged = staged.withColumn("_folded", fold(F.col(text)))
-        staged = staged.withColumn("_has_digit", F.col(text).rlike(DIGIT))
-        tests = {}
-        for shape in shapes:
-            hit = F.col("_folded").rlike(SHAPES[shape])
-            tests[f"_shape_{shape}"] = F.col("_has_digit") & hit if shape in DIGIT_SHAPES else hit
-        staged = staged.withColumns(tests)
-        # Gates are columns of their own, so they run in generated code; the array of
-        # findings below is interpreted.
-        for p in catalog:
-            test = _gate(p)
-            if test:
-                gates[p] = f"_gate_{len(gates)}"
-                opened[gates[p]] = F.expr(test)
-        staged = staged.withColumns(opened)
+    staged, gates = stage_gates(df, catalog, text) if gated else (df, {})
     # The catalogue is one SQL expression: a catalogue of columns takes seconds to build.
     hits = F.expr(
         f"filter(array({', '.join(_finding(p, text, gates.get(p)) for p in catalog)}), "

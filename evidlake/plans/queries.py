@@ -31,6 +31,7 @@ from evidlake.operators import (
     hashes,
     image,
     intel,
+    long_texts,
     memory,
     mft,
     mft_decode,
@@ -2120,6 +2121,20 @@ def stored_file_chunks(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        "SELECT bucket, name, severity, weight, unnest(m) AS match FROM f",
+        "stored", f=scan_sql("stored", indicator_catalog(), "content"),
+    )
+)
+def stored_text_findings(spark, sf_dir):
+    """Indicators in stored texts of any size, scanned in pieces of 256 KB by many tasks."""
+    folder = S.stored_texts(spark, sf_dir)
+    listed = stored.stored_files(spark, folder).filter(S.bucket_of(F.col("path")).isNotNull())
+    found = long_texts.scan_stored(spark, folder, indicator_catalog(), listed, 1 << 18, 1 << 16)
+    return found.select(S.bucket_of(F.col("path")).alias("bucket"), "name", "severity", "weight", "match")
+
+
 @query(
     sql(
         "SELECT bucket, name, severity, CAST(len(m) AS BIGINT) AS count FROM f",

@@ -254,6 +254,65 @@ def stored_chunks(files: DataFrame, chunk_bytes: int, range_bytes: int = RANGE)
     )
 
 
+def _decoded(data: bytes) -> str:
+    """Bytes as text, with undecodable bytes dropped (as ``functions.text.clean_utf8``)."""
+    return data.decode("utf-8", "ignore").replace("\ufffd", "")
+
+
+def _window(path: str, size: int, start: int, piece_bytes: int, reach: int):
+    """A piece of a text with its surroundings: left, core, texts of the pieces behind, last.
+
+    Cuts move on by at most three bytes to one that begins a character, or that no character
+    can hold, so the pieces' texts put together are the text of the file.
+    """
+    end = min(size, start + piece_bytes)
+    low, high = max(0, start - reach), min(size, end + reach)
+    data = b"".join(d for _, d in _pieces(path, low, min(size, high + 3), PIECE))
+
+    def cut(at: int) -> int:
+        at -= low
+        return next((i for i in range(at, min(at + 3, len(data))) if data[i] & 0xC0 != 0x80), min(at + 3, len(data)))
+
+    edges = [cut(start), *(cut(e) for e in range(end, high, piece_bytes)), cut(high)]
+    left = _decoded(data[cut(low):edges[0]]) if start else ""
+    parts = [_decoded(data[a:b]) for a, b in zip(edges, edges[1:])] or [""]
+    return left, parts, high == size
+
+
+WINDOW = (
+    "path string, piece_no long, left_chars long, core_chars long, behind array<long>, last boolean, "
+    "text string, error string"
+)
+
+
+def text_windows(pieces: DataFrame, piece_bytes: int) -> DataFrame:
+    """Pieces of stored texts with ``reach`` bytes of text on both sides.
+
+    ``pieces`` has path, size, piece_no and reach. ``behind`` lists where later pieces begin,
+    in characters from the beginning of the core. A piece that cannot be read has an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, number, reach in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                error, left, parts, last = None, "", [""], True
+                try:
+                    left, parts, last = _window(path, size, number * piece_bytes, piece_bytes, reach)
+                except OSError as failed:
+                    error = f"Failed to read: {failed.strerror or failed}"
+                behind = np.cumsum([len(p) for p in parts]).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path]), pa.array([number]), pa.array([len(left)]), pa.array([behind[0]]),
+                        pa.array([behind[:-1] if len(parts) > 1 else []], pa.list_(pa.int64())), pa.array([last]),
+                        pa.array([left + "".join(parts)]), pa.array([error], pa.string()),
+                    ],
+                    names=["path", "piece_no", "left_chars", "core_chars", "behind", "last", "text", "error"],
+                )
+
+    return pieces.select("path", "size", "piece_no", "reach").mapInArrow(run, WINDOW)
+
+
 def chunks_of(spark: SparkSession, paths: str | Sequence[str], chunk_bytes: int) -> DataFrame:
     """Chunks of all files of some paths, whatever store they are in."""
     listed = [resolved(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
