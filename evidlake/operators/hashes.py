@@ -67,7 +67,7 @@ def known_bad(hashes: DataFrame, known: DataFrame) -> DataFrame:
             )
         ),
     )
-    return lookup_join(keyed, _listed(known), ["algorithm", "hash"], "inner")
+    return lookup_join(keyed, _listed(known), ["algorithm", "hash"], "inner", measured=True)
 
 
 def duplicate_groups(hashes: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def duplicate_groups(hashes: DataFrame) -> DataFrame:
 def duplicate_files(hashes: DataFrame) -> DataFrame:
     """Every copy, one row each, with the number of copies of its content."""
     groups = duplicate_groups(hashes).select("sha256", "copies", "first_path")
-    return lookup_join(hashes.select("sha256", "path"), groups, "sha256", "inner")
+    return lookup_join(hashes.select("sha256", "path"), groups, "sha256", "inner", measured=True)
 
 
 def suspicious_files(hashes: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def hash_verdicts(
     """Verdict of each file; an answer older than the limit counts as unknown."""
     fresh = intel.filter(F.col("ts") > as_of - F.make_dt_interval(F.lit(0), F.lit(valid_hours)))
     answers = verdict(latest(fresh)).withColumnRenamed("hash", on).drop("ts")
-    joined = lookup_join(hashes.withColumn(on, F.lower(on)), answers, on, "left")
+    joined = lookup_join(hashes.withColumn(on, F.lower(on)), answers, on, "left", measured=True)
     return joined.withColumn("threat_level", F.coalesce("threat_level", F.lit("UNKNOWN")))
 
 

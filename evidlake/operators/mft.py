@@ -10,7 +10,7 @@ from evidlake.functions.sizes import human_size
 from evidlake.functions.text import any_contains
 from evidlake.functions.times import display
 from evidlake.operators.joins import lookup_join
-from evidlake.session import materialize
+from evidlake.session import materialize_observed
 
 ROOT_ENTRY = 5
 BIG_FILE = 10 * 1024 * 1024
@@ -29,13 +29,15 @@ def directory_paths(records: DataFrame) -> DataFrame:
     pointer, so the distance covered doubles: a tree n levels deep needs log2(n)
     passes. A pass that finishes nothing means the rest hangs on a missing record or
     a cycle. Of repeated records of one entry (two copies of a volume) the least counts,
-    so repeats do not multiply from pass to pass. Each pass is written to the shared checkpoint folder, so lineage stays
-    short and a lost executor does not restart the loop.
+    so repeats do not multiply from pass to pass. Each pass is one write to the shared
+    checkpoint folder, which counts what it finished on the way, so lineage stays short and
+    a lost executor does not restart the loop.
     """
     key = ["volume", "entry_number"]
     parents = records.select("volume", F.col("parent_reference").alias("entry_number")).distinct()
     root = F.col("entry_number") == ROOT_ENTRY
-    state = materialize(
+    count = F.count_if("done")
+    state, seen = materialize_observed(
         records.select("volume", "entry_number", "parent_reference", "filename")
         .join(parents, key, "left_semi")
         .groupBy(*key).agg(F.min(F.struct("parent_reference", "filename")).alias("r"))
@@ -45,10 +47,12 @@ def directory_paths(records: DataFrame) -> DataFrame:
             F.col("parent_reference").alias("pointer"),
             F.when(root, F.concat("volume", F.lit("\\"))).otherwise(F.col("filename")).alias("path"),
             root.alias("done"),
-        )
+        ),
+        done=count,
+        left=F.count_if(~F.col("done")),
     )
-    finished = state.filter("done").count()
-    while True:
+    while seen["left"]:
+        finished = seen["done"]
         target = state.select(
             "volume",
             F.col("entry_number").alias("pointer"),
@@ -64,11 +68,12 @@ def directory_paths(records: DataFrame) -> DataFrame:
             _join_path(F.col("target_path"), F.col("path")).alias("path"),
             F.col("target_done").alias("done"),
         )
-        state = materialize(state.filter("done").unionByName(moved))
-        now = state.filter("done").count()
-        if now == finished:
-            return state.filter("done").select(*key, "path")
-        finished = now
+        state, seen = materialize_observed(
+            state.filter("done").unionByName(moved), done=count, left=F.count_if(~F.col("done"))
+        )
+        if seen["done"] == finished:
+            break
+    return state.filter("done").select(*key, "path")
 
 
 def with_paths(records: DataFrame) -> DataFrame:
