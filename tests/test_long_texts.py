@@ -93,7 +93,7 @@ def test_a_large_text_is_read_by_many_tasks(spark, tmp_path):
     for i, place in enumerate(at):
         body = body[:place] + f" evil{i}@mailinator.com " + body[place:]
     folder = write(tmp_path, big=body)
-    catalog = [p for p in indicator_catalog() if "mail" in p.name]
+    catalog = [p for p in extract_catalog() if p.name == "temp_email"]
     windows = stored.stored_files(spark, folder).withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))))
     sizes = stored.text_windows(windows.withColumn("reach", F.lit(1000).cast("long")), 1 << 18).select(F.max(F.char_length("text")))
     assert sizes.first()[0] <= (1 << 18) + 2_000
