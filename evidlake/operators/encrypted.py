@@ -10,6 +10,7 @@ from evidlake.functions.binary import latin1, le_number, starts_with_bytes
 from evidlake.functions.paths import base_name, extension, under_any
 from evidlake.functions.sizes import size_mb
 from evidlake.functions.text import lookup
+from evidlake.operators.locations import outside_listed_places
 
 # A central-directory entry whose name is exactly one of the two encryption members.
 ENCRYPTED_OFFICE = (
@@ -37,16 +38,21 @@ def has_encrypted_header(ext: Column, content: Column, pdf_prefix: int | None =
     return F.coalesce(hit, F.lit(False))
 
 
-def scan_encrypted(files: DataFrame, platform: str | None = "linux") -> DataFrame:
+def scan_encrypted(
+    files: DataFrame, platform: str | None = "linux", excluded: DataFrame | None = None
+) -> DataFrame:
     """Encryption class of every scanned file (NULL class: not encrypted).
 
     Needs path, size and content. Optional boolean columns ``efs`` and ``filevault``
-    carry attributes recorded at collection time.
+    carry attributes recorded at collection time. ``excluded`` is a table of further
+    prefixes (column ``place``) whose files are not scanned.
     """
     path, ext = F.col("path"), F.col("extension")
     rows = files.filter(F.col("size") > 0)
     if platform:
         rows = rows.filter(~under_any(path, L.SYSTEM_PREFIXES[platform]))
+    if excluded is not None:
+        rows = outside_listed_places(rows, excluded)
     rows = rows.withColumn("extension", extension(path))
     label = lookup(L.ENCRYPTED_EXTENSIONS, ext)
     kind = (

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from evidlake.catalogs import lookups as L
 from evidlake.functions.paths import base_name, extension, in_risky_place, parent_dir
 from evidlake.operators.joins import lookup_join, top_per_group
+from evidlake.operators.locations import in_listed_places
+from evidlake.session import materialize
 
 HASHES = ["md5", "sha1", "sha256", "sha512"]
 
@@ -90,12 +92,20 @@ def duplicate_files(hashes: DataFrame) -> DataFrame:
     return lookup_join(hashes.select("sha256", "path"), groups, "sha256", "inner", measured=True)
 
 
-def suspicious_files(hashes: DataFrame) -> DataFrame:
-    """Executables and scripts in places where none should be."""
+def suspicious_files(hashes: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Executables and scripts in places where none should be.
+
+    ``places`` is a table of locations (column ``place``) to use in place of the built-in
+    list; the risky rows are then written once, as they are read for the look-up and the result.
+    """
     path = F.col("path")
+    risky = hashes.filter(extension(path).isin(L.RISKY_EXTENSIONS))
+    if places is None:
+        risky = risky.filter(in_risky_place(path, L.RISKY_LOCATIONS))
+    else:
+        risky = in_listed_places(materialize(risky.select("path", "sha256")), places)
     return (
-        hashes.filter(extension(path).isin(L.RISKY_EXTENSIONS))
-        .filter(in_risky_place(path, L.RISKY_LOCATIONS))
+        risky
         .select(
             "path",
             F.lit("Executable/script in suspicious location").alias("reason"),

@@ -31,6 +31,7 @@ from evidlake.operators import (
     hashes,
     image,
     intel,
+    locations,
     long_texts,
     memory,
     mft,
@@ -517,6 +518,55 @@ def suspicious_files(spark, sf_dir):
     return hashes.suspicious_files(_hashes(spark, sf_dir))
 
 
+PLACES = (
+    "SELECT DISTINCT '/file_' || doc_id AS place FROM labels WHERE toxic = 1 "
+    f"UNION SELECT unnest({words(L.RISKY_LOCATIONS)})"
+)
+
+
+def _places(spark, sf_dir):
+    """The names of files labelled toxic, in capitals, and the built-in risky locations."""
+    toxic = S.load(spark, sf_dir, "labels").filter("toxic = 1")
+    named = toxic.select(F.concat(F.lit("/FILE_"), F.col("doc_id")).alias("place"))
+    return named.unionByName(spark.createDataFrame([(p,) for p in L.RISKY_LOCATIONS], "place string"))
+
+
+@query(
+    sql(
+        "SELECT path, place FROM files JOIN (SELECT f.path, arg_min(place, (-length(place), place)) "
+        "AS place FROM (SELECT DISTINCT path FROM files) f JOIN p ON contains(lower(f.path), place) "
+        "GROUP BY f.path) USING (path)",
+        "files", p=PLACES,
+    )
+)
+def files_in_listed_places(spark, sf_dir):
+    """Files whose path holds a location of a table, with the longest such location."""
+    found = locations.in_listed_places(S.files(spark, sf_dir).select("path"), _places(spark, sf_dir))
+    return found.select("path", "place")
+
+
+PREFIXES = (
+    "SELECT DISTINCT regexp_replace(path, '[.][^.]*$', '') AS place FROM files "
+    "WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+)
+
+
+@query(
+    sql(
+        "SELECT path, root FROM files WHERE NOT EXISTS "
+        "(SELECT 1 FROM p WHERE starts_with(files.path, p.place))",
+        "files", p=PREFIXES,
+    )
+)
+def files_outside_listed_prefixes(spark, sf_dir):
+    """Files whose path begins with none of the prefixes of a table (toxic files without suffix)."""
+    files = S.files(spark, sf_dir).select("doc_id", "path", "root")
+    toxic = S.load(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    prefix = F.upper(F.regexp_replace("path", "[.][^.]*$", "")).alias("place")
+    prefixes = files.join(toxic, "doc_id", "left_semi").select(prefix)
+    return locations.outside_listed_places(files.drop("doc_id"), prefixes)
+
+
 STATUS = (
     "SELECT path, CASE WHEN sha256 IN (SELECT sha256 FROM b) THEN 'malware' "
     f"WHEN {RISKY} THEN 'suspicious' ELSE 'clean' END AS status FROM h"
