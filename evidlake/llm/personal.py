@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from bisect import bisect_left
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidlake.llm import secrets
 from evidlake.llm.boosting import Trees, boost
 from evidlake.llm.common import hashed_sample
 from evidlake.llm.linear import calibrate, sigmoid
 
 #: Base kinds in the order of the digest, then what the trees add.
-KINDS = ("email", "ip", "card", "phone", "contact", "number")
+KINDS = ("email", "ip", "card", "phone", "contact", "number", "secret", "document")
 Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -98,11 +100,32 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+class Taken:
+    """Places that spans take; each question costs a binary search."""
+
+    def __init__(self, spans: list[Span] = ()):  # in the order of their starts
+        self.starts = [a for _, a, _ in spans]
+        self.ends: list[int] = []
+        for _, _, b in spans:
+            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+
+    def meets(self, span: Span) -> bool:
+        k = bisect_left(self.starts, span[2])
+        return k > 0 and self.ends[k - 1] > span[1]
+
+    def add(self, span: Span) -> None:
+        """Add a span that meets none of these, which do not overlap."""
+        k = bisect_left(self.starts, span[1])
+        self.starts.insert(k, span[1])
+        self.ends.insert(k, span[2])
+
+
 def candidates(text: str) -> list[Span]:
     """High-recall proposals; they overlap each other and the base spans.
 
     ``number``: each run of digit groups with up to two separators between them, as a
-    whole and from its second group on. ``contact``: addresses in any spelling.
+    whole and from its second group on. ``contact``: addresses in any spelling. ``secret``
+    and ``document``: keys, tokens, passwords, account and identity numbers (``secrets``).
     """
     found: list[Span] = []
     group: list[tuple[int, int]] = []
@@ -132,11 +155,13 @@ def candidates(text: str) -> list[Span]:
         for m in WRITTEN.finditer(text, max(end, hint.start() - NEAR), min(len(text), hint.end() + NEAR)):
             found.append(("contact", *m.span()))
             end = m.end()
-    return found
+    return found + secrets.proposals(text)
 
 
 def features(text: str, span: Span) -> list[float]:
     kind, a, b = span
+    if kind in ("secret", "document"):
+        return secrets.features(text, span)
     body = text[a:b]
     groups = [len(g) for g in DIGITS.findall(body)] or [0]
     digits = "".join(DIGITS.findall(body))
@@ -155,16 +180,54 @@ def features(text: str, span: Span) -> list[float]:
 
 
 @dataclass
-class Model:
-    trees: Trees | None
-    slope: float = 1.0
-    shift: float = 0.0
-    threshold: float = 2.0  # over 1: nothing is added
+class Judge:
+    """Trees with their calibration and the threshold that selects."""
+
+    trees: Trees
+    slope: float
+    shift: float
+    threshold: float
 
     def probability(self, rows: list[list[float]]) -> np.ndarray:
         return sigmoid(self.slope * self.trees.raw(np.array(rows, np.float64)) + self.shift)
 
 
+@dataclass
+class Model:
+    """A judge for each kind of proposal; a kind without one adds nothing."""
+
+    judges: dict[str, Judge] = field(default_factory=dict)
+
+
+@dataclass
+class Examples:
+    """Labelled proposals; those of every third document are kept aside."""
+
+    x: list[list[float]] = field(default_factory=list)
+    y: list[float] = field(default_factory=list)
+    aside: list[bool] = field(default_factory=list)
+
+    def add(self, row: int, text: str, span: Span, truth: bool) -> None:
+        self.x.append(features(text, span))
+        self.y.append(float(truth))
+        self.aside.append(row % 3 == 0)
+
+    def fit(self, precision: float) -> Judge | None:
+        held, truth = np.array(self.aside, bool), np.array(self.y)
+        rows = np.array(self.x, np.float64)
+        if len(truth) < 20 or not 0 < truth[~held].sum() < (~held).sum() or not held.any():
+            return None
+        trees = boost(rows[~held], truth[~held])
+        raw = trees.raw(rows[held])
+        slope, shift = calibrate(raw, truth[held])
+        chance = sigmoid(slope * raw + shift)
+        order = np.argsort(-chance, kind="stable")
+        reached = np.cumsum(truth[held][order]) / np.arange(1, len(order) + 1) >= precision
+        last_of_value = np.append(chance[order][1:] < chance[order][:-1], True)
+        good = np.flatnonzero(reached & last_of_value)
+        return Judge(trees, slope, shift, max(float(chance[order][good[-1]]), 0.5)) if len(good) else None
+
+
 def _rewritten(text: str, span: Span, turn: int) -> tuple[str, Span] | None:
     """The same personal value in a spelling that the base patterns miss."""
     kind, a, b = span
@@ -190,73 +253,68 @@ def _rewritten(text: str, span: Span, turn: int) -> tuple[str, Span] | None:
 def train(docs: DataFrame, sample: int = 2000, longest: int = 50_000, precision: float = 0.98) -> Model:
     """Fit on a sample of at most ``sample`` documents, chosen by a hash of their ids.
 
-    A candidate is positive if it covers a base span or is such a value respelt; all other
-    candidates, and the respelt numbers with one digit changed so that they pass no check,
-    are negative. Every third document is kept aside: on it, scores are calibrated and the
-    threshold is set to the least one that reaches ``precision``.
+    A number or contact is positive if it covers a base span or is such a value respelt; all
+    others, and the respelt numbers with one digit changed so that they pass no check,
+    are negative. Secrets and documents are labelled by their form where that says enough, and
+    made-up ones and look-alikes are put into the texts. Numbers and contacts share a judge,
+    secrets and documents have their own. Every third document is kept aside: on it, scores
+    are calibrated and a threshold is set to the least one that reaches ``precision``.
     """
     short = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).select("doc_id", "text")
     texts = hashed_sample(short, sample, "doc_id", "text")
-    x: list[list[float]] = []
-    y: list[float] = []
-    aside: list[bool] = []
+    grouped, own = Examples(), {"secret": Examples(), "document": Examples()}
     for row, text in enumerate(texts["text"]):
         base = base_spans(text)
+        taken = Taken(base)
         for c in candidates(text):
-            covers = any(c[1] <= s[1] and s[2] <= c[2] for s in base)
-            if covers or not any(c[1] < s[2] and s[1] < c[2] for s in base):
-                x.append(features(text, c))
-                y.append(float(covers))
-                aside.append(row % 3 == 0)
+            if c[0] in own:
+                if (label := secrets.weak_label(text, c)) is not None:
+                    own[c[0]].add(row, text, c, label)
+                continue
+            meets = taken.meets(c)
+            covers = meets and any(c[1] <= s[1] and s[2] <= c[2] for s in base)
+            if covers or not meets:
+                grouped.add(row, text, c, covers)
         for turn, s in enumerate(base):
             made = _rewritten(text, s, row + turn)
             if made:
                 other, span = made
-                x.append(features(other, span))
-                y.append(1.0)
-                aside.append(row % 3 == 0)
+                grouped.add(row, other, span, True)
                 if s[0] == "card":
                     last = other[span[2] - 1]
                     wrong = other[: span[2] - 1] + str((int(last) + 3) % 10) + other[span[2] :]
-                    x.append(features(wrong, span))
-                    y.append(0.0)
-                    aside.append(row % 3 == 0)
-    held, truth = np.array(aside, bool), np.array(y)
-    rows = np.array(x, np.float64)
-    if len(y) < 20 or not 0 < truth[~held].sum() < (~held).sum() or not held.any():
-        return Model(None)
-    trees = boost(rows[~held], truth[~held])
-    raw = trees.raw(rows[held])
-    slope, shift = calibrate(raw, truth[held])
-    chance = sigmoid(slope * raw + shift)
-    order = np.argsort(-chance, kind="stable")
-    reached = np.cumsum(truth[held][order]) / np.arange(1, len(order) + 1) >= precision
-    last_of_value = np.append(chance[order][1:] < chance[order][:-1], True)
-    good = np.flatnonzero(reached & last_of_value)
-    threshold = float(chance[order][good[-1]]) if len(good) else 2.0
-    return Model(trees, slope, shift, max(threshold, 0.5))
+                    grouped.add(row, wrong, span, False)
+        for other, span, truth in secrets.made_examples(text, row):
+            own[span[0]].add(row, other, span, truth)
+    shared = grouped.fit(precision)
+    judges = {"contact": shared, "number": shared} | {kind: found.fit(precision) for kind, found in own.items()}
+    return Model({kind: judge for kind, judge in judges.items() if judge})
 
 
 def all_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and all spans of each text; one call of the trees for all of them."""
+    """Base spans and all spans of each text; one call of each judge for all of them."""
     base = [base_spans(t) for t in texts]
-    if model.trees is None:
-        return [(b, b) for b in base]
-    offered: list[tuple[int, Span]] = []
-    rows: list[list[float]] = []
+    offered: dict[str, list[tuple[int, Span]]] = {}
+    rows: dict[str, list[list[float]]] = {}
     for i, text in enumerate(texts):
+        taken = Taken(base[i])
         for c in candidates(text):
-            if not any(c[1] < s[2] and s[1] < c[2] for s in base[i]):
-                offered.append((i, c))
-                rows.append(features(text, c))
+            if c[0] in model.judges and not taken.meets(c):
+                offered.setdefault(c[0], []).append((i, c))
+                rows.setdefault(c[0], []).append(features(text, c))
+    chosen: list[tuple[float, int, Span]] = []
+    for kind, spans in offered.items():
+        judge = model.judges[kind]
+        for chance, (i, c) in zip(judge.probability(rows[kind]), spans):
+            if chance >= judge.threshold:
+                chosen.append((float(chance), i, c))
     added: dict[int, list[Span]] = {}
-    if rows:
-        chance = model.probability(rows)
-        for k in sorted(np.flatnonzero(chance >= model.threshold), key=lambda k: (-chance[k], offered[k][1][1:])):
-            i, c = offered[k]
-            mine = added.setdefault(i, [])
-            if not any(c[1] < s[2] and s[1] < c[2] for s in mine):
-                mine.append(c)
+    used: dict[int, Taken] = {}
+    for _, i, c in sorted(chosen, key=lambda r: (-r[0], r[1], r[2][1], r[2][2], r[2][0])):
+        mine = used.setdefault(i, Taken())
+        if not mine.meets(c):
+            mine.add(c)
+            added.setdefault(i, []).append(c)
     return [(b, ordered(b + added.get(i, []))) for i, b in enumerate(base)]
 
 

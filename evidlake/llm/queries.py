@@ -91,6 +91,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "personal.n_email", "personal.n_ip", "personal.n_card", "personal.n_phone",
         F.sha2(personal.span_digest(F.col("personal.base")), 256).alias("base_sha256"),
         personal.span_digest(F.col("personal.spans")).alias("spans"),
+        F.size("personal.spans").cast("long").alias("n_spans"),
     )
 
 
