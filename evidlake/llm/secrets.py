@@ -20,6 +20,8 @@ KNOWN = re.compile(
     r"|[rs]k_live_[0-9A-Za-z]{16,99}+"
     r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
 )
+#: Each of those formats holds one of these.
+FRONTS = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "glpat-", "xox", "AIza", "k_live_", "eyJ")
 #: A name of a secret, a sign, and the value.
 ASSIGNED = re.compile(
     r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret|auth)[_ -]?key|credential)s?"
@@ -27,6 +29,13 @@ ASSIGNED = re.compile(
 )
 #: Runs that may be a key without a name: long, of letters and digits.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=~-])[A-Za-z0-9_+/=~-]{16,512}+(?![A-Za-z0-9_+/=~-])")
+#: What stands in front of the sign of a named value, at most 24 characters, and the sign.
+NAME = re.compile(
+    r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret|auth)[_ -]?key|credential)s?"
+    r"[\"']?\s{0,3}\Z"
+)
+SIGN = re.compile("[:=]+")
+DIGIT = re.compile("[0-9]")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -67,19 +76,21 @@ def proposals(text: str) -> list[Span]:
     value at any length. The time is linear in the text.
     """
     found: list[Span] = []
-    for m in KNOWN.finditer(text):
-        found.append(("secret", *m.span()))
-    for m in ASSIGNED.finditer(text):
-        found.append(("secret", *m.span("value")))
-    for m in TOKEN.finditer(text):
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            found.append(("secret", *m.span()))
-    at = 0
-    while begin := PEM.search(text, at):
+    if any(front in text for front in FRONTS):
+        found += (("secret", *m.span()) for m in KNOWN.finditer(text))
+    if any(NAME.search(text, max(0, m.start() - 24), m.start()) for m in SIGN.finditer(text)):
+        found += (("secret", *m.span("value")) for m in ASSIGNED.finditer(text))
+    at = text.find("-----BEGIN")
+    while at >= 0 and (begin := PEM.search(text, at)):
         end = PEM_END.search(text, begin.end())
         if not end:
             break
         found.append(("secret", begin.start(), at := end.end()))
+    if not DIGIT.search(text):
+        return list(dict.fromkeys(found))
+    for m in TOKEN.finditer(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            found.append(("secret", *m.span()))
     for m in ACCOUNT.finditer(text):
         for size in range(15, m.end() - m.start() + 1):
             stop = m.start() + size
