@@ -29,6 +29,8 @@ SEGMENT = 4096
 WHOLE = 1 << 20
 #: Characters of the next piece that a piece of a longer string is searched with.
 OVERLAP = 4096
+#: Pieces, and their characters, after which a task hands on what it has found.
+HAND_ON, HAND_ON_CHARS = 8192, 4 << 20
 
 PIECES = (
     "image string, chunk_no long, encoding string, offset long, value string, "
@@ -45,11 +47,12 @@ def _runs(mask: np.ndarray, shortest: int) -> list[tuple[int, int]]:
 
 
 def _carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of each chunk, handed on in small frames, however many chunks a batch holds."""
     names = [c.split()[0] for c in PIECES.split(", ")]
     for batch in batches:
-        rows = []
+        rows, chars_held = [], 0
         for image, chunk_no, offset, data in batch.itertuples(index=False):
-            raw = np.frombuffer(bytes(data), dtype=np.uint8)
+            raw = np.frombuffer(data, dtype=np.uint8)
             pairs = raw[: len(raw) // 2 * 2].reshape(-1, 2)
             found = {
                 "ascii": (raw, (raw >= 32) & (raw <= 126), 1),
@@ -66,6 +69,10 @@ def _carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                          chars[start:end].tobytes().decode("ascii"),
                          start == 0, end == len(mask))
                     )
+                    chars_held += end - start
+                    if len(rows) >= HAND_ON or chars_held >= HAND_ON_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, chars_held = [], 0
         yield pd.DataFrame(rows, columns=names)
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ def carve(spark, images, chunk):
     return {k: {(r.encoding, r.offset, r.value) for r in rows if r.image == k} for k in images}
 
 
+def test_pieces_leave_in_small_frames():
+    data = b"printable\0" * 400
+    batch = pd.DataFrame([("i", k, k * len(data), data) for k in range(60)])
+    frames = list(image._carve(iter([batch])))
+    assert max(len(f) for f in frames) <= image.HAND_ON
+    assert sum(len(f) for f in frames) == 60 * 402  # two edges of UTF-16 pairs, none found, and 400 words
+
+
 @pytest.mark.parametrize("chunk", [8, 16, 64, 4096])
 def test_carving_over_chunk_edges(spark, chunk):
     images = {f"i{s}": sample(s) for s in range(4)}
