@@ -3,8 +3,8 @@
 Input: one row per value (host, hive, key_path, value_name, value_type, value_text,
 value_data). A family is a filter on the key path and a projection. Families that
 read several values of one key fold them with conditional aggregates over
-(host, hive, key): a key is a handful of values, and the fold starts before the
-shuffle, so a host with a third of the rows is spread over all tasks.
+(host, hive, key): a key is a handful of values, and rows are dealt out by key, so a
+host with a third of the rows is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -103,7 +103,13 @@ def mru_lists(values: DataFrame) -> DataFrame:
 
 
 def _fold(values: DataFrame, names: list[str], **keys: Column) -> DataFrame:
-    """One row per key with the named values as columns."""
+    """One row per key with the named values as columns.
+
+    Folding text sorts the rows of a task, so they are dealt out by key first: however many
+    rows one input task yields, none of them waits there in memory.
+    """
+    values = values.select("host", "hive", "key_path", "value_name", "value_text")
+    values = values.repartition("host", "hive", "key_path")
     aggregates = [
         F.max(F.when(F.col("value_name") == n, F.col("value_text"))).alias(n) for n in names
     ]

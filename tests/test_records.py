@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidlake.operators import mft, mft_decode, recovery
+from evidlake.catalogs import lookups as L
+from evidlake.operators import mft, mft_decode, recovery, registry
 from evidlake.schemas import MFT_RECORDS
 
 T0 = datetime(2024, 1, 1, 12, 0, 0)
@@ -274,3 +275,18 @@ def test_repeated_and_overlapping_extents_count_once(spark):
         for r in recovery.free_clusters(recovery.runs_of(files), extents).collect()
     }
     assert used == {1: (512, 450), 2: (20, 20)}
+
+
+def test_registry_values_are_dealt_out_before_the_fold(spark):
+    values = spark.range(20).select(
+        F.concat(F.lit("h"), F.col("id") % 2).alias("host"),
+        F.when(F.col("id") >= 0, "HKLM").alias("hive"),
+        F.concat(F.lit(L.SERVICES_KEY + "\\S"), F.col("id")).alias("key_path"),
+        F.lit("ImagePath").alias("value_name"), F.lit(1).alias("value_type"),
+        F.lit("x").alias("value_text"), F.lit(b"0").alias("value_data"),
+    )
+    found = registry.services(values)
+    assert {r.name for r in found.collect()} == {f"S{n}" for n in range(20)}
+    plan = registry.services(values)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.rsplit("Exchange hashpartitioning", 1)
+    assert "Aggregate" in above and "Aggregate" not in below  # an input task sorts nothing
