@@ -20,10 +20,11 @@ def case_findings(
     severities: Sequence[str] | None = None,
     text: str = "text",
     hits_only: bool = True,
+    ascii_classes: bool = False,
 ) -> DataFrame:
     """One row per evidence file with indicators. Score, level and counts come from the
     same findings that the severity filter leaves."""
-    scanned = scan(evidence, indicator_catalog(), text)
+    scanned = scan(evidence, indicator_catalog(), text, ascii_classes=ascii_classes)
     if severities:
         scanned = severity_filter(scanned, severities)
     rows = summarize(scanned)

@@ -44,9 +44,9 @@ HIT = (
 )
 
 
-def _found(number: int, pattern: Pattern, gate: str | None) -> str:
+def _found(number: int, pattern: Pattern, gate: str | None, ascii_classes: bool) -> str:
     """Matches of one pattern and the lengths of the text between them, as a SQL struct."""
-    regex = sql_text(java_regex(pattern.regex, True, pattern.multiline))
+    regex = sql_text(java_regex(pattern.regex, True, pattern.multiline, ascii_classes))
     found = f"regexp_extract_all(text, {regex}, 0)"
     if gate:
         found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"
@@ -99,9 +99,9 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _scanned(windows: DataFrame, catalog: Sequence[Pattern]) -> DataFrame:
+def _scanned(windows: DataFrame, catalog: Sequence[Pattern], ascii_classes: bool) -> DataFrame:
     staged, gates = stage_gates(windows, catalog)
-    found = ", ".join(_found(i, p, gates.get(p)) for i, p in enumerate(catalog))
+    found = ", ".join(_found(i, p, gates.get(p), ascii_classes) for i, p in enumerate(catalog))
     mark = f"named_struct('pattern', {PIECE_ROW}, 'matches', cast(array() AS array<string>), 'gaps', cast(array() AS array<int>))"
     hits = F.expr(f"filter(array({mark}{', ' if found else ''}{found}), f -> f.pattern < 0 OR size(f.matches) > 0)")
     keep = ["path", "piece_no", "left_chars", "core_chars", "behind", "last", "error", "text_chars"]
@@ -140,7 +140,8 @@ def _attribute(catalog: Sequence[Pattern], name: str) -> Column:
 
 
 def stored_matches(
-    spark: SparkSession, files: DataFrame, catalog: Sequence[Pattern], piece_bytes: int = PIECE_BYTES, reach: int = REACH
+    spark: SparkSession, files: DataFrame, catalog: Sequence[Pattern], piece_bytes: int = PIECE_BYTES, reach: int = REACH,
+    ascii_classes: bool = False,
 ) -> DataFrame:
     """Every match in listed files (path, size): path, pattern number, offset, match, error.
 
@@ -158,7 +159,7 @@ def stored_matches(
     def scanned(some: DataFrame, reach: int) -> DataFrame:
         # a piece is a tiny row and much work: rows are dealt in turn, not merged by their bytes
         dealt = some.repartition(max(1, min(some.count(), MAX_TASKS)))
-        return materialize(_scanned(text_windows(dealt.withColumn("reach", F.lit(reach).cast("long")), piece_bytes), catalog))
+        return materialize(_scanned(text_windows(dealt.withColumn("reach", F.lit(reach).cast("long")), piece_bytes), catalog, ascii_classes))
 
     key = ["path", "piece_no"]
     parts = [scanned(pieces, reach)]
@@ -197,6 +198,7 @@ def scan_stored(
     files: DataFrame | None = None,
     piece_bytes: int = PIECE_BYTES,
     reach: int = REACH,
+    ascii_classes: bool = False,
 ) -> DataFrame:
     """Findings in stored texts of any size: one row per file, pattern and distinct match.
 
@@ -210,7 +212,7 @@ def scan_stored(
     if all(streams(p) for p in listed):
         if files is None:
             files = stored_files(spark, listed).filter(~has_extension(F.col("path"), BINARY_EXTENSIONS))
-        rows = stored_matches(spark, files, catalog, piece_bytes, reach)
+        rows = stored_matches(spark, files, catalog, piece_bytes, reach, ascii_classes)
     else:
         texts = evidence_text(spark, listed)
         texts = texts if files is None else texts.join(files.select("path"), "path", "left_semi")
@@ -219,7 +221,7 @@ def scan_stored(
             F.char_length("text").cast("long").alias("core_chars"), F.expr("cast(array() AS array<long>)").alias("behind"),
             F.lit(True).alias("last"), "text", F.lit(None).cast("string").alias("error"),
         )
-        rows = _scanned(whole, catalog).filter(F.col("pattern") != PIECE_ROW).select(
+        rows = _scanned(whole, catalog, ascii_classes).filter(F.col("pattern") != PIECE_ROW).select(
             "path", "pattern", F.col("start").alias("offset"), "match", "error"
         )
     found = rows.groupBy("path", "pattern", "match").agg(

@@ -50,9 +50,9 @@ def _gate(pattern: Pattern) -> str | None:
     return None
 
 
-def _finding(pattern: Pattern, text: str, gate: str | None) -> str:
+def _finding(pattern: Pattern, text: str, gate: str | None, ascii_classes: bool = False) -> str:
     """One pattern as a SQL struct: its attributes and its distinct matches."""
-    regex = java_regex(pattern.regex, True, pattern.multiline)
+    regex = java_regex(pattern.regex, True, pattern.multiline, ascii_classes)
     found = f"array_distinct(regexp_extract_all(`{text}`, {sql_text(regex)}, 0))"
     if gate:
         found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"
@@ -94,13 +94,17 @@ def scan(
     keep_text: bool = False,
     gated: bool = True,
     as_column: str = "findings",
+    ascii_classes: bool = False,
 ) -> DataFrame:
-    """Add the findings of every enabled pattern: distinct matches in first-seen order."""
+    """Add the findings of every enabled pattern: distinct matches in first-seen order.
+
+    ``ascii_classes`` scans with the word borders and classes of ASCII text.
+    """
     catalog = [p for p in catalog if p.enabled]
     staged, gates = stage_gates(df, catalog, text) if gated else (df, {})
     # The catalogue is one SQL expression: a catalogue of columns takes seconds to build.
     hits = F.expr(
-        f"filter(array({', '.join(_finding(p, text, gates.get(p)) for p in catalog)}), "
+        f"filter(array({', '.join(_finding(p, text, gates.get(p), ascii_classes) for p in catalog)}), "
         "f -> size(f.matches) > 0)"
     )
     keep = [c for c in df.columns if keep_text or c != text]
@@ -220,7 +224,8 @@ def severity_rank(severity: Column) -> Column:
 
 
 def custom_scan(
-    df: DataFrame, patterns: dict[str, str], text: str = "text", multiline: bool = False
+    df: DataFrame, patterns: dict[str, str], text: str = "text", multiline: bool = False,
+    ascii_classes: bool = False,
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Scan with the caller's expressions.
 
@@ -231,8 +236,8 @@ def custom_scan(
     pattern_class = df.sparkSession._jvm.java.util.regex.Pattern
     for name, regex in patterns.items():
         try:
-            pattern_class.compile(java_regex(regex, True, multiline))
+            pattern_class.compile(java_regex(regex, True, multiline, ascii_classes))
             good.append(Pattern("custom", "custom", name, regex, multiline))
         except Exception as error:  # the JVM reports a PatternSyntaxException
             bad.append((name, str(error).splitlines()[0]))
-    return scan(df, good, text), bad
+    return scan(df, good, text, ascii_classes=ascii_classes), bad

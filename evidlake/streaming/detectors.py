@@ -47,7 +47,9 @@ def device_feed(events: DataFrame) -> DataFrame:
     return E.usb_activity(events)
 
 
-def stream_text_scan(spark: SparkSession, path: str, label: str = "Unlabeled") -> DataFrame:
+def stream_text_scan(
+    spark: SparkSession, path: str, label: str = "Unlabeled", ascii_classes: bool = False
+) -> DataFrame:
     """Indicators in evidence files as they are dropped into a folder."""
     files = (
         spark.readStream.format("binaryFile")
@@ -61,7 +63,7 @@ def stream_text_scan(spark: SparkSession, path: str, label: str = "Unlabeled") -
         F.lit(label).alias("label"),
         clean_utf8(F.col("content")).alias("text"),
     )
-    return explode_findings(scan(texts, indicator_catalog()))
+    return explode_findings(scan(texts, indicator_catalog(), ascii_classes=ascii_classes))
 
 
 def write_findings(stream: DataFrame, path: str, checkpoint: str, **trigger):
