@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ WHOLE = 1 << 20
 OVERLAP = 4096
 #: Pieces, and their characters, after which a task hands on what it has found.
 HAND_ON, HAND_ON_CHARS = 8192, 4 << 20
+#: Bytes of chunks that are copied out of an Arrow batch at a time.
+SLICE_BYTES = 1 << 20
 
 PIECES = (
     "image string, chunk_no long, encoding string, offset long, value string, "
@@ -76,8 +79,32 @@ def _carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
+PIECES_ARROW = pa.schema(
+    [
+        ("image", pa.string()), ("chunk_no", pa.int64()), ("encoding", pa.string()),
+        ("offset", pa.int64()), ("value", pa.string()), ("at_start", pa.bool_()), ("at_end", pa.bool_()),
+    ]
+)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The chunks of Arrow batches in frames of about ``SLICE_BYTES``."""
+    for batch in batches:
+        step = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step).to_pandas()
+        del batch  # before the next one is read
+
+
+def _carve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of each chunk: beside Spark's batch, a task holds one slice and one small frame."""
+    for frame in _carve(_slices(batches)):
+        if len(frame):
+            yield pa.RecordBatch.from_pandas(frame, PIECES_ARROW, preserve_index=False)
+
+
 def string_pieces(chunks: DataFrame) -> DataFrame:
-    return chunks.select("image", "chunk_no", "offset", "bytes").mapInPandas(_carve, PIECES)
+    return chunks.select("image", "chunk_no", "offset", "bytes").mapInArrow(_carve_batches, PIECES)
 
 
 def _chain_heads(edge: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def test_pieces_leave_in_small_frames():
     assert sum(len(f) for f in frames) == 60 * 402  # two edges of UTF-16 pairs, none found, and 400 words
 
 
+def test_a_batch_is_not_copied_whole():
+    data = b"printable\0" * 400
+    batch = pa.RecordBatch.from_pydict({"image": ["i"] * 5000, "chunk_no": list(range(5000)), "offset": [k * 4000 for k in range(5000)], "bytes": [data] * 5000})
+    frames = list(image._slices(iter([batch])))
+    assert sum(len(f) for f in frames) == 5000
+    assert max(sum(map(len, f["bytes"])) for f in frames) <= image.SLICE_BYTES
+    found = pa.Table.from_batches(image._carve_batches(iter([batch.slice(0, 300)])))
+    assert found.num_rows == 300 * 401 and max(b.num_rows for b in found.to_batches()) <= image.HAND_ON
+
+
 @pytest.mark.parametrize("chunk", [8, 16, 64, 4096])
 def test_carving_over_chunk_edges(spark, chunk):
     images = {f"i{s}": sample(s) for s in range(4)}
