@@ -11,8 +11,16 @@ and ungated scans agree.
 # Shapes are tested once per text and shared by all expressions that need them.
 SHAPES = {
     "long_run": r"[a-z0-9+/=_-]{26}",
-    "digit_dot_digit": r"[0-9]\.[0-9]",
+    "dotted_quad": r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d",
     "word_dot_word": r"[a-z0-9]\.[a-z]",
+    "suspect_end": (
+        r"[a-z0-9]\.(?:tk|ml|ga|cf|gq|pw|cc|ws|top|xyz|club|online|site|website|space|live)"
+    ),
+    "common_end": r"[a-z]\.(?:com|net|org|ru|cn)",
+    # i, k and s may stand for folded letters that are not ASCII, so they end no word
+    "word_rat": r"rat(?![0-9a-hjl-rt-z_])(?<![0-9a-hjl-rt-z_]rat)",
+    "at_digit": r"(?U)at\s+\d",
+    "or_one": r"(?U)or\s+1",
     "hex_colon": r"[0-9a-f]:[0-9a-f]{1,4}:",
     "hex_pairs": r"[0-9a-f]{2}[:-][0-9a-f]{2}[:-]",
     "hex_groups": r"[0-9a-f]{4}-[0-9a-f]{4}-",
@@ -29,20 +37,21 @@ SHAPES = {
 # that needs one.
 DIGIT = r"\p{Nd}"
 DIGIT_SHAPES = {
-    "digit_dot_digit", "digits_7", "digits_8", "digits_13", "digits_dashed", "letters_digits",
+    "dotted_quad", "at_digit", "or_one", "digits_7", "digits_8", "digits_13", "digits_dashed", "letters_digits",
     "bank_code",
 }
-DIGIT_NEEDLES = {"c2_port", "remote_desktop", "private_ip"}
+DIGIT_NEEDLES = {"c2_port", "remote_desktop"}
 
 SHAPE_OF = {
-    "ipv4": "digit_dot_digit",
-    "ipv4_address": "digit_dot_digit",
+    "ipv4": "dotted_quad",
+    "ipv4_address": "dotted_quad",
+    "private_ip": "dotted_quad",
     "ipv6": "hex_colon",
     "ipv6_address": "hex_colon",
     "domain": "word_dot_word",
-    "suspicious_tld": "word_dot_word",
-    "suspicious_domain": "word_dot_word",
-    "dga_domain": "word_dot_word",
+    "suspicious_tld": "suspect_end",
+    "suspicious_domain": "suspect_end",
+    "dga_domain": "common_end",
     "phone": "digits_7",
     "creditcard": "digits_13",
     "credit_card": "digits_13",
@@ -85,6 +94,14 @@ SHAPE_OF = {
     "ifsc_code": "bank_code",
 }
 
+# A shape that opens a gate beside the needles.
+ALSO_SHAPE = {
+    "backdoor_pattern": "word_rat",
+    "backdoor_keyword": "word_rat",
+    "scheduled_task": "at_digit",
+    "sql_injection": "or_one",
+}
+
 NEEDLES = {
     "email": ["@"],
     "temp_email": ["@"],
@@ -101,7 +118,6 @@ NEEDLES = {
     "hex_obfuscation": ["\\x"],
     "unicode_escape": ["\\u"],
     "tor_onion": [".onion"],
-    "private_ip": ["10.", "172.", "192.168."],
     "password_in_code": ["passw", "pwd"],
     "hardcoded_password": ["passw", "pwd"],
     "api_key": ["apikey", "api_", "api-", "accesstoken", "access_", "access-"],
@@ -120,11 +136,11 @@ NEEDLES = {
     "slack_token": ["xox"],
     "stripe_key": ["sk_", "pk_"],
     "backdoor_pattern": [
-        "backdoor", "trojan", "rootkit", "rat", "remote", "metasploit", "meterpreter",
+        "backdoor", "trojan", "rootkit", "remote", "metasploit", "meterpreter",
         "cobaltstrike", "empire",
     ],
     "backdoor_keyword": [
-        "backdoor", "trojan", "rootkit", "rat", "remote", "metasploit", "meterpreter",
+        "backdoor", "trojan", "rootkit", "remote", "metasploit", "meterpreter",
         "cobaltstrike", "empire",
     ],
     "ransomware_pattern": [
@@ -172,7 +188,7 @@ NEEDLES = {
         "upx", "themida", "vmprotect", "armadillo", "enigma", "aspack", "pecompact", "molebox",
     ],
     "crypto_miner": ["xmrig", "miner", "cryptonight"],
-    "sql_injection": ["union", "=", "drop", "exec", ";--"],
+    "sql_injection": ["union", "drop", "exec", ";--"],
     "xss_pattern": ["<script", "javascript:", "onerror", "onclick", "<iframe"],
     "command_injection": [";", "|", "&", "`"],
     "path_traversal": ["../", "..\\", "..%2f", "%252e"],
@@ -188,6 +204,7 @@ NEEDLES = {
     "powershell_reflective": ["load"],
     "reflective_load": ["load"],
     "registry_persistence": ["currentversion", "startup", "appinit_dlls"],
+    "scheduled_task": ["schtasks", "scheduledtask"],
     "service_creation": ["sc.exe", "new-service", "createservice"],
     "wmi_persistence": ["wmic", "__event", "activescript"],
     "disable_av": ["set-mppreference", "disable-windows", "stop-service"],

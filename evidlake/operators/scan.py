@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evidlake.catalogs import Pattern, shipped_patterns
 from evidlake.catalogs.gates import (
+    ALSO_SHAPE,
     DIGIT,
     DIGIT_NEEDLES,
     DIGIT_SHAPES,
@@ -45,7 +46,10 @@ def _gate(pattern: Pattern) -> str | None:
     if pattern.name in SHAPE_OF:
         return f"_shape_{SHAPE_OF[pattern.name]}"
     if pattern.name in NEEDLES:
-        some = " OR ".join(f"contains(_folded, {sql_text(n)})" for n in NEEDLES[pattern.name])
+        tests = [f"contains(_folded, {sql_text(n)})" for n in NEEDLES[pattern.name]]
+        if pattern.name in ALSO_SHAPE:
+            tests.append(f"_shape_{ALSO_SHAPE[pattern.name]}")
+        some = " OR ".join(tests)
         return f"_has_digit AND ({some})" if pattern.name in DIGIT_NEEDLES else some
     return None
 
@@ -69,7 +73,7 @@ def stage_gates(
     """The texts with a boolean column for every gate, and the column of each pattern."""
     gates: dict[Pattern, str] = {}
     opened: dict[str, Column] = {}
-    shapes = sorted({SHAPE_OF[p.name] for p in catalog if p.name in SHAPE_OF})
+    shapes = sorted({s for p in catalog for s in (SHAPE_OF.get(p.name), ALSO_SHAPE.get(p.name)) if s})
     staged = df.withColumn("_folded", fold(F.col(text)))
     staged = staged.withColumn("_has_digit", F.col(text).rlike(DIGIT))
     tests = {}

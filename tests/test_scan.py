@@ -186,3 +186,33 @@ def test_scan_plan_reads_text_once_and_stays_in_the_jvm(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("mimikatz") <= 3  # its needle and its expression, not repeated in filters
     assert "Python" not in text and "Exchange" not in text and "Cartesian" not in text
+
+
+def test_close_gates_open_for_every_match(spark):
+    words = [
+        "rat", "RAT", "r\u0101t", "irat", "rati", "srat", "\u017frat", "rat\u017f", "\u212arat", "\u00e9rat\u00e9", "_rat",
+        "at 5", "AT\u00a07", "at\u000b9", "at \u0665", "or 1=1", "OR\t1 = 1", "union  select", "schtasks", "New-ScheduledTask",
+        "x.t\u212a", "x.w\u017f", "a.b.live", "abcdefghij.com", "\u017fbcdefghij.ru", "10.1.2.3", "10.\u0661.2.3", "1.2.3.4",
+        "x", " ", "\u0130", "\u0131",
+    ]
+    rng = random.Random(11)
+    lines = words + ["".join(rng.choices(words + [" "] * 8, k=3)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    names = {
+        "backdoor_keyword", "scheduled_task", "sql_injection", "suspicious_domain", "dga_domain",
+        "private_ip", "ipv4_address",
+    }
+    catalog = [p for p in C.indicator_catalog() if p.name in names]
+    for plain in (False, True):
+        gated = found(S.scan(df, catalog, ascii_classes=plain))
+        assert gated == found(S.scan(df, catalog, gated=False, ascii_classes=plain))
+        assert {name for _, name, _ in gated} == names
+
+
+def test_frequent_letters_open_no_gate(spark):
+    text = "The generation of rates, a = b, www.page.html and version 1.2"
+    staged, gates = S.stage_gates(spark.createDataFrame([(text,)], "text string"), C.indicator_catalog())
+    row = staged.first()
+    opened = {p.name for p, column in gates.items() if row[column]}
+    closed = {"backdoor_keyword", "sql_injection", "scheduled_task", "suspicious_domain", "dga_domain", "ipv4_address"}
+    assert opened & closed == set() and closed <= {p.name for p in gates}
