@@ -22,6 +22,8 @@ from evidlake.session import ensure_checkpoint_dir
 BASE = "TIMESTAMP '2024-01-01 00:00:00'"
 BASE_MICROS = 1_704_067_200_000_000
 SPLIT = 128 * 1024 * 1024
+#: Tasks per core for captured outputs, of which a customer has fifteen.
+OUTPUT_TASKS = 8
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +31,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Use all cores for a costly scan of an input too small to split.
 
-    Below one normal split per core the rows are dealt out once; larger inputs already
-    have a split for every core and are left alone.
+    Below one normal split per core the rows are dealt out once, to ``per_core`` tasks for
+    each core; larger inputs already have a split for every core and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * SPLIT else df
+    return df.repartition(cores * per_core) if plan_bytes(df) < cores * SPLIT else df
 
 
 def minutes_after_base(n: Column) -> Column:
@@ -748,7 +750,8 @@ def command_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for category, cmd, output in CAPTURED
     ]
-    return spread(load(spark, sf_dir, "customer")).select(
+    # a customer is a short row and much work: its outputs are scanned or parsed
+    return spread(load(spark, sf_dir, "customer"), per_core=OUTPUT_TASKS).select(
         text_of("host", key).alias("host"), F.inline(F.array(*captured))
     )
 

@@ -172,3 +172,10 @@ def test_external_connections(spark):
     )
     got = {r.foreign for r in outputs.external_connections(df).collect()}
     assert got == {"1.2.3.4:5", "[2606:4700::1111]:443", "12.127.0.0:1"}
+
+
+def test_captured_outputs_are_dealt_finer_than_cores(spark):
+    from evidlake.plans import standins
+
+    rows = standins.command_outputs(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
