@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from evidlake.catalogs import Pattern
 from evidlake.catalogs.lookups import BINARY_EXTENSIONS
 from evidlake.functions.paths import has_extension
-from evidlake.functions.rows import once
 from evidlake.functions.text import java_regex, sql_text
-from evidlake.operators.scan import indicator_level, stage_gates
+from evidlake.operators.hulls import hull, left_to_scan
+from evidlake.operators.scan import indicator_level
 from evidlake.session import materialize
 from evidlake.sources.files import evidence_text
 from evidlake.sources.stored import MAX_TASKS, resolved, stored_files, streams, text_windows
@@ -35,6 +35,9 @@ from evidlake.sources.stored import MAX_TASKS, resolved, stored_files, streams,
 PIECE_BYTES = 4 << 20
 REACH = 256 << 10
 GROWTH = 8
+#: Bytes that a task reads, unless that leaves cores without work.
+TASK_BYTES = 4 << 20
+TASKS_PER_CORE = 4
 #: The pattern number of the row that every piece has.
 PIECE_ROW = -1
 
@@ -44,17 +47,44 @@ HIT = (
 )
 
 
-def _found(number: int, pattern: Pattern, gate: str | None, ascii_classes: bool) -> str:
-    """Matches of one pattern and the lengths of the text between them, as a SQL struct."""
-    regex = sql_text(java_regex(pattern.regex, True, pattern.multiline, ascii_classes))
-    found = f"regexp_extract_all(text, {regex}, 0)"
-    if gate:
-        found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() AS array<string>) END"
-    gaps = f"transform(split(text, {regex}, -1), g -> char_length(g))"
-    return (
-        f"transform(array({found}), m -> named_struct('pattern', {number}, 'matches', m, 'gaps', "
-        f"CASE WHEN size(m) > 0 THEN {gaps} ELSE cast(array() AS array<int>) END))[0]"
-    )
+#: What the expressions of a window have to scan: parts of its text, and where they begin in it.
+LEFT = (
+    "path string, piece_no long, left_chars long, core_chars long, behind array<long>, last boolean, error string, "
+    "text_chars long, pattern int, text string, at array<long>, places array<long>"
+)
+KEPT = ["path", "piece_no", "left_chars", "core_chars", "behind", "last", "error", "text_chars", "pattern"]
+LEFT_TYPES = [
+    pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.string(),
+    pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+]
+#: Characters of text, and rows of matches, that leave a task at a time.
+HAND_ON = 1 << 20
+ROWS = 10_000
+
+
+def _narrowed(catalog: Sequence[Pattern], ascii_classes: bool):
+    """Windows as rows of what each expression has to scan, and a row without text for each window."""
+    hulls = [hull(p, ascii_classes) for p in catalog]
+    names = [*KEPT, "text", "at", "places"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), LEFT_TYPES)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                window = tuple(r[c] for c in KEPT[:-2]) + (len(r["text"]),)
+                rows, held = [(*window, PIECE_ROW, "", [0], [0])], 0
+                for number, text, at, places in left_to_scan(r["text"], hulls):
+                    if held and held + len(text) > HAND_ON:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                    rows.append((*window, number, text, at, places))
+                    held += len(text)
+                yield batch_of(rows)
+
+    return run
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,48 +95,55 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     match that might go on behind the text that was read.
     """
     for batch in batches:
+        rows: list[tuple] = []
         for r in batch.to_pylist():
-            lengths = np.array([len(m) for m in r["matches"]], np.int64)
-            gaps = np.array(r["gaps"], np.int64)
+            if r["pattern"] == PIECE_ROW:
+                rows.append((r["path"], r["piece_no"], PIECE_ROW, 0, r["core_chars"], None, [], False, r["error"]))
+                continue
+            matches = r["found"]["matches"]
+            if not matches:
+                continue
+            lengths = np.array([len(m) for m in matches], np.int64)
+            gaps = np.array(r["found"]["gaps"], np.int64)
             if len(gaps) == len(lengths):  # an empty match at the beginning splits nothing off
                 gaps = np.concatenate([[0], gaps])
-            if r["pattern"] == PIECE_ROW:
-                starts, ends = np.array([0]), np.array([r["core_chars"]])
-            else:
-                starts = np.cumsum(gaps[:-1]) + np.cumsum(lengths) - lengths - r["left_chars"]
-                ends = starts + lengths
-            kept = np.flatnonzero((starts < r["core_chars"]) & ((starts >= 0) | (ends > 0)))
-            if r["pattern"] == PIECE_ROW:
-                kept = np.array([0])
+            starts = np.cumsum(gaps[:-1]) + np.cumsum(lengths) - lengths
+            at, places = np.array(r["at"], np.int64), np.array(r["places"], np.int64)
+            starts += (places - at)[np.searchsorted(at, starts, "right") - 1] - r["left_chars"]
+            ends = starts + lengths
             behind = r["text_chars"] - r["left_chars"] - r["core_chars"]
             limit = r["core_chars"] + behind - behind // 2
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["path"]] * len(kept), pa.string()),
-                    pa.array([r["piece_no"]] * len(kept), pa.int64()),
-                    pa.array([r["pattern"]] * len(kept), pa.int32()),
-                    pa.array(starts[kept], pa.int64()),
-                    pa.array(ends[kept], pa.int64()),
-                    pa.array([r["matches"][i] for i in kept] if len(lengths) else [None] * len(kept), pa.string()),
-                    pa.array(
-                        [[int(e) - b for b in r["behind"] if b < e] if s >= 0 else [] for s, e in zip(starts[kept], ends[kept])],
-                        pa.list_(pa.int64()),
-                    ),
-                    pa.array([not r["last"] and s >= 0 and e > limit for s, e in zip(starts[kept], ends[kept])], pa.bool_()),
-                    pa.array([r["error"]] * len(kept), pa.string()),
-                ],
-                names=["path", "piece_no", "pattern", "start", "end", "match", "beyond", "open", "error"],
-            )
-
-
-def _scanned(windows: DataFrame, catalog: Sequence[Pattern], ascii_classes: bool) -> DataFrame:
-    staged, gates = stage_gates(windows, catalog)
-    found = ", ".join(_found(i, p, gates.get(p), ascii_classes) for i, p in enumerate(catalog))
-    mark = f"named_struct('pattern', {PIECE_ROW}, 'matches', cast(array() AS array<string>), 'gaps', cast(array() AS array<int>))"
-    hits = F.expr(f"filter(array({mark}{', ' if found else ''}{found}), f -> f.pattern < 0 OR size(f.matches) > 0)")
-    keep = ["path", "piece_no", "left_chars", "core_chars", "behind", "last", "error", "text_chars"]
-    rows = once(staged.withColumn("text_chars", F.char_length("text")), keep, {"found": hits})
-    return rows.select(*keep, F.inline("found")).mapInArrow(_placed, HIT)
+            for i in np.flatnonzero((starts < r["core_chars"]) & ((starts >= 0) | (ends > 0))).tolist():
+                s, e = int(starts[i]), int(ends[i])
+                beyond = [e - b for b in r["behind"] if b < e] if s >= 0 else []
+                opened = not r["last"] and s >= 0 and e > limit
+                rows.append((r["path"], r["piece_no"], r["pattern"], s, e, matches[i], beyond, opened, r["error"]))
+                if len(rows) >= ROWS:
+                    yield _hit_batch(rows)
+                    rows = []
+        if rows:
+            yield _hit_batch(rows)
+
+
+def _hit_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [
+        pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.string(),
+    ]
+    names = ["path", "piece_no", "pattern", "start", "end", "match", "beyond", "open", "error"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _scanned(left: DataFrame, catalog: Sequence[Pattern], ascii_classes: bool) -> DataFrame:
+    """Matches in what is left to scan, each with its place."""
+    regexes = [java_regex(p.regex, True, p.multiline, ascii_classes) for p in catalog]
+    regex = f"get(array({', '.join(map(sql_text, regexes)) or 'cast(null AS string)'}), pattern)"
+    gaps = "transform(split(text, regex, -1), g -> char_length(g))"
+    found = (
+        "transform(array(CASE WHEN pattern >= 0 THEN regexp_extract_all(text, regex, 0) END), m -> named_struct("
+        f"'matches', m, 'gaps', CASE WHEN size(m) > 0 THEN {gaps} END))[0]"
+    )
+    rows = left.withColumn("regex", F.expr(regex)).select(*KEPT, "at", "places", F.expr(found).alias("found"))
+    return rows.mapInArrow(_placed, HIT)
 
 
 def _unsettled(hits: DataFrame, piece_bytes: int) -> DataFrame:
@@ -158,8 +195,12 @@ def stored_matches(
 
     def scanned(some: DataFrame, reach: int) -> DataFrame:
         # a piece is a tiny row and much work: rows are dealt in turn, not merged by their bytes
-        dealt = some.repartition(max(1, min(some.count(), MAX_TASKS)))
-        return materialize(_scanned(text_windows(dealt.withColumn("reach", F.lit(reach).cast("long")), piece_bytes), catalog, ascii_classes))
+        count = some.count()
+        wanted = max(count * (piece_bytes + 2 * reach) // TASK_BYTES, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        dealt = some.repartition(max(1, min(count, wanted, MAX_TASKS)))
+        windows = dealt.withColumn("reach", F.lit(reach).cast("long"))
+        left = text_windows(windows, piece_bytes, _narrowed(catalog, ascii_classes), LEFT)
+        return materialize(_scanned(left, catalog, ascii_classes))
 
     key = ["path", "piece_no"]
     parts = [scanned(pieces, reach)]
@@ -221,7 +262,8 @@ def scan_stored(
             F.char_length("text").cast("long").alias("core_chars"), F.expr("cast(array() AS array<long>)").alias("behind"),
             F.lit(True).alias("last"), "text", F.lit(None).cast("string").alias("error"),
         )
-        rows = _scanned(whole, catalog, ascii_classes).filter(F.col("pattern") != PIECE_ROW).select(
+        left = whole.mapInArrow(_narrowed(catalog, ascii_classes), LEFT)
+        rows = _scanned(left, catalog, ascii_classes).filter(F.col("pattern") != PIECE_ROW).select(
             "path", "pattern", F.col("start").alias("offset"), "match", "error"
         )
     found = rows.groupBy("path", "pattern", "match").agg(

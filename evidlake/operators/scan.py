@@ -39,10 +39,15 @@ def _shipped() -> dict[str, set[str]]:
     return known
 
 
+def is_shipped(pattern: Pattern) -> bool:
+    """Whether gates hold: they are proven for the shipped expression only, whatever a row is called."""
+    return pattern.regex in _shipped().get(pattern.name, ())
+
+
 def _gate(pattern: Pattern) -> str | None:
     """SQL test on the folded text or a shape column, None when nothing can be skipped."""
-    if pattern.regex not in _shipped().get(pattern.name, ()):
-        return None  # a gate is proven for the shipped expression only, whatever a row is called
+    if not is_shipped(pattern):
+        return None
     if pattern.name in SHAPE_OF:
         return f"_shape_{SHAPE_OF[pattern.name]}"
     if pattern.name in NEEDLES:

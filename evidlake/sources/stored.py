@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -285,11 +285,17 @@ WINDOW = (
 )
 
 
-def text_windows(pieces: DataFrame, piece_bytes: int) -> DataFrame:
+def text_windows(
+    pieces: DataFrame,
+    piece_bytes: int,
+    through: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+    schema: str = WINDOW,
+) -> DataFrame:
     """Pieces of stored texts with ``reach`` bytes of text on both sides.
 
     ``pieces`` has path, size, piece_no and reach. ``behind`` lists where later pieces begin,
     in characters from the beginning of the core. A piece that cannot be read has an error.
+    ``through`` goes on with the windows in the same task, to rows of ``schema``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +316,10 @@ def text_windows(pieces: DataFrame, piece_bytes: int) -> DataFrame:
                     names=["path", "piece_no", "left_chars", "core_chars", "behind", "last", "text", "error"],
                 )
 
-    return pieces.select("path", "size", "piece_no", "reach").mapInArrow(run, WINDOW)
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return through(run(batches)) if through else run(batches)
+
+    return pieces.select("path", "size", "piece_no", "reach").mapInArrow(passed, schema)
 
 
 def chunks_of(spark: SparkSession, paths: str | Sequence[str], chunk_bytes: int) -> DataFrame:
